@@ -60,7 +60,7 @@ def _with_percent(df: DataFrame) -> DataFrame:
 
 def latest_status(lines: DataFrame, job: str = "job_id", seq: str = "seq", text: str = "line") -> DataFrame:
     """Last status text per job in line order; parsing happens once per job, after the aggregate."""
-    last = F.element_at(F.regexp_extract_all(F.col(text), F.lit(STATUS), 0), -1)
+    last = F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(STATUS), 0), F.lit(-1))
     hits = lines.select(job, seq, last.alias("__s")).filter(F.col("__s").isNotNull())
     best = hits.groupBy(job).agg(F.max_by("__s", seq).alias("__s"))
     return _with_percent(best.withColumn("__f", _status_struct(F.col("__s"))).select(job, "__f.*"))
@@ -71,13 +71,13 @@ def progress_facts(lines: DataFrame, text: str = "line") -> DataFrame:
     t = F.col(text)
     bars = F.regexp_extract_all(t, F.lit(PROGRESS_BAR), 0)
     rollout = F.filter(bars, lambda b: F.contains(F.regexp_extract(b, PROGRESS_BAR, 6), F.lit("rollout")))
-    last = lambda rx: F.element_at(F.regexp_extract_all(t, F.lit(rx), 1), -1)
+    last = lambda rx: F.try_element_at(F.regexp_extract_all(t, F.lit(rx), 1), F.lit(-1))
     return lines.withColumns(
         {
-            "__status": F.element_at(F.regexp_extract_all(t, F.lit(STATUS), 0), -1),
-            "__bar": F.coalesce(F.element_at(rollout, -1), F.element_at(bars, -1)),
+            "__status": F.try_element_at(F.regexp_extract_all(t, F.lit(STATUS), 0), F.lit(-1)),
+            "__bar": F.coalesce(F.try_element_at(rollout, F.lit(-1)), F.try_element_at(bars, F.lit(-1))),
             "__preferred": F.when(F.size(rollout) > 0, 1).otherwise(0),
-            "__budget": F.element_at(F.regexp_extract_all(t, F.lit(BUDGET), 1), 1).cast("bigint"),
+            "__budget": F.try_element_at(F.regexp_extract_all(t, F.lit(BUDGET), 1), F.lit(1)).cast("bigint"),
             "__iteration": F.array_max(F.transform(F.regexp_extract_all(t, F.lit(ITERATION_SELECTED), 1), lambda x: x.cast("bigint"))),
             "__best": last(BEST_SCORE).try_cast("double"),
             "__front": last(FRONT_SCORE).try_cast("double"),
@@ -173,7 +173,7 @@ def log_errors(lines: DataFrame, job: str = "job_id", seq: str = "seq", text: st
     hits = F.regexp_extract_all(F.col(text), F.lit(ERRORS), 0)
     found = lines.select(job, seq, hits.alias("__h")).filter(F.size("__h") > 0)
     return found.groupBy(job).agg(
-        F.sum(F.size("__h")).alias("errors"), F.substring(F.max_by(F.element_at("__h", -1), seq), 1, 240).alias("last_error")
+        F.sum(F.size("__h")).alias("errors"), F.substring(F.max_by(F.try_element_at("__h", F.lit(-1)), seq), 1, 240).alias("last_error")
     )
 
 
