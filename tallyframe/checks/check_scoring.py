@@ -25,8 +25,9 @@ with t as (
   select e.lang as run_id, e.row_idx, e.n_chars, case when e.n_chars > 200 then 1 else 0 end as pred, e.gold
   from splits s join examples e on e.row_idx = s.row_idx where s.split = 'test'),
 s as (select *, case when pred = gold then 1e0 else 0e0 end as score, (n_chars % 997) / 1000e0 as latency,
-    n_chars / 1e6 * 0.25 + (n_chars % 101) / 1e6 * 1.5 as cost from t)
-select run_id, count(*) as rows, round(sum(score) / count(*) * 100, 6) as score_pct, count(case when gold is null and false then 1 end) as errors,
+    case when row_idx % 4 = 1 then n_chars / 1e6 * 3 + (n_chars % 101) / 1e6 * 12
+      else n_chars / 1e6 * 0.25 + (n_chars % 101) / 1e6 * 1.5 end as cost from t)
+select run_id, count(*) as rows, round(sum(score) / count(*) * 100, 6) as score_pct, 0::bigint as errors,
   cast(sum(n_chars) as bigint) as tokens_in, cast(sum(n_chars % 101) as bigint) as tokens_out, round(sum(cost), 6) as cost,
   round(avg(latency) * 1000, 6) as latency_avg_ms, round(median(latency) * 1000, 6) as latency_med_ms,
   round(var_samp(latency) * 1e6, 4) as latency_var_ms2
@@ -39,7 +40,7 @@ def flagship(fx):
     scored = sc.score(predicted, (F.col("prediction").cast("int") == F.col("gold")).cast("double"))
     used = scored.withColumns(
         {
-            "model": F.lit("acme/small"),
+            "model": F.when(F.col("row_idx") % 4 == 1, "acme/large").otherwise("acme/small"),
             "prompt_tokens": F.col("n_chars"),
             "completion_tokens": F.col("n_chars") % 101,
             "latency": (F.col("n_chars") % 997) / 1000,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import any_prefix, run_no
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import hash_chunk, row_numbers
 
 # Directory the runner keeps its own files in; change it to match the layout in use.
@@ -153,18 +154,16 @@ def diff_manifests(before: DataFrame, after: DataFrame, roots: Sequence[str], pa
         .otherwise("unchanged"),
     )
     key = F.md5(F.col("path").cast("binary"))
-    numbered = row_numbers(
+    changed = durable(
         both.filter(F.col("status").isin("added", "deleted")).select(
             "path", "status", F.coalesce("__a", "__b").alias("__d"), key.alias("__key")
-        ),
-        ["status", "__d"],
-        [F.col("__key"), F.col("path")],
-        "__n",
-        hash_chunk(F.col("__key")),
+        )
+    )
+    numbered = row_numbers(
+        changed, ["status", "__d"], [F.col("__key"), F.col("path")], "__n", hash_chunk(F.col("__key"))
     )
-    gone = numbered.filter("status = 'deleted'").select("__d", "__n", F.col("path").alias("old_path"))
-    come = numbered.filter("status = 'added'").select("__d", "__n", F.col("path").alias("new_path"))
-    pairs = come.join(gone, ["__d", "__n"], "full_outer").select(
+    side = lambda s: F.max(F.when(F.col("status") == s, F.col("path")))
+    pairs = numbered.groupBy("__d", "__n").agg(side("added").alias("new_path"), side("deleted").alias("old_path")).select(
         F.coalesce("new_path", "old_path").alias("path"),
         F.when(F.col("new_path").isNull(), "deleted").when(F.col("old_path").isNull(), "added").otherwise("renamed").alias("status"),
         F.when(F.col("new_path").isNotNull(), F.col("old_path")).alias("old_path"),

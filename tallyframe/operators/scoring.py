@@ -176,10 +176,13 @@ def remaining(examples: DataFrame, completed: DataFrame, keys: Sequence[str] = (
 
 
 def run_summary(results: DataFrame, by: Sequence[str] = ("run_id",), ok_only: bool = False) -> DataFrame:
-    """Score %, tokens, cost, and latency mean, exact median and sample variance in ms."""
+    """Score %, tokens, cost, and latency mean, exact median and sample variance in ms.
+
+    Two passes over the results, whatever the size of the largest run.
+    """
     rows = results.filter(F.col("error").isNull()) if ok_only else results
     n = F.count(F.lit(1))
-    stats = rows.groupBy(*by).agg(
+    stats = [
         n.alias("rows"),
         (F.sum(F.coalesce("score", F.lit(0.0))) / n * 100).alias("score_pct"),
         F.count("error").alias("errors"),
@@ -188,14 +191,9 @@ def run_summary(results: DataFrame, by: Sequence[str] = ("run_id",), ok_only: bo
         F.sum("cost").alias("cost"),
         (F.avg("latency") * 1000).alias("latency_avg_ms"),
         F.when(n >= 2, F.var_samp("latency") * 1e6).alias("latency_var_ms2"),
-    )
-    medians = exact_median(rows, by, F.col("latency"), "__med").select(
-        *[F.col(k).alias(f"__m{i}") for i, k in enumerate(by)], (F.col("__med") * 1000).alias("latency_med_ms")
-    )
-    match = F.lit(True)
-    for i, k in enumerate(by):
-        match = match & F.col(k).eqNullSafe(F.col(f"__m{i}"))
-    return stats.join(medians, match, "left").drop(*[f"__m{i}" for i in range(len(by))])
+    ]
+    out = exact_median(rows, by, F.col("latency"), "__med", stats)
+    return out.withColumn("latency_med_ms", F.col("__med") * 1000).drop("__med")
 
 
 def eval_summary(results: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:

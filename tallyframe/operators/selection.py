@@ -238,9 +238,13 @@ def eval_schedule(
 
     Trials walk through one digest order of the examples, starting a new order when it is used up.
     """
-    one = examples.select(F.lit("all").alias("route"), key)
-    batches = iteration_batches(one, ["all"], size, trials, seed, key)
-    mini = batches.select((F.col("iteration") + 1).alias("trial"), F.lit("minibatch").alias("kind"), key)
+    pool = examples.agg(F.count(F.lit(1))).scalar()
+    counted = examples.select(F.lit("all").alias("route"), key, pool.alias("pool"))
+    per_epoch = F.greatest(F.floor(F.col("pool") / size), F.lit(1))
+    spread = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(trials) / per_epoch).cast("int") - 1)))
+    trial = F.col("epoch") * per_epoch + F.col("batch") + 1
+    mini = _epoch_batches(spread, size, seed, key).select(trial.cast("bigint").alias("trial"), F.lit("minibatch").alias("kind"), key)
+    mini = mini.filter(F.col("trial") <= trials)
     if trials < every:
         return mini
     full = examples.select(

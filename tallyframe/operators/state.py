@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
-from tallyframe.plans.ordered import Running, int_chunk, row_numbers, running
+from tallyframe.plans.ordered import int_chunk, row_numbers
 
 
 def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -16,9 +17,8 @@ def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str]
         return row_numbers(seen, [], [F.col(k) for k in keys], id_col)
     fresh = seen.join(existing, list(keys), "left_anti")
     numbered = row_numbers(fresh, [], [F.col(k) for k in keys], "__rn")
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))  # one row
-    numbered = numbered.join(F.broadcast(top), F.col("__rn") > 0)
-    new = numbered.select(*keys, (F.col("__top") + F.col("__rn")).alias(id_col))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    new = numbered.select(*keys, (top + F.col("__rn")).alias(id_col))
     return existing.select(*keys, id_col).unionByName(new)
 
 
@@ -97,15 +97,26 @@ def apply_transitions(jobs: DataFrame, events: DataFrame) -> DataFrame:
 def allocate(
     requests: DataFrame, scope: Sequence[str], order: str = "id", seed: str = "seed_max", chunk: Column | None = None
 ) -> DataFrame:
-    """Run number per request: one more than the previous, but always above the request's seed.
+    """``(scope.., order, run_number)``: one more than the previous number, but always above the request's seed.
 
-    Closed form over the request order: position + running max of (seed + 1 - position).
+    Closed form over the request order: position + running max of (seed + 1 - position). The
+    maximum inside a chunk needs only positions inside the chunk; what earlier chunks add is one
+    carried count and one carried maximum. Only the narrow columns travel, and both uses share
+    one exchange.
     """
+    scope = list(scope)
     cut = int_chunk(order) if chunk is None else chunk
-    placed = running(requests, scope, [F.col(order)], cut, [Running("__rn", "count")])
-    lifted = placed.withColumn("__gap", F.coalesce(F.col(seed), F.lit(0)) + 1 - F.col("__rn"))
-    out = running(lifted, scope, [F.col(order)], cut, [Running("__shift", "max", F.col("__gap"))])
-    return out.withColumn("run_number", (F.col("__rn") + F.col("__shift")).cast("bigint")).drop("__rn", "__gap", "__shift")
+    narrow = requests.select(*scope, order, F.coalesce(seed, F.lit(0)).alias("__seed")).withColumn("__c", cut)
+    inside = W.partitionBy(*scope, "__c").orderBy(order)
+    local = narrow.withColumn("__p", F.row_number().over(inside))
+    local = local.withColumn("__lift", F.max(F.col("__seed") + 1 - F.col("__p")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    chunks = local.groupBy(*scope, "__c").agg(F.count(F.lit(1)).alias("__n"), F.max("__lift").alias("__top"))
+    earlier = W.partitionBy(*scope).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    counted = chunks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    carried = counted.withColumn("__carry", F.max(F.col("__top") - F.col("__before")).over(earlier))
+    out = local.join(carried.select(*scope, "__c", "__before", "__carry"), [*scope, "__c"])
+    shift = F.greatest("__carry", F.col("__lift") - F.col("__before"))
+    return out.select(*scope, order, (F.col("__before") + F.col("__p") + shift).cast("bigint").alias("run_number"))
 
 
 def bump(counters: DataFrame, imports: DataFrame, keys: Sequence[str], number: str = "emitted_run_number") -> DataFrame:

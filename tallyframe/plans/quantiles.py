@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import Running, running
 
 ACCURACY = 10_000
@@ -19,35 +20,50 @@ _LOW, _HIGH = 0.5 - 5 / ACCURACY, 0.5 + 5 / ACCURACY
 _SLICES = 64
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``(keys.., name)``: exact median per key, NULLs ignored."""
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of key columns with their copies ``<prefix>0, <prefix>1, ...``."""
+    match = F.col(keys[0]).eqNullSafe(F.col(f"{prefix}0"))
+    for i, k in enumerate(keys[1:], 1):
+        match = match & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return match
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: Column, name: str, stats: Sequence[Column] = ()) -> DataFrame:
+    """``(keys.., stats.., name)``: exact median per key, NULLs ignored; at least one key.
+
+    Two passes over ``df``: the first computes the sketch together with the caller's other
+    aggregates, the second counts values inside the bracket. Both combine map-side.
+    """
     keys = list(keys)
-    vals = df.select(*keys, value.cast("double").alias("__x")).filter(F.col("__x").isNotNull())
+    vals = df.withColumn("__x", value.cast("double"))
     grid = [_LOW + (_HIGH - _LOW) * i / _SLICES for i in range(_SLICES + 1)]
-    brackets = vals.groupBy(*keys).agg(
-        F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), ACCURACY).alias("__cuts"),
-        F.count(F.lit(1)).alias("__n"),
-    ).select(
+    first = durable(
+        vals.groupBy(*keys).agg(
+            F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), ACCURACY).alias("__cuts"),
+            F.count("__x").alias("__n"),
+            *stats,
+        )
+    )
+    brackets = first.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         "__n",
         "__cuts",
-        F.element_at("__cuts", 1).alias("__lo"),
-        F.element_at("__cuts", -1).alias("__hi"),
+        F.try_element_at("__cuts", F.lit(1)).alias("__lo"),
+        F.try_element_at("__cuts", F.lit(-1)).alias("__hi"),
     )
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    placed = vals.join(brackets, match)
+    placed = vals.select(*keys, "__x").join(brackets, same_keys(keys, "__k"))
     # Equal values collapse map-side; everything below the bracket collapses to a single row.
     inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
     slice_no = F.when(inside, F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).otherwise(F.lit(-1))
-    counted = (
+    counted = durable(
         placed.filter(F.col("__x") <= F.col("__hi"))
         .groupBy(*keys, "__n", slice_no.alias("__slice"), F.when(inside, F.col("__x")).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     ranked = running(counted, keys, ["__v"], F.col("__slice"), [Running("__upto", "sum", F.col("__c"))])
     low_rank, high_rank = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-    first = F.min(F.when(F.col("__upto") >= low_rank, F.col("__v")))
-    second = F.min(F.when(F.col("__upto") >= high_rank, F.col("__v")))
-    return ranked.groupBy(*keys).agg(((first + second) / 2).alias(name))
+    low = F.min(F.when(F.col("__upto") >= low_rank, F.col("__v")))
+    high = F.min(F.when(F.col("__upto") >= high_rank, F.col("__v")))
+    medians = ranked.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(((low + high) / 2).alias(name))
+    out = first.join(medians, same_keys(keys, "__k"), "left")
+    return out.drop("__cuts", "__n", *[f"__k{i}" for i in range(len(keys))])

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
 from tallyframe.functions.exprs import pct
 from tallyframe.operators import logs
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, int_chunk, running, time_chunk
 from tallyframe.streaming.sinks import as_event_time, fold_sink
 
@@ -58,20 +60,26 @@ def lease_intervals(
 ) -> DataFrame:
     """Batch twin of ``lease_sessions`` for workers with any number of beats.
 
-    The previous beat is the running maximum, the interval number a running sum; both go through
-    time chunks instead of one window per worker.
+    Beats are joined into intervals inside each (worker, time chunk) first. What is left, one row
+    per partial interval, is linked across chunks with running values instead of one window per worker.
     """
     beats = heartbeats.groupBy(worker, F.col(ts).cast("timestamp").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
-    cut = time_chunk("__t", chunk_seconds)
-    linked = running(beats, [worker], [F.col("__t")], cut, [Running("__prev", "max", F.col("__t"), before=True)])
-    gap = F.unix_micros("__t") - F.unix_micros("__prev")
-    begins = F.when(F.col("__prev").isNull() | (gap > lease_seconds * 1_000_000), 1).otherwise(0)
-    numbered = running(linked.withColumn("__b", begins), [worker], [F.col("__t")], cut, [Running("__i", "sum", F.col("__b"))])
+    inside = W.partitionBy(worker, "__c").orderBy("__t")
+    apart = lambda a, b: F.coalesce((F.unix_micros(b) - F.unix_micros(a) > lease_seconds * 1_000_000).cast("int"), F.lit(1))
+    tagged = beats.withColumn("__c", time_chunk("__t", chunk_seconds)).withColumn("__p", F.lag("__t").over(inside))
+    tagged = tagged.withColumn("__i", F.sum(apart(F.col("__p"), F.col("__t"))).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    partial = durable(
+        tagged.groupBy(worker, "__c", "__i").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"), F.sum("__n").alias("__n"))
+    )
+    cut = F.floor(F.col("__c") / 24).cast("bigint")
+    linked = running(partial, [worker], [F.col("__from")], cut, [Running("__prev", "max", F.col("__to"), before=True)])
+    linked = linked.withColumn("__b", apart(F.col("__prev"), F.col("__from")))
+    numbered = running(linked, [worker], [F.col("__from")], cut, [Running("__g", "sum", F.col("__b"))])
     lease = F.expr(f"interval {int(lease_seconds)} seconds")
     return (
-        numbered.groupBy(worker, "__i")
-        .agg(F.min("__t").alias("held_from"), (F.max("__t") + lease).alias("held_until"), F.sum("__n").alias("beats"))
-        .drop("__i")
+        numbered.groupBy(worker, "__g")
+        .agg(F.min("__from").alias("held_from"), (F.max("__to") + lease).alias("held_until"), F.sum("__n").alias("beats"))
+        .drop("__g")
     )
 
 
