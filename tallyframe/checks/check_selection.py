@@ -207,8 +207,11 @@ def d15(fx):
 @check(
     "d16_eval_schedule",
     """
-with o as (select row_idx, row_number() over (order by md5('2:0:' || cast(row_idx as varchar)), row_idx) as rn from examples)
-select cast(floor((rn - 1) / 35e0) as bigint) + 1 as trial, 'minibatch' as kind, row_idx from o where rn <= 35 * 12
+with n as (select count(*) as pool, greatest(cast(floor(count(*) / 35e0) as bigint), 1) as per from examples),
+o as (select row_idx, e.epoch, row_number() over (partition by e.epoch order by md5('2:' || cast(e.epoch as varchar) || ':' || cast(row_idx as varchar)), row_idx) as rn
+  from examples, (select unnest(range(12)) as epoch) e),
+m as (select epoch * per + cast(floor((rn - 1) / 35e0) as bigint) + 1 as trial, row_idx from o, n where rn <= per * 35)
+select trial, 'minibatch' as kind, row_idx from m where trial <= 12
 union all select t, 'full', row_idx from examples, (select unnest([5, 10])::bigint as t) f""",
 )
 def d16(fx):

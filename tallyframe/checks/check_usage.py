@@ -42,9 +42,9 @@ def c3(fx):
     )
 
 
-@check("c4_with_cost", f"select u.conv_id, round(sum({_COST}), 6) as cost from {_PRICED} group by u.conv_id")
+@check("c4_with_cost", f"select u.conv_id, round(sum({_COST}), 8) as cost from {_PRICED} group by u.conv_id")
 def c4(fx):
-    return rounded(us.cost_per(fx.usage_rows, us.price_dim(fx.spark, PRICE_TREE), ["conv_id"]), "cost")
+    return rounded(us.cost_per(fx.usage_rows, us.price_dim(fx.spark, PRICE_TREE), ["conv_id"]), "cost", places=8)
 
 
 @check(
@@ -102,7 +102,7 @@ def c9(fx):
 with t as (select u.conv_id, 'r' || cast(u.conv_id % 2 as varchar) as repo_id, 'p' || cast(u.conv_id % 3 as varchar) as program,
     'v' || cast(u.conv_id % 2 as varchar) as version, 'run' || cast(u.conv_id % 10 as varchar) as run, sum({_COST}) as cost
   from {_PRICED} group by u.conv_id)
-select repo_id, program, version, run, round(sum(cost), 6) as cost, count(*) as traces,
+select repo_id, program, version, run, round(sum(cost), 8) as cost, count(*) as traces,
   (case when grouping(repo_id) = 0 then 1 else 0 end + case when grouping(program) = 0 then 1 else 0 end
    + case when grouping(version) = 0 then 1 else 0 end + case when grouping(run) = 0 then 1 else 0 end)::bigint as level
 from t group by rollup (repo_id, program, version, run)""",
@@ -111,4 +111,4 @@ def c10(fx):
     per_trace = us.cost_per(fx.usage_rows, us.price_dim(fx.spark, PRICE_TREE), ["conv_id"])
     tag = lambda p, n: F.concat(F.lit(p), (F.col("conv_id") % n).cast("string"))
     labelled = per_trace.withColumns({"repo_id": tag("r", 2), "program": tag("p", 3), "version": tag("v", 2), "run": tag("run", 10)})
-    return rounded(us.cost_rollup(labelled), "cost")
+    return rounded(us.cost_rollup(labelled), "cost", places=8)
