@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
 
 from tallyframe.checks.registry import check
 from tallyframe.operators import logs as lg
@@ -101,3 +101,14 @@ def k6(fx):
 )
 def k6_deep(fx):
     return lg.tail(fx.documents.select("lang", "doc_id"), 5000, ["lang"], "doc_id")
+
+
+@check(
+    "m5_user_parser",
+    r"""select job_id, seq, unnest(regexp_extract_all(line, '\d+')) as number, length(line) as width from log_lines""",
+)
+def m5(fx):
+    def numbers(line):
+        return [{"number": n, "width": len(line)} for n in re.findall(r"[0-9]+", line)]
+
+    return lg.parse_with(fx.log_lines, numbers, "number string, width bigint")

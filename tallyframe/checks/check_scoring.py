@@ -142,7 +142,7 @@ def b3(fx):
 def a7(fx):
     r = fx.eval_results
     none = F.col("example_idx") % 13 == 5
-    copies = r.filter("example_idx % 4 = 0").withColumn("seq", F.col("seq") + 10**9)
+    copies = r.withColumn("seq", F.col("seq") + 10**9)
     rows = r.withColumn("example_idx", F.when(~none, F.col("example_idx"))).union(
         copies.withColumn("example_idx", F.when(~none, F.col("example_idx")))
     )
@@ -152,11 +152,11 @@ def a7(fx):
 @check(
     "b4_remaining",
     """select lang as run_id, row_idx as example_idx from examples
-       where row_idx not in (select example_idx from eval_results where example_idx % 3 <> 0)""",
+       where row_idx not in (select example_idx from eval_results where error is null)""",
 )
 def b4(fx):
     todo = fx.examples.select(F.col("lang").alias("run_id"), F.col("row_idx").alias("example_idx"))
-    return sc.remaining(todo, fx.eval_results.filter("example_idx % 3 <> 0"))
+    return sc.remaining(todo, fx.eval_results.filter("error is null"))
 
 
 _SUMMARY_SQL = """select run_id, count(*) as rows, round(sum(score) / count(*) * 100, 6) as score_pct, count(error) as errors,

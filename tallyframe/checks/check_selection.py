@@ -104,6 +104,19 @@ def d7_subset(fx):
     return sel.majority(fx.predictions, size=3, seed=5)
 
 
+_ENSEMBLE = "select row_idx, max(pred) as answer from predictions group by row_idx"
+
+
+@check("m4_ensemble_column", _ENSEMBLE)
+def m4(fx):
+    return sel.ensemble(fx.predictions, F.max("pred"))
+
+
+@check("m4_ensemble_python", _ENSEMBLE)
+def m4_python(fx):
+    return sel.ensemble(fx.predictions, max)
+
+
 def _routed(fx):
     out = (
         F.when(F.col("row_idx") % 9 == 0, '{"response_to_user":"hi","next_tool_name":null}')

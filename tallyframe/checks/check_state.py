@@ -45,24 +45,25 @@ _KEY = "job_id, attempt, relative_path"
     f"""
 with first as (select *, row_number() over (partition by {_KEY} order by created_at, tiebreak, size_bytes) as r,
     row_number() over (partition by {_KEY} order by tiebreak desc, created_at desc, size_bytes desc) as z from artifacts)
-select {_KEY}, size_bytes, digest from first where r = 1 and job_id % 3 <> 0
-union all select {_KEY}, size_bytes, digest from first where z = 1 and job_id % 3 = 0""",
+select {_KEY}, size_bytes, digest from first where r = 1 and attempt <> 1
+union all select {_KEY}, size_bytes, digest from first where z = 1 and attempt = 1""",
 )
 def f2(fx):
     arts, keys = fx.artifacts, ["job_id", "attempt", "relative_path"]
-    target = st.upsert_latest(None, arts.filter("job_id % 3 = 0"), keys, ["tiebreak", "created_at", "size_bytes"])
+    target = st.upsert_latest(None, arts.filter("attempt = 1"), keys, ["tiebreak", "created_at", "size_bytes"])
     out = st.insert_new(target.select(*arts.columns), arts, keys, ["created_at", "tiebreak", "size_bytes"])
     return out.select(*keys, "size_bytes", "digest")
 
 
 @check(
     "f3_upsert_latest",
-    """select worker_id, event_id, epoch_us(ts) // 1000000 as ts_s from (select *, row_number() over (partition by worker_id order by ts desc, event_id desc) as r from heartbeats) t where r = 1""",
+    """select worker_id, event_id, epoch_us(ts) // 1000000 + 3600 as ts_s from (select *, row_number() over (partition by worker_id order by ts desc, event_id desc) as r from heartbeats) t where r = 1""",
 )
 def f3(fx):
     hb = fx.heartbeats
-    old = st.upsert_latest(None, hb.filter("event_id % 2 = 0"), ["worker_id"], ["ts", "event_id"])
-    out = st.upsert_latest(old.select(*hb.columns), hb.filter("event_id % 2 = 1"), ["worker_id"], ["ts", "event_id"])
+    later = hb.withColumn("ts", F.col("ts") + F.expr("interval 1 hour"))
+    old = st.upsert_latest(None, hb, ["worker_id"], ["ts", "event_id"])
+    out = st.upsert_latest(old.select(*hb.columns), later, ["worker_id"], ["ts", "event_id"])
     return out.select("worker_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts_s"))
 
 

@@ -67,7 +67,7 @@ def h4(fx):
     return so.stale_queue(fx.jobs, NOW)
 
 
-_AVAILABLE = "av as (select digest from snapshots where substr(digest, 1, 1) < 'c')"
+_AVAILABLE = "av as (select digest from snapshots where repo_id = 'r0')"
 
 
 @check(
@@ -78,7 +78,7 @@ select * from (select j.id, j.snapshot_id, case when j.snapshot_id is null then
   from jobs j left join snapshots s on s.snapshot_id = j.snapshot_id where j.status = 'running') t where reason is not null""",
 )
 def h5(fx):
-    available = fx.snapshots.filter("substr(digest, 1, 1) < 'c'").select("digest")
+    available = fx.snapshots.filter("repo_id = 'r0'").select("digest")
     return so.block_plan(fx.jobs, fx.snapshots, available, "0.1.5")
 
 
@@ -88,7 +88,7 @@ def h5(fx):
         select snapshot_id from snapshots where digest in (select digest from av))""",
 )
 def h5_unblock(fx):
-    return so.unblock_plan(fx.jobs, fx.snapshots, fx.snapshots.filter("substr(digest, 1, 1) < 'c'").select("digest"))
+    return so.unblock_plan(fx.jobs, fx.snapshots, fx.snapshots.filter("repo_id = 'r0'").select("digest"))
 
 
 @check("h6_verify_digests", "select blob_id, sha256(content) as computed_digest, sha256(content) = recorded_digest as intact from blobs")

@@ -106,6 +106,17 @@ def l4(fx):
     return out.select("job_id", "attempt", "relative_path", "tiebreak", "size_bytes")
 
 
+@check(
+    "l4_write_outcomes_stream",
+    """select coalesce(j.worker_id = 'w' || cast(a.job_id % 1500 % 150 as varchar) and j.attempt = a.attempt, false) as accepted, a.relative_path, count(*) as writes
+       from artifacts a left join jobs j on j.id = a.job_id group by 1, 2""",
+)
+def l4_outcomes(fx):
+    writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))
+    out = appended(live.write_outcomes(replay(writes, "created_at"), fx.jobs))
+    return out.groupBy("accepted", "relative_path").agg(F.count(F.lit(1)).alias("writes"))
+
+
 @check(
     "l5_pair_calls_stream",
     """select s.scope, s.call_id, s.name, e.exception, round(epoch_us(e.ts) / 1e6 - epoch_us(s.ts) / 1e6, 6) as latency_seconds
@@ -120,16 +131,17 @@ def l5(fx):
 
 @check("l6_ingest_once_stream", "select job_id, seq, line from log_lines")
 def l6(fx):
-    twice = fx.log_lines.unionByName(fx.log_lines.filter("seq % 3 = 0"))
+    twice = fx.log_lines.unionByName(fx.log_lines)
     return appended(live.ingest_once(replay(twice), DELAY)).select("job_id", "seq", "line")
 
 
 _GAPS_SQL = """select job_id, seq as after_seq, nxt as before_seq, nxt - seq - 1 as missing from (
-  select conv_id as job_id, turn as seq, lead(turn) over (partition by conv_id order by turn) as nxt from conversations where (conv_id + turn) % 4 <> 1) t where nxt - seq > 1"""
+  select conv_id as job_id, turn as seq, lead(turn) over (partition by conv_id order by turn) as nxt from conversations where role <> 'assistant') t where nxt - seq > 1"""
 
 
 def _holes(fx):
-    c = fx.conversations.filter("(conv_id + turn) % 4 <> 1")
+    """Turns as a log whose assistant lines got lost."""
+    c = fx.conversations.filter("role <> 'assistant'")
     return c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.exprs import pct, to_count
 from tallyframe.plans.ordered import first_n
@@ -168,6 +169,20 @@ def phase(
     return flags.select(job, label.alias("phase"))
 
 
+def parse_with(lines: DataFrame, fn: Callable[[str], Iterable[dict]], schema: str, keep: Sequence[str] = ("job_id", "seq"), text: str = "line") -> DataFrame:
+    """User parser: ``fn(line)`` yields any number of records with the fields of ``schema``; runs on Arrow batches."""
+    names = T._parse_datatype_string(schema).fieldNames()
+    carried = list(keep)
+
+    def batches(frames):
+        for pdf in frames:
+            found = [(*key, *(rec.get(n) for n in names)) for *key, line in pdf[[*carried, text]].itertuples(index=False) for rec in fn(line)]
+            yield pd.DataFrame(found, columns=[*carried, *names])
+
+    out = T.StructType([*[lines.schema[c] for c in carried], *T._parse_datatype_string(schema).fields])
+    return lines.select(*carried, text).mapInPandas(batches, out)
+
+
 def log_errors(lines: DataFrame, job: str = "job_id", seq: str = "seq", text: str = "line") -> DataFrame:
     """Error matches per job: how many, and the last one cut to 240 characters."""
     hits = F.regexp_extract_all(F.col(text), F.lit(ERRORS), 0)

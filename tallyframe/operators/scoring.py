@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, first_n, int_chunk, running
+from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, int_chunk, running
 from tallyframe.plans.quantiles import exact_median
 from tallyframe.plans.running_median import running_median
 from tallyframe.sources.variants import field, is_object
@@ -59,15 +60,30 @@ def apply_predictor(df: DataFrame, fn: Callable[..., object] | Column, inputs: S
     return df.mapInPandas(batches, schema)
 
 
-def python_metric(fn: Callable[[dict, str], object]) -> Callable[..., Column]:
-    """Wrap ``metric(example, prediction) -> number | bool | {score, feedback}`` as an Arrow UDF."""
+def _metric_call(fn: Callable[..., object]) -> Callable[[dict, object], object]:
+    """Call a metric by the widest form its signature takes: five, three or two arguments."""
+    for extra in ((None, None, None), (None,), ()):
+        try:
+            inspect.signature(fn).bind({}, "", *extra)
+        except TypeError:
+            continue
+        return lambda example, prediction: fn(example, prediction, *extra)
+    raise TypeError("a metric takes (example, prediction), (.., trace) or (.., trace, predictor, predictor trace)")
+
+
+def python_metric(fn: Callable[..., object]) -> Callable[..., Column]:
+    """Wrap ``metric(example, prediction[, trace[, name, name_trace]])`` as an Arrow UDF.
+
+    It returns a number, a boolean or ``{score, feedback}``; an exception becomes ``error``.
+    """
+    call = _metric_call(fn)
 
     @F.pandas_udf("score double, feedback string, error string")
     def scored(example: pd.DataFrame, prediction: pd.Series) -> pd.DataFrame:
         out = []
         for ex, pred in zip(example.to_dict("records"), prediction):
             try:
-                got = fn(ex, pred)
+                got = call(ex, pred)
                 if isinstance(got, dict):
                     note = got.get("feedback")
                     out.append((float(got["score"]), None if note is None else str(note), None))

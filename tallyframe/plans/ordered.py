@@ -151,12 +151,14 @@ def row_numbers(
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key.
 
-    Up to 1000 Spark prunes each partition before the shuffle by itself. Beyond that the
-    same pruning is spelled out: ``n`` per (key, salt) first, then ``n`` per key.
+    Up to a threshold Spark prunes each partition before the shuffle by itself. Beyond it a hot
+    key is spread over salts: ``n`` per (key, salt) first, then ``n`` per key.
     """
     name = rank or "__rank"
-    if n > 1000:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(64))
+    conf = df.sparkSession.conf
+    if n > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = int(conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(salts))
         pruned = df.withColumn("__salt", salt)
         per_salt = W.partitionBy(*keys, "__salt").orderBy(*order)
         df = pruned.withColumn("__r", F.row_number().over(per_salt)).filter(F.col("__r") <= n).drop("__r", "__salt")

@@ -17,7 +17,7 @@ from tallyframe.plans.ordered import Running, running
 ACCURACY = 10_000
 # The sketch may be off by N / ACCURACY ranks; the bracket is five times as wide.
 _LOW, _HIGH = 0.5 - 5 / ACCURACY, 0.5 + 5 / ACCURACY
-_SLICES = 64
+_SLICES = 16
 
 
 def same_keys(keys: Sequence[str], prefix: str) -> Column:

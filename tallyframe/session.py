@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join keys even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Prune "first n per key" before the shuffle for larger n as well (Spark's default stops at 1000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Merge a busy key's session windows before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -89,6 +89,16 @@ def fenced_writes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> Da
     return writes.join(owners, [job, "worker_id", "attempt"], "left_semi")
 
 
+def write_outcomes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
+    """Every write marked ``accepted`` or stale, to count what fencing drops (batch or stream)."""
+    owners = jobs.filter(F.col("worker_id").isNotNull()).select(
+        F.col("id").alias(job), "worker_id", "attempt", F.lit(True).alias("__owner")
+    )
+    return writes.join(owners, [job, "worker_id", "attempt"], "left").withColumn(
+        "accepted", F.coalesce("__owner", F.lit(False))
+    ).drop("__owner")
+
+
 def pair_call_streams(
     starts: DataFrame, ends: DataFrame, max_seconds: int, delay: str, keys: Sequence[str] = ("scope", "call_id"), ts: str = "ts"
 ) -> DataFrame:

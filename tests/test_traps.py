@@ -417,3 +417,17 @@ def test_errors_cut_and_counted(spark):
     df = spark.createDataFrame([(1, 1, "x ERROR a"), (1, 2, "Traceback (most " + "z" * 300)], LOG)
     r = lg.log_errors(df).first()
     assert (r.errors, len(r.last_error)) == (2, 240)
+
+
+def test_metric_forms(spark):
+    df = spark.createDataFrame([(1, "1"), (2, "x")], "gold int, prediction string")
+    for metric in (
+        lambda ex, pred: float(int(pred) == ex["gold"]),
+        lambda ex, pred, trace=None: int(pred) == ex["gold"],
+        lambda gold, pred, trace, name, name_trace: {"score": int(pred) == gold["gold"]},
+    ):
+        out = sc.score(df, sc.python_metric(metric)(F.struct("gold"), "prediction"))
+        got = out.orderBy("gold").collect()
+        assert [r.score for r in got] == [1.0, 0.0] and got[0].error is None and "invalid literal" in got[1].error
+    with pytest.raises(TypeError):
+        sc.python_metric(lambda ex: 1)
