@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.plans.ordered import row_numbers
+from tallyframe.plans.quantiles import exact_quantiles
 
 FILTERS = ("status", "type", "program", "version", "dataset", "split")
 STATUSES = ("queued", "running", "succeeded", "failed", "cancelled", "blocked")
@@ -139,11 +140,11 @@ def durations(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.withColumns({"wait_s": wait, "run_s": run}).withColumn("run_text", duration_text(F.col("run_s")))
 
 
-def duration_percentiles(timed: DataFrame, by: Sequence[str], accuracy: int = 10_000) -> DataFrame:
-    """p50/p90/p99 of run time per group from a mergeable sketch, so hot groups stay small."""
-    p = F.percentile_approx("run_s", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), accuracy)
-    out = timed.groupBy(*by).agg(F.count("run_s").alias("jobs"), p.alias("__p"), F.max("run_s").alias("max_s"))
-    return out.select(*by, "jobs", *[F.col("__p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "max_s")
+def duration_percentiles(timed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact p50/p90/p99 of run time per group, for groups of any size."""
+    points = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    stats = [F.count("run_s").alias("jobs"), F.max("run_s").alias("max_s")]
+    return exact_quantiles(timed, by, F.col("run_s"), points, stats)
 
 
 def summary_metrics(jobs: DataFrame, summary: str = "summary") -> DataFrame:

@@ -1,13 +1,13 @@
-"""Exact medians without holding a group's values in one place.
+"""Exact quantiles without holding a group's values in one place.
 
-``median`` keeps a map of all distinct values of a group in one buffer. Here a mergeable
-sketch brackets the middle (its rank error is bounded, so the bracket is certain), and only the
-rows inside the bracket are shuffled and counted exactly.
+``median`` and ``percentile`` keep a map of all distinct values of a group in one buffer. Here a
+mergeable sketch brackets each wanted rank (its rank error is bounded, so the bracket is certain),
+and only the rows inside a bracket are shuffled and counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,8 +15,9 @@ from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import Running, running
 
 ACCURACY = 10_000
-# The sketch may be off by N / ACCURACY ranks; the bracket is five times as wide.
-_LOW, _HIGH = 0.5 - 5 / ACCURACY, 0.5 + 5 / ACCURACY
+# The sketch may be off by N / ACCURACY ranks, interpolation by one more; the bracket is five times
+# as wide. Groups smaller than ACCURACY are counted whole.
+_MARGIN = 5 / ACCURACY
 _SLICES = 16
 
 
@@ -28,15 +29,19 @@ def same_keys(keys: Sequence[str], prefix: str) -> Column:
     return match
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column, name: str, stats: Sequence[Column] = ()) -> DataFrame:
-    """``(keys.., stats.., name)``: exact median per key, NULLs ignored; at least one key.
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: Column, points: Mapping[str, float], stats: Sequence[Column] = ()
+) -> DataFrame:
+    """``(keys.., stats.., points..)``: interpolated quantiles per key, NULLs ignored; at least one key.
 
     Two passes over ``df``: the first computes the sketch together with the caller's other
-    aggregates, the second counts values inside the bracket. Both combine map-side.
+    aggregates, the second counts values inside the brackets. Both combine map-side.
     """
-    keys = list(keys)
+    keys, wanted = list(keys), sorted(set(points.values()))
     vals = df.withColumn("__x", value.cast("double"))
-    grid = [_LOW + (_HIGH - _LOW) * i / _SLICES for i in range(_SLICES + 1)]
+    grid = [
+        min(1.0, max(0.0, p - _MARGIN + 2 * _MARGIN * i / _SLICES)) for p in wanted for i in range(_SLICES + 1)
+    ]
     first = durable(
         vals.groupBy(*keys).agg(
             F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), ACCURACY).alias("__cuts"),
@@ -44,26 +49,42 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: Column, name: str, s
             *stats,
         )
     )
+    at = lambda i: F.try_element_at("__cuts", F.lit(i + 1))
+    edges = [(at(j * (_SLICES + 1)), at(j * (_SLICES + 1) + _SLICES)) for j in range(len(wanted))]
     brackets = first.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         "__n",
-        "__cuts",
-        F.try_element_at("__cuts", F.lit(1)).alias("__lo"),
-        F.try_element_at("__cuts", F.lit(-1)).alias("__hi"),
+        F.when(F.col("__n") >= ACCURACY, F.array_sort("__cuts")).alias("__cuts"),
+        *[c.alias(f"__{side}{j}") for j, pair in enumerate(edges) for side, c in zip(("lo", "hi"), pair)],
+    )
+    placed = vals.filter(F.col("__x").isNotNull()).select(*keys, "__x").join(brackets, same_keys(keys, "__k"))
+    inside, passed = F.col("__cuts").isNull(), F.lit(0)
+    for j in range(len(wanted)):
+        inside = inside | F.col("__x").between(F.col(f"__lo{j}"), F.col(f"__hi{j}"))
+        passed = passed + F.when(F.col("__x") > F.col(f"__hi{j}"), _SLICES + 1).otherwise(0)
+    # Rows outside every bracket collapse to one count per gap; equal values collapse map-side.
+    slice_no = (
+        F.when(F.col("__cuts").isNull(), 0)
+        .when(inside, F.size(F.filter("__cuts", lambda c: c < F.col("__x"))))
+        .otherwise(passed)
     )
-    placed = vals.select(*keys, "__x").join(brackets, same_keys(keys, "__k"))
-    # Equal values collapse map-side; everything below the bracket collapses to a single row.
-    inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
-    slice_no = F.when(inside, F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).otherwise(F.lit(-1))
     counted = durable(
-        placed.filter(F.col("__x") <= F.col("__hi"))
+        placed.filter(F.col("__cuts").isNull() | (F.col("__x") <= F.col(f"__hi{len(wanted) - 1}")))
         .groupBy(*keys, "__n", slice_no.alias("__slice"), F.when(inside, F.col("__x")).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     ranked = running(counted, keys, ["__v"], F.col("__slice"), [Running("__upto", "sum", F.col("__c"))])
-    low_rank, high_rank = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-    low = F.min(F.when(F.col("__upto") >= low_rank, F.col("__v")))
-    high = F.min(F.when(F.col("__upto") >= high_rank, F.col("__v")))
-    medians = ranked.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(((low + high) / 2).alias(name))
-    out = first.join(medians, same_keys(keys, "__k"), "left")
+    picks = []
+    for name, p in points.items():
+        spot = (F.col("__n") - 1) * p + 1
+        low = F.min(F.when(F.col("__upto") >= F.floor(spot), F.col("__v")))
+        high = F.min(F.when(F.col("__upto") >= F.ceil(spot), F.col("__v")))
+        part = F.max(spot - F.floor(spot))
+        picks.append((low + (high - low) * part).alias(name))
+    found = ranked.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*picks)
+    out = first.join(found, same_keys(keys, "__k"), "left")
     return out.drop("__cuts", "__n", *[f"__k{i}" for i in range(len(keys))])
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: Column, name: str, stats: Sequence[Column] = ()) -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5}, stats)

@@ -11,7 +11,7 @@ from tallyframe.functions.exprs import digest_order
 from tallyframe.plans.durable import scratch, shared_dir
 from tallyframe.plans.ordered import CHUNK, Running, first_n, hash_chunk, int_chunk, range_chunks, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS, param_table
-from tallyframe.plans.quantiles import exact_median
+from tallyframe.plans.quantiles import exact_median, exact_quantiles
 from tallyframe.plans.running_median import running_median
 
 KINDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -74,6 +74,22 @@ def test_exact_median_with_ties_and_nulls(spark):
         assert got[k] == (statistics.median(vals) if vals else None)
 
 
+@pytest.mark.parametrize("shape", ["spread", "ties"])
+def test_exact_quantiles_beyond_the_sketch_size(spark, shape):
+    """60,000 rows per group: brackets are in use, and must still give the exact ranks."""
+    import numpy as np
+
+    x = F.rand(4) * 100 if shape == "spread" else F.floor(F.rand(4) * 7).cast("double")
+    df = spark.range(120_001).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"), x.alias("v")).cache()
+    points = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99, "top": 1.0}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), points, [F.count("v").alias("n")]).collect()}
+    for k in ("a", "b"):
+        vals = np.array([r.v for r in df.filter(F.col("k") == k).collect()])
+        assert got[k].n == len(vals)
+        for name, p in points.items():
+            assert got[k][name] == pytest.approx(np.quantile(vals, p), abs=1e-9)
+
+
 @pytest.mark.parametrize("block", [10_000, 32])
 def test_running_median(spark, block):
     rnd = random.Random(5)
