@@ -11,8 +11,11 @@ from tallyframe.plans.ordered import int_chunk, row_numbers
 
 
 def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
-    """Dimension with unseen keys added; new ids follow the largest one in use, in key order."""
-    seen = facts.select(*keys).distinct()
+    """Dimension with unseen keys added; new ids follow the largest one in use, in key order.
+
+    Keys with a NULL part get no row.
+    """
+    seen = facts.select(*keys).dropna().distinct()
     if existing is None:
         return row_numbers(seen, [], [F.col(k) for k in keys], id_col)
     fresh = seen.join(existing, list(keys), "left_anti")
@@ -28,14 +31,14 @@ def upsert_dims(
     """Insert-if-absent down a chain of levels; each level is keyed by its parent's id.
 
     ``levels``: ``(name, own key columns)`` from top to bottom. Returns the dimension tables and
-    the facts with every ``<name>_id``.
+    the facts with every ``<name>_id`` (NULL where a key is NULL).
     """
     dims: dict[str, DataFrame] = {}
     out, parent = facts, []
     for name, own in levels:
         keys = [*parent, *own]
         dims[name] = upsert_dim((existing or {}).get(name), out, keys, f"{name}_id")
-        out = out.join(dims[name], keys)
+        out = out.join(dims[name], keys, "left")
         parent = [f"{name}_id"]
     return dims, out
 
@@ -99,7 +102,7 @@ def allocate(
 ) -> DataFrame:
     """``(scope.., order, run_number)``: one more than the previous number, but always above the request's seed.
 
-    Closed form over the request order: position + running max of (seed + 1 - position). The
+    Scope columns are the parent's key, so never NULL. Closed form over the request order: position + running max of (seed + 1 - position). The
     maximum inside a chunk needs only positions inside the chunk; what earlier chunks add is one
     carried count and one carried maximum. Only the narrow columns travel, and both uses share
     one exchange.

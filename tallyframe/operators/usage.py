@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window as W
 
 from tallyframe.plans.params import param_table
 
@@ -72,22 +73,22 @@ def unpriced(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def pair_calls(events: DataFrame, keys: Sequence[str] = ("scope", "call_id")) -> DataFrame:
-    """Start and end events of a call in one aggregate (no self join); unpaired ones drop out.
+    """Start and end events of a call in one ordered pass (no self join); unpaired ones drop out.
 
-    A repeated start replaces the earlier one; the first end after it closes the call.
+    An end pairs with the event right before it if that is a start: a repeated start replaces the
+    earlier one, a repeated end is ignored, and an id may be used again. A group is one call's events.
     """
-    start, end = F.col("kind") == "start", F.col("kind") == "end"
-    calls = events.groupBy(*keys).agg(
-        F.max(F.when(start, F.col("ts"))).alias("started_at"),
-        F.max_by(F.when(start, F.col("name")), F.when(start, F.col("ts"))).alias("name"),
-        F.min(F.when(end, F.col("ts"))).alias("ended_at"),
-        F.min_by(F.when(end, F.col("exception")), F.when(end, F.col("ts"))).alias("exception"),
-    )
-    seconds = (
-        F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
-    ) / 1e6
-    paired = calls.filter("started_at is not null and ended_at is not null")
-    return paired.withColumn("latency_seconds", seconds)
+    known = events
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    # At equal times a start comes before its end.
+    w = W.partitionBy(*keys).orderBy("ts", F.when(F.col("kind") == "start", 0).otherwise(1))
+    before = known.withColumn("__b", F.lag(F.struct("kind", "ts", "name")).over(w))
+    paired = before.filter((F.col("kind") == "end") & (F.col("__b.kind") == "start"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return paired.select(
+        *keys, F.col("__b.name").alias("name"), F.col("__b.ts").alias("started_at"), F.col("ts").alias("ended_at"), "exception"
+    ).withColumn("latency_seconds", (micros("ended_at") - micros("started_at")) / 1e6)
 
 
 def lm_latency(calls: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -140,6 +140,26 @@ def test_reported_cost_zero_or_negative_falls_back(spark):
     assert rows(us.unpriced(u.withColumn("total_tokens", F.lit(7)), prices), "model", "rows", "total_tokens") == [("x/m", 1, 7)]
 
 
+def test_call_pairing_reuse_repeats_and_orphans(spark):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2001, 1, 1) + dt.timedelta(seconds=s)
+    data = [(1, "start", 0), (1, "end", 2), (1, "start", 5), (1, "end", 9), (1, "end", 10)]  # id used twice, one end too many
+    data += [(2, "start", 0), (2, "start", 3), (2, "end", 4), (3, "end", 1), (4, "start", 1), (5, "end", 7), (5, "start", 7), (None, "start", 0), (None, "end", 1)]
+    ev = spark.createDataFrame([(0, c, k, at(s), "m", False) for c, k, s in data], "scope int, call_id int, kind string, ts timestamp, name string, exception boolean")
+    assert rows(us.pair_calls(ev), "call_id", "latency_seconds") == [(1, 2.0), (1, 4.0), (2, 1.0), (5, 0.0)]
+    none = us.lm_latency(us.pair_calls(ev.limit(0))).first()
+    assert (none.calls, none.total_seconds, none.mean_seconds) == (0, 0.0, 0.0)
+
+
+def test_dimension_chain_keeps_rows_with_null_keys(spark):
+    f = spark.createDataFrame([("a", "x"), ("a", None), (None, "x"), ("b", "x")], "p string, v string")
+    dims, facts = st.upsert_dims(f, [("program", ["p"]), ("version", ["v"])])
+    assert rows(facts, "p", "v", "program_id", "version_id") == sorted([("a", "x", 1, 1), ("a", None, 1, None), (None, "x", None, None), ("b", "x", 2, 2)], key=repr)
+    again, _ = st.upsert_dims(f.union(spark.createDataFrame([("c", "x")], f.schema)), [("program", ["p"]), ("version", ["v"])], dims)
+    assert rows(again["program"], "p", "program_id") == [("a", 1), ("b", 2), ("c", 3)]
+
+
 def test_first_maximum_wins_and_stops_at_perfect(spark):
     a = spark.createDataFrame(
         [(0, "p", 1, "a", 0.5, ""), (0, "p", 2, "b", 0.5, ""), (0, "p", 3, "c", 0.4, ""), (1, "p", 1, "a", 1.0, ""), (1, "p", 2, "b", 2.0, "")],
