@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import itertools
 import json
-import math
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import digest_fraction, digest_order
+from tallyframe.operators.neighbors import knn_demos  # noqa: F401  (few-shot by nearest neighbours)
 from tallyframe.plans.ordered import Running, first_n, hash_chunk, int_chunk, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS
 from tallyframe.sources.variants import field
@@ -172,7 +171,7 @@ def route_by_keys(rules: Sequence[tuple[str, str]]) -> Callable[[Column], Column
     return route
 
 
-# Registry of named routes; add entries for other programs.
+# Registry of named routes; add entries for other programs. The keys and component names.
 ROUTES: dict[str, Callable[[Column], Column]] = {
     "tool_or_answer": route_by_keys([("next_tool_name", "strategy.react"), ("response_to_user", "strategy.extract.predict")]),
 }
@@ -301,50 +300,6 @@ def bootstrap_demos(
     )
 
 
-def knn_demos(
-    queries: DataFrame, train: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block_rows: int = 4096
-) -> DataFrame:
-    """Exact k nearest training vectors by cosine for every query, ties to the lowest id; never itself.
-
-    Both sides are hashed into blocks of about ``block_rows``; each pair of blocks is one matrix
-    product that emits only its best ``k`` per query, and those partial lists are merged. No task
-    holds more than two blocks, and only ids and scores leave them.
-    """
-    q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    t_blocks = max(1, math.ceil(train.count() / block_rows))
-    block = lambda n: F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), block(q_blocks).alias("qb"), every(t_blocks).alias("tb"))
-    right = train.select(F.col(key).alias("id"), F.col(vector).alias("v"), block(t_blocks).alias("tb"), every(q_blocks).alias("qb"))
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        m = np.array(rows.tolist(), dtype=np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def best_in_block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []}).astype(
-            {"query_id": "int64", "neighbor_id": "int64", "similarity": "float64"}
-        )
-        if q.empty or t.empty:
-            return empty
-        qid, tid = q["id"].to_numpy(), t["id"].to_numpy()
-        sim = np.round(unit(q["v"]) @ unit(t["v"]).T, 6)
-        sim[qid[:, None] == tid[None, :]] = -np.inf
-        kth = -np.partition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, min(k, sim.shape[1]) - 1]
-        out = []
-        for i in range(len(qid)):
-            near = np.flatnonzero((sim[i] >= kth[i]) & (sim[i] > -np.inf))
-            near = near[np.lexsort((tid[near], -sim[i][near]))[:k]]
-            out.append(pd.DataFrame({"query_id": qid[i], "neighbor_id": tid[near], "similarity": sim[i][near]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    partial = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(
-        best_in_block, "query_id bigint, neighbor_id bigint, similarity double"
-    )
-    order = [F.col("similarity").desc(), F.col("neighbor_id")]
-    return first_n(partial, ["query_id"], order, k, rank="rank").withColumn("rank", F.col("rank").cast("bigint"))
-
-
 def pos_neg(scored: DataFrame, lo: float, hi: float, n: int, by: str = "candidate", key: str = "row_idx") -> DataFrame:
     """Positive and negative examples per predictor, best and worst first, at most ``n`` of each."""
     label = F.when(F.col("score") >= hi, "positive").when(F.col("score") <= lo, "negative")
@@ -362,8 +317,11 @@ def holdout(df: DataFrame, ratio: float = 0.1, seed: int = 0, key: str = "row_id
 
 def finetune_export(scored: DataFrame, path: str, threshold: float = 1.0, multitask: bool = True, by: str = "candidate") -> None:
     """Passing rows as JSON lines; without ``multitask`` one directory per predictor."""
-    writer = scored.filter(F.col("score") >= threshold).write.mode("append")
-    (writer if multitask else writer.partitionBy(by)).json(path)
+    passing = scored.filter(F.col("score") >= threshold)
+    if multitask:
+        passing.write.mode("append").json(path)
+    else:
+        passing.hint("rebalance", by).write.mode("append").partitionBy(by).json(path)
 
 
 def reflective_dataset(

@@ -207,13 +207,40 @@ def test_knn_blocks_agree_with_one_block(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
     one = rows(sel.knn_demos(df, df, 4), "query_id", "rank", "neighbor_id")
     many = rows(sel.knn_demos(df, df, 4, block_rows=17), "query_id", "rank", "neighbor_id")
+    pruned = rows(sel.knn_demos(df, df, 4, block_rows=5, pivots=20), "query_id", "rank", "neighbor_id")
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     sim = np.round(unit @ unit.T, 6)
     want = []
     for q in range(120):
         near = sorted((-sim[q, t], t) for t in range(120) if t != q)[:4]
         want += [(q, i + 1, t) for i, (_, t) in enumerate(near)]
-    assert one == many == sorted(want, key=repr)
+    assert one == many == pruned == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_knn_on_clusters_copies_and_zero_vectors(spark, k):
+    """Clustered vectors make the pruning bite; queries and training rows overlap only partly."""
+    import numpy as np
+
+    from tallyframe.operators import neighbors as nb
+
+    rng = np.random.default_rng(k)
+    centres = rng.normal(size=(6, 5)) * 4
+    vecs = np.concatenate([c + rng.normal(size=(30, 5)) * 0.05 for c in centres] + [np.tile(centres[0], (20, 1)), np.zeros((2, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
+    q, t = df.filter("vec_id < 120 or vec_id >= 200"), df.filter("vec_id >= 40")
+    got = rows(sel.knn_demos(q, t, k, block_rows=16, pivots=8), "query_id", "rank", "neighbor_id")
+    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+    sim = np.round(unit @ unit.T, 6)
+    want = []
+    for a in [i for i in range(len(vecs)) if i < 120 or i >= 200]:
+        near = sorted((-sim[a, b], b) for b in range(40, len(vecs)) if b != a)[:k]
+        want += [(a, i + 1, b) for i, (_, b) in enumerate(near)]
+    assert got == sorted(want, key=repr)
+    asks, points = (x.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")) for x in (q, t))
+    _placed, visits, _sizes = nb._prune(asks, points, k, 8)
+    if k < 50:
+        assert visits.count() < q.count() * 8 / 2  # most cells are ruled out
 
 
 def test_holdout_survives_repartition(spark):
