@@ -34,3 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a lookup table to the shared folder and read it back.
+
+    For the small side of a join on the key it was aggregated by. An aggregate would hand its
+    partitioning to the join, and adaptive execution cannot split a hot key of the other side then. A
+    file scan has a known size: small enough it is broadcast, otherwise both sides are shuffled and
+    hot keys are split.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
