@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.session import apply_skew_settings
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -232,7 +234,7 @@ class Fixtures:
     """Tables and views of one scale-factor folder, read lazily: ``fx.jobs``, ``fx.documents``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = apply_skew_settings(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

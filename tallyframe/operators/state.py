@@ -110,6 +110,7 @@ def allocate(
     scope = list(scope)
     cut = int_chunk(order) if chunk is None else chunk
     narrow = requests.select(*scope, order, F.coalesce(seed, F.lit(0)).alias("__seed")).withColumn("__c", cut)
+    narrow = narrow.repartition(*scope, "__c")  # never by the scope alone
     inside = W.partitionBy(*scope, "__c").orderBy(order)
     local = narrow.withColumn("__p", F.row_number().over(inside))
     local = local.withColumn("__lift", F.max(F.col("__seed") + 1 - F.col("__p")).over(inside.rowsBetween(W.unboundedPreceding, 0)))

@@ -20,6 +20,7 @@ from tallyframe.plans.durable import durable
 
 ROWS_PER_CHUNK = 1 << 18
 CHUNK = "__chunk"
+GROUP = "__group"
 
 
 def int_chunk(col: str | Column, rows: int = ROWS_PER_CHUNK) -> Column:
@@ -32,7 +33,7 @@ def time_chunk(col: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds).cast("bigint")
 
 
-def hash_chunk(hex_col: Column, digits: int = 3) -> Column:
+def hash_chunk(hex_col: Column, digits: int = 4) -> Column:
     """Leading digits of a hex digest: equal-sized chunks for a digest order."""
     return F.substring(hex_col, 1, digits)
 
@@ -77,12 +78,14 @@ def running(
     """Add running values per key; equal to an unbounded-preceding window over ``keys``."""
     keys, order = list(keys), list(order)
     slots = [f"__v{i}" for i in range(len(values))]
-    base = df.withColumn(CHUNK, chunk)
+    # One struct as group key: its NULL parts compare equal, so the window and the join share
+    # a single exchange and NULL keys still form groups.
+    base = df.withColumn(GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk")))
     for slot, v in zip(slots, values):
         base = base.withColumn(slot, F.lit(1) if v.value is None else v.value)
 
     # Carry: one row per (key, chunk), partially aggregated before the shuffle.
-    totals = base.groupBy(*keys, CHUNK).agg(
+    totals = base.groupBy(GROUP).agg(
         *[
             (
                 F.max_by(F.col(s), F.when(F.col(s).isNotNull(), F.struct(*order)))
@@ -92,36 +95,35 @@ def running(
             for i, (s, v) in enumerate(zip(slots, values))
         ]
     )
-    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    earlier = (
+        W.partitionBy(*[f"{GROUP}.k{i}" for i in range(len(keys))])
+        .orderBy(f"{GROUP}.chunk")
+        .rowsBetween(W.unboundedPreceding, -1)
+    )
     carry = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(CHUNK).alias("__kc"),
+        GROUP,
         *[
             _fold("sum" if v.kind == "count" else v.kind, F.col(f"__t{i}")).over(earlier).alias(f"__c{i}")
             for i, v in enumerate(values)
         ],
     )
 
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    inside = W.partitionBy(GROUP).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     prior = inside.rowsBetween(W.unboundedPreceding, -1)
-    local = base.select(
-        "*",
+    # Explicit, because data already partitioned by the keys alone could satisfy the window and
+    # leave a hot key in one task.
+    local = base.repartition(GROUP).select(
+        GROUP,
+        *df.columns,
         *[
             _fold(v.kind, F.col(s)).over(prior if v.before else upto).alias(f"__l{i}")
             for i, (s, v) in enumerate(zip(slots, values))
         ],
     )
-    match = F.col(CHUNK).eqNullSafe(F.col("__kc"))
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = local.join(carry, match, "left")
-    return joined.select(
+    return local.join(carry, GROUP).select(
         *df.columns,
-        *[
-            _merge(v.kind, F.col(f"__c{i}"), F.col(f"__l{i}")).alias(v.name)
-            for i, v in enumerate(values)
-        ],
+        *[_merge(v.kind, F.col(f"__c{i}"), F.col(f"__l{i}")).alias(v.name) for i, v in enumerate(values)],
     )
 
 
@@ -161,7 +163,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(salts))
         pruned = df.withColumn("__salt", salt)
         per_salt = W.partitionBy(*keys, "__salt").orderBy(*order)
-        df = pruned.withColumn("__r", F.row_number().over(per_salt)).filter(F.col("__r") <= n).drop("__r", "__salt")
+        df = pruned.repartition(*keys, "__salt").withColumn("__r", F.row_number().over(per_salt)).filter(F.col("__r") <= n).drop("__r", "__salt")
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
     return out if rank else out.drop(name)
 

@@ -19,6 +19,22 @@ SETTINGS = {
 }
 
 
+# The settings that decide how hot keys are handled; safe to apply to any running session.
+SKEW_SETTINGS = (
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
+    "spark.sql.optimizer.windowGroupLimitThreshold",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition",
+)
+
+
+def apply_skew_settings(spark: SparkSession) -> SparkSession:
+    for key in SKEW_SETTINGS:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = (

@@ -85,3 +85,16 @@ def test_hot_run_in_summary(skew):
     got = sc.run_summary(r).filter("run_id = '0'").first()
     want = r.filter("run_id = '0'").agg(F.median("latency") * 1000).first()[0]
     assert got.latency_med_ms == pytest.approx(want)
+
+
+def test_running_spreads_a_hot_key_of_already_partitioned_input(skew):
+    """Input hashed by the key alone must be redistributed by (key, chunk)."""
+    from tallyframe.plans.ordered import Running, int_chunk, running
+
+    df = skew.range(200_000).select(F.lit(7).alias("k"), F.col("id").alias("seq")).repartition(16, "k")
+    out = running(df, ["k"], [F.col("seq")], int_chunk("seq", 10_000), [Running("n", "count")])
+    skew.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert out.filter("n <> seq + 1").count() == 0
+    skew.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(sizes) < 100_000
