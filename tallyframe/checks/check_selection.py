@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.checks.check_scoring import rounded
 from tallyframe.checks.registry import check
-from tallyframe.operators import selection as sel
+from tallyframe.operators import neighbors as nb, selection as sel
 from tallyframe.plans.durable import scratch
 
 SWEEPS = {"model": ["acme/small", "acme/large"], "k": [1, 4, 16]}
@@ -197,7 +197,7 @@ select query_id, neighbor_id, similarity, rank from (select *, row_number() over
 where rank <= 5""",
 )
 def d13(fx):
-    return sel.knn_demos(fx.embeddings, fx.embeddings, 5)
+    return nb.knn_demos(fx.embeddings, fx.embeddings, 5)
 
 
 @check(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.checks.check_scoring import PRICE_TREE, rounded
 from tallyframe.checks.registry import check
-from tallyframe.operators import scoring as sc, usage as us
+from tallyframe.operators import usage as us
 
 _TOKENS = ", ".join(
     f"cast(sum(coalesce({c}, 0)) as bigint) as {c}" for c in ("prompt_tokens", "completion_tokens", "total_tokens")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyframe.plans.ordered import page_of
 from tallyframe.sources.variants import field, is_object, is_string, leaves
 
 SPLIT_NAMES = ("train", "val", "test")
@@ -47,7 +48,7 @@ def select_split(
         miss = F.raise_error(F.concat(F.lit("split index out of range: "), F.col("row_idx").cast("string")))
         out = out.withColumn("row_idx", F.when(F.col("found"), F.col("row_idx")).otherwise(miss.cast("bigint"))).drop("found")
     if limit is not None:
-        out = out.orderBy("pos").limit(limit)
+        out = page_of(out, [F.col("pos")], 0, limit)
     return out
 
 

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import digest_fraction, digest_order
-from tallyframe.operators.neighbors import knn_demos  # noqa: F401  (few-shot by nearest neighbours)
 from tallyframe.plans.durable import materialize
 from tallyframe.plans.ordered import Running, first_n, hash_chunk, int_chunk, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS

@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.exprs import digest_fraction, digest_order
 from tallyframe.plans.durable import durable, materialize
-from tallyframe.plans.ordered import row_numbers
-
-# Up to here a page is a top-k; deeper pages number the rows across tasks instead.
-_TOP_K_ROWS = 10_000
-
+from tallyframe.plans.ordered import page_of, row_numbers
 
 def trace_page(
     traces: DataFrame, label: str, page: int = 1, limit: int = 50, environment: str = "environment", ts: str = "timestamp", key: str = "trace_id"
@@ -24,11 +20,7 @@ def trace_page(
         raise ValueError("page starts at 1")
     mine = traces.filter(F.col(environment) == label)
     order = [F.col(ts).desc(), F.col(key)]
-    skip = (page - 1) * limit
-    if skip + limit <= _TOP_K_ROWS:
-        rows = mine.orderBy(*order).offset(skip).limit(limit)
-    else:
-        rows = row_numbers(mine, [], order, "__n").filter(F.col("__n").between(skip + 1, skip + limit)).drop("__n")
+    rows = page_of(mine, order, (page - 1) * limit, limit)
     total = mine.agg(F.count(F.lit(1))).scalar()
     text = F.coalesce("input", F.lit(""))
     preview = F.when(F.length(text) > 140, F.concat(F.substring(text, 1, 140), F.lit("…"))).otherwise(text)

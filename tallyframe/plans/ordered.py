@@ -150,6 +150,18 @@ def row_numbers(
     return running(df, keys, order, chunk, [Running(name, "count")])
 
 
+# Up to here "first n of the whole table" is a top-k in one task; beyond it rows are numbered by many.
+TOP_K_ROWS = 10_000
+
+
+def page_of(df: DataFrame, order: Sequence[str | Column], skip: int, n: int) -> DataFrame:
+    """Rows ``skip + 1 .. skip + n`` of the whole table in a unique order, for pages of any depth."""
+    if skip + n <= TOP_K_ROWS:
+        return df.orderBy(*order).offset(skip).limit(n)
+    numbered = row_numbers(df, [], order, "__row")
+    return numbered.filter(F.col("__row").between(skip + 1, skip + n)).drop("__row")
+
+
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key.
 

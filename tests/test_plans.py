@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from tallyframe.functions.exprs import digest_order
 from tallyframe.plans.durable import scratch, shared_dir
-from tallyframe.plans.ordered import CHUNK, Running, first_n, hash_chunk, int_chunk, range_chunks, row_numbers, running
+from tallyframe.plans.ordered import CHUNK, Running, first_n, hash_chunk, int_chunk, page_of, range_chunks, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS, param_table
 from tallyframe.plans.quantiles import exact_median, exact_quantiles
 from tallyframe.plans.running_median import running_median
@@ -63,6 +63,13 @@ def test_first_n(spark, n):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pages_of_any_depth(spark):
+    df = spark.range(25_000).select((F.col("id") * 7 % 25_000).alias("x"))
+    for skip, n in ((0, 5), (9_990, 20), (24_990, 50)):
+        got = sorted(r.x for r in page_of(df, [F.col("x").desc()], skip, n).collect())
+        assert got == sorted(range(24_999 - skip, max(24_999 - skip - n, -1), -1))
+
+
 def test_exact_median_with_ties_and_nulls(spark):
     rnd = random.Random(3)
     rows = [("hot", rnd.choice([0.0, 0.0, 1.5, rnd.random() * 9])) for _ in range(5001)]

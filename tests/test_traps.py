@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallyframe.functions import exprs as xp
-from tallyframe.operators import artifacts as ar, examples as ex, jobs as jb, logs as lg, scoring as sc, selection as sel
+from tallyframe.operators import artifacts as ar, examples as ex, jobs as jb, logs as lg, neighbors as nb, scoring as sc, selection as sel
 from tallyframe.operators import state as st, storage as so, traces as tr, usage as us
 from tallyframe.plans.durable import scratch
 from tallyframe.sources import jsonl
@@ -205,9 +205,9 @@ def test_knn_blocks_agree_with_one_block(spark):
     vecs = rng.normal(size=(120, 8))
     vecs[60:80] = vecs[0]  # copies tie
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
-    one = rows(sel.knn_demos(df, df, 4), "query_id", "rank", "neighbor_id")
-    many = rows(sel.knn_demos(df, df, 4, block_rows=17), "query_id", "rank", "neighbor_id")
-    pruned = rows(sel.knn_demos(df, df, 4, block_rows=5, pivots=20), "query_id", "rank", "neighbor_id")
+    one = rows(nb.knn_demos(df, df, 4), "query_id", "rank", "neighbor_id")
+    many = rows(nb.knn_demos(df, df, 4, block_rows=17), "query_id", "rank", "neighbor_id")
+    pruned = rows(nb.knn_demos(df, df, 4, block_rows=5, pivots=20), "query_id", "rank", "neighbor_id")
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     sim = np.round(unit @ unit.T, 6)
     want = []
@@ -222,14 +222,12 @@ def test_knn_on_clusters_copies_and_zero_vectors(spark, k):
     """Clustered vectors make the pruning bite; queries and training rows overlap only partly."""
     import numpy as np
 
-    from tallyframe.operators import neighbors as nb
-
     rng = np.random.default_rng(k)
     centres = rng.normal(size=(6, 5)) * 4
     vecs = np.concatenate([c + rng.normal(size=(30, 5)) * 0.05 for c in centres] + [np.tile(centres[0], (20, 1)), np.zeros((2, 5))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
     q, t = df.filter("vec_id < 120 or vec_id >= 200"), df.filter("vec_id >= 40")
-    got = rows(sel.knn_demos(q, t, k, block_rows=16, pivots=8), "query_id", "rank", "neighbor_id")
+    got = rows(nb.knn_demos(q, t, k, block_rows=16, pivots=8), "query_id", "rank", "neighbor_id")
     unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
     sim = np.round(unit @ unit.T, 6)
     want = []
