@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.plans.durable import materialize
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import row_numbers
 from tallyframe.plans.quantiles import exact_quantiles
 
@@ -187,7 +187,7 @@ def _waiting_reason(running_users: str) -> Column:
 def _with_reason(jobs: DataFrame) -> DataFrame:
     queued = jobs.filter(F.col("status") == "queued")
     # Any running job of the user blocks, parallel ones included.
-    busy = materialize(jobs.filter(F.col("status") == "running").select("user_id").distinct(), "busy").withColumn("__busy", F.lit(True))
+    busy = durable(jobs.filter(F.col("status") == "running").select("user_id").distinct(), "busy").withColumn("__busy", F.lit(True))
     return queued.join(busy, "user_id", "left").withColumn("reason", _waiting_reason("__busy")).drop("__busy")
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyframe.plans.durable import materialize
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, int_chunk, running
 from tallyframe.plans.quantiles import exact_median
 from tallyframe.plans.running_median import running_median
@@ -249,7 +249,7 @@ def running_progress(
             Running("__sq", "sum", (lat * 1000) * (lat * 1000)),
         ],
     )
-    totals = materialize(results.groupBy(F.col(run).alias("__run")).agg(F.count(F.lit(1)).alias("total")), "totals")
+    totals = durable(results.groupBy(F.col(run).alias("__run")).agg(F.count(F.lit(1)).alias("total")), "totals")
     out = out.join(totals, F.col(run).eqNullSafe(F.col("__run"))).drop("__run")
     n = F.col("completed")
     mean_ms = F.col("__lat") * 1000 / n
@@ -304,7 +304,7 @@ def score_distinct(df: DataFrame, keys: Sequence[str], scorer: Callable[[DataFra
     parts = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in keys]
     tagged = df.withColumn("fingerprint", F.sha2(F.to_json(F.array(*parts)), 256))
     once = tagged.groupBy("fingerprint").agg(*[F.any_value(k).alias(k) for k in keys])
-    scored = materialize(scorer(once).drop(*keys), "scored")
+    scored = durable(scorer(once).drop(*keys), "scored")
     return tagged.join(scored, "fingerprint")
 
 

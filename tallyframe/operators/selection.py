@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import digest_fraction, digest_order
-from tallyframe.plans.durable import materialize
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import Running, first_n, hash_chunk, int_chunk, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS
 from tallyframe.sources.variants import field
@@ -208,7 +208,7 @@ def _epoch_batches(pooled: DataFrame, size: int, seed: int, key: str) -> DataFra
 def minibatches(routed: DataFrame, size: int, seed: int = 0, epochs: int = 1, key: str = "row_idx") -> DataFrame:
     """Route-pure batches per epoch: ``(route, epoch, batch, key)``."""
     pools = routed.filter(F.col("route").isNotNull()).select("route", key)
-    sizes = materialize(pools.groupBy("route").agg(F.count(F.lit(1)).alias("pool")), "pools")
+    sizes = durable(pools.groupBy("route").agg(F.count(F.lit(1)).alias("pool")), "pools")
     spread = pools.join(sizes, "route").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     return _epoch_batches(spread, size, seed, key).select("route", F.col("epoch").cast("bigint").alias("epoch"), "batch", key)
 
@@ -224,7 +224,7 @@ def iteration_batches(
     n = len(predictors)
     slot = F.array_position(F.array(*[F.lit(p) for p in predictors]), F.col("route")) - 1
     pools = routed.filter(F.col("route").isin(*predictors)).select("route", key)
-    sizes = materialize(pools.groupBy("route").agg(F.count(F.lit(1)).alias("pool")), "pools")
+    sizes = durable(pools.groupBy("route").agg(F.count(F.lit(1)).alias("pool")), "pools")
     per_epoch = F.greatest(F.floor(F.col("pool") / size), F.lit(1))
     turns = F.ceil((F.lit(iterations) - slot) / n)
     sizes = sizes.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import compatible
 from tallyframe.operators.artifacts import under_roots
-from tallyframe.plans.durable import materialize
+from tallyframe.plans.durable import durable
 
 LIVE_SECONDS = 30
 STALE_SECONDS = 300
@@ -61,7 +61,7 @@ def reclaim_plan(jobs: DataFrame, heartbeats: DataFrame, now: str, seconds: int
     Spelled as an equi-join plus one scalar, because a null-aware anti join inside OR would be a
     nested loop.
     """
-    live = materialize(live_workers(heartbeats, now, seconds).filter("live").select("worker_id"), "live").withColumn("__live", F.lit(True))
+    live = durable(live_workers(heartbeats, now, seconds).filter("live").select("worker_id"), "live").withColumn("__live", F.lit(True))
     any_live = live.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     running = jobs.filter("status = 'running'").join(live, "worker_id", "left").withColumn("__any", any_live)
     lost = F.when(~F.col("__any"), True).when(F.col("worker_id").isNull(), False).otherwise(F.col("__live").isNull())
@@ -81,7 +81,7 @@ def stale_queue(jobs: DataFrame, now: str, seconds: int = STALE_SECONDS) -> Data
 def block_plan(jobs: DataFrame, snapshots: DataFrame, available: DataFrame, version: str, spec: str = "runtime_spec") -> DataFrame:
     """Running jobs that cannot proceed and the first reason why. ``available`` lists fetchable digests."""
     snaps = snapshots.select("snapshot_id", F.col("digest").alias("__digest"))
-    have = materialize(available.select(F.col("digest").alias("__digest")).distinct(), "available").withColumn("__have", F.lit(True))
+    have = durable(available.select(F.col("digest").alias("__digest")).distinct(), "available").withColumn("__have", F.lit(True))
     joined = jobs.filter("status = 'running'").join(snaps, "snapshot_id", "left").join(have, "__digest", "left")
     reason = (
         F.when(F.col("snapshot_id").isNull(), "job has no snapshot")
@@ -137,7 +137,7 @@ def dedupe_stats(manifests: DataFrame, by: Sequence[str] = (), digest: str = "di
 
 def resolve(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """``(repo_id, digest)`` to the first snapshot id, or ``missing``."""
-    ids = materialize(snapshots.groupBy("repo_id", "digest").agg(F.min("snapshot_id").alias("snapshot_id")), "ids")
+    ids = durable(snapshots.groupBy("repo_id", "digest").agg(F.min("snapshot_id").alias("snapshot_id")), "ids")
     return requests.join(ids, ["repo_id", "digest"], "left").withColumn("missing", F.col("snapshot_id").isNull())
 
 

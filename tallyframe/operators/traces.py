@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.exprs import digest_fraction, digest_order
-from tallyframe.plans.durable import durable, materialize
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import page_of, row_numbers
 
 def trace_page(
@@ -41,7 +41,7 @@ def trace_tree(
     """
     cols = observations.columns
     step = F.array(F.struct(F.col(start).alias("s"), F.col(obs).alias("i")))
-    rooted = materialize(observations.groupBy(trace).agg(F.bool_or(F.col(parent).isNull()).alias("__rooted")), "rooted")
+    rooted = durable(observations.groupBy(trace).agg(F.bool_or(F.col(parent).isNull()).alias("__rooted")), "rooted")
     nodes = observations.join(rooted, trace).select(
         trace,
         obs,

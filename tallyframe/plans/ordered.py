@@ -132,12 +132,12 @@ def range_chunks(
 ) -> DataFrame:
     """Add a chunk id for any total order by range-partitioning on (keys, order).
 
-    The range bounds come from a sample, so the chunk ids are written once (checkpoint)
-    and every later use reads the same ids. Use ``F.col(CHUNK)`` as the chunk afterwards.
+    The range bounds come from a sample, so the chunk ids are written to a table
+    once and every later use reads the same ids. Use ``F.col(CHUNK)`` as the chunk afterwards.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    return durable(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    return durable(ranged.withColumn(CHUNK, F.spark_partition_id()), "ranges")
 
 
 def row_numbers(

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.plans.durable import durable, materialize
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import Running, running
 
 ACCURACY = 10_000
@@ -42,7 +42,7 @@ def exact_quantiles(
     grid = [
         min(1.0, max(0.0, p - _MARGIN + 2 * _MARGIN * i / _SLICES)) for p in wanted for i in range(_SLICES + 1)
     ]
-    first = materialize(
+    first = durable(
         vals.groupBy(*keys).agg(
             F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), ACCURACY).alias("__cuts"),
             F.count("__x").alias("__n"),
