@@ -15,9 +15,10 @@ from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import Running, running
 
 ACCURACY = 10_000
-# The sketch may be off by N / ACCURACY ranks, interpolation by one more; the bracket is five times
-# as wide. Groups smaller than ACCURACY are counted whole.
-_MARGIN = 5 / ACCURACY
+# Bracket half-widths by group size: each covers two ranks for interpolation, the first also the
+# sketch's rank error of N / ACCURACY (below ACCURACY rows the sketch is exact). Smaller groups are
+# counted whole.
+_WIDTHS = ((4_000, 5 / ACCURACY), (400, 0.005), (40, 0.05))
 _SLICES = 16
 
 
@@ -39,40 +40,48 @@ def exact_quantiles(
     """
     keys, wanted = list(keys), sorted(set(points.values()))
     vals = df.withColumn("__x", value.cast("double"))
-    grid = [
-        min(1.0, max(0.0, p - _MARGIN + 2 * _MARGIN * i / _SLICES)) for p in wanted for i in range(_SLICES + 1)
-    ]
+    clip = lambda p: F.lit(min(1.0, max(0.0, p)))
+    fine = _WIDTHS[0][1]
+    cuts = [clip(p - fine + 2 * fine * i / _SLICES) for p in wanted for i in range(_SLICES + 1)]
+    edges = [clip(p + sign * width) for _, width in _WIDTHS for p in wanted for sign in (-1, 1)]
     first = durable(
         vals.groupBy(*keys).agg(
-            F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), ACCURACY).alias("__cuts"),
+            F.percentile_approx("__x", F.array(*cuts, *edges), ACCURACY).alias("__cuts"),
             F.count("__x").alias("__n"),
             *stats,
         ),
         "brackets",
     )
-    at = lambda i: F.try_element_at("__cuts", F.lit(i + 1))
-    edges = [(at(j * (_SLICES + 1)), at(j * (_SLICES + 1) + _SLICES)) for j in range(len(wanted))]
+
+    def edge(j: int, side: int) -> Column:
+        """Lower (0) or upper (1) end of bracket ``j``, from the narrowest width the group size allows."""
+        at = [len(cuts) + level * 2 * len(wanted) + 2 * j + side + 1 for level in range(len(_WIDTHS))]
+        pick = F.when(F.col("__n") >= _WIDTHS[0][0], F.try_element_at("__cuts", F.lit(at[0])))
+        for i, (rows, _) in zip(at[1:], _WIDTHS[1:]):
+            pick = pick.when(F.col("__n") >= rows, F.try_element_at("__cuts", F.lit(i)))
+        return pick
+
     brackets = first.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         "__n",
-        F.when(F.col("__n") >= ACCURACY, F.array_sort("__cuts")).alias("__cuts"),
-        *[c.alias(f"__{side}{j}") for j, pair in enumerate(edges) for side, c in zip(("lo", "hi"), pair)],
+        F.when(F.col("__n") >= _WIDTHS[0][0], F.array_sort(F.slice("__cuts", 1, len(cuts)))).alias("__cuts"),
+        *[edge(j, side).alias(f"__e{j}{side}") for j in range(len(wanted)) for side in (0, 1)],
     )
     placed = vals.filter(F.col("__x").isNotNull()).select(*keys, "__x").join(brackets, same_keys(keys, "__k"))
-    inside, passed = F.col("__cuts").isNull(), F.lit(0)
+    x, whole = F.col("__x"), F.col("__e00").isNull()
+    inside, passed = whole, F.lit(0)
     for j in range(len(wanted)):
-        inside = inside | F.col("__x").between(F.col(f"__lo{j}"), F.col(f"__hi{j}"))
-        passed = passed + F.when(F.col("__x") > F.col(f"__hi{j}"), _SLICES + 1).otherwise(0)
+        inside = inside | x.between(F.col(f"__e{j}0"), F.col(f"__e{j}1"))
+        passed = passed + F.when(x > F.col(f"__e{j}1"), 1).otherwise(0)
+    # Slices rise with the value: gap, bracket, gap, ... and inside a large group's bracket its cuts.
     # Rows outside every bracket collapse to one count per gap; equal values collapse map-side.
-    slice_no = (
-        F.when(F.col("__cuts").isNull(), 0)
-        .when(inside, F.size(F.filter("__cuts", lambda c: c < F.col("__x"))))
-        .otherwise(passed)
-    )
+    finer = F.when(inside & F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda c: c < x))).otherwise(0)
+    slice_no = (2 * passed + inside.cast("int")) * (len(cuts) + 1) + finer
     counted = durable(
-        placed.filter(F.col("__cuts").isNull() | (F.col("__x") <= F.col(f"__hi{len(wanted) - 1}")))
-        .groupBy(*keys, "__n", slice_no.alias("__slice"), F.when(inside, F.col("__x")).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        placed.filter(whole | (x <= F.col(f"__e{len(wanted) - 1}1")))
+        .groupBy(*keys, "__n", slice_no.alias("__slice"), F.when(inside, x).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__c")),
+        "counted",
     )
     ranked = running(counted, keys, ["__v"], F.col("__slice"), [Running("__upto", "sum", F.col("__c"))])
     picks = []

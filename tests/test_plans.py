@@ -63,6 +63,22 @@ def test_first_n(spark, n):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_exact_quantiles_at_every_bracket_width(spark):
+    """Group sizes around each width's limit, with interpolation and overlapping brackets."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 39, 40, 41, 399, 400, 401, 1777, 3999, 4000, 4001, 9999, 10001]
+    rows = [(n, float(v)) for n in sizes for v in (rng.normal(size=n) if n % 2 else rng.integers(0, 9, size=n))]
+    df = spark.createDataFrame(rows, "n int, v double")
+    points = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p97": 0.97, "p99": 0.99, "top": 1.0}
+    got = {r.n: r for r in exact_quantiles(df, ["n"], F.col("v"), points).collect()}
+    for n in sizes:
+        vals = np.array([v for m, v in rows if m == n])
+        for name, p in points.items():
+            assert got[n][name] == pytest.approx(np.quantile(vals, p), abs=1e-9), (n, name)
+
+
 def test_pages_of_any_depth(spark):
     df = spark.range(25_000).select((F.col("id") * 7 % 25_000).alias("x"))
     for skip, n in ((0, 5), (9_990, 20), (24_990, 50)):
