@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, licenses, packing, sharding
+from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, packing, rules, sharding, suffixes
 from tallyframe.plans.durable import durable, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,5 +49,43 @@ def op6_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     return sharding.place(assigned, sharding.load_map(spark, path, 1), sharding.load_map(spark, path, 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op5_licenses, op6_shards)}
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rk")
+
+
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_packing,
+        op3_near_duplicates,
+        op4_quality_rules,
+        op5_licenses,
+        op6_shards,
+        op7_quality_classifier,
+        op8_substrings,
+        op9_decontamination,
+        op10_suffix_array,
+    )
+}
 ORACLE: dict[str, str] = {}
