@@ -1,8 +1,8 @@
 """Importance resampling of raw text toward labelled target text.
 
-Method: two generative models over hashed word unigrams and bigrams, one of target text and one of all raw
-text. A document's log weight is the sum of the log ratios of its n-grams, and documents are sampled
-without replacement by Gumbel top-k on log weight / temperature.
+Method: two generative models over hashed word n-grams, one of target text and one of all raw
+text. A document's log weight is the mean of the log ratios of its n-grams (so length does not decide), and
+documents are sampled without replacement by Gumbel top-k on log weight / temperature.
 """
 
 from __future__ import annotations
@@ -20,27 +20,38 @@ from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import row_numbers
 
 #: Buckets of the models: both are arrays of this fixed size whatever the corpus.
-BUCKET_BITS = 18
+BUCKET_BITS = 20
 #: Labelled rows used, those with the smallest id hashes; of each five, four fit the model and one is held out.
 LABEL_ROWS = 60_000
-#: Added to both counts of a bucket, so that rare n-grams weigh nothing.
-PRIOR = 30.0
+#: Added to both counts of a bucket, so that rare n-grams weigh little.
+PRIOR = 10.0
+#: Log ratios nearer to 0 than this are noise of the counts and taken as 0.
+LEAST_RATIO = 0.5
 #: Log weights are divided by this before Gumbel noise is added: near 0 the sample is the k heaviest.
-TEMPERATURE = 0.02
+TEMPERATURE = 2e-4
 #: A clean held-out document lost counts as so many bad ones kept, when the sample size is chosen.
-CLEAN_COST = 20.0
+CLEAN_COST = 50.0
 _BLOCK = 1 << 12
+#: Letters (lower-cased where ASCII), digits and all bytes beyond ASCII stay; other bytes become blanks.
+_PLAIN = np.frombuffer(bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b > 127 else 32 for b in range(256)), np.uint8)
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all unigrams and bigrams, and the document each belongs to."""
+    """Buckets of all n-grams, and the document each belongs to.
+
+    The n-grams are words as written, pairs of them, and lower-cased runs of letters and digits.
+    """
     starts, ends, firsts = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
     pairs = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
     two = mix(words[pairs] * np.uint64(WORD_BASE) + words[pairs + 1])
+    plain = _PLAIN[data]
+    starts, ends, firsts = word_spans(plain, offsets)
+    bare = mix(word_hashes(plain, starts, ends) + np.uint64(9))
+    bare_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
     shift = np.uint64(64 - BUCKET_BITS)
-    return (np.concatenate([words, two]) >> shift).astype(np.int64), np.concatenate([doc, doc[pairs]])
+    return (np.concatenate([words, two, bare]) >> shift).astype(np.int64), np.concatenate([doc, doc[pairs], bare_doc])
 
 
 def bucket_counts(df: DataFrame, targets: np.ndarray, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +62,7 @@ def bucket_counts(df: DataFrame, targets: np.ndarray, text: str, doc_id: str) ->
     n = 1 << BUCKET_BITS
     schema = "block int, raw binary, target binary"
 
+    # One task's counts fit 32 bits; the sums over tasks take 64.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
@@ -61,14 +73,14 @@ def bucket_counts(df: DataFrame, targets: np.ndarray, text: str, doc_id: str) ->
                 target += np.bincount(buckets[np.isin(ids[first:end], targets)[doc]], minlength=n)
         if raw.any():
             blocks = range(0, n, _BLOCK)
-            pack = lambda a: pa.array([a[b : b + _BLOCK].astype("<i8").tobytes() for b in blocks], pa.binary())
+            pack = lambda a: pa.array([a[b : b + _BLOCK].astype("<u4").tobytes() for b in blocks], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([b // _BLOCK for b in blocks], pa.int32()), pack(raw), pack(target)], ["block", "raw", "target"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                both = np.stack([np.frombuffer(row["raw"], "<i8"), np.frombuffer(row["target"], "<i8")])
+                both = np.stack([np.frombuffer(row["raw"], "<u4"), np.frombuffer(row["target"], "<u4")]).astype(np.int64)
                 sums[row["block"]] = sums[row["block"]] + both if row["block"] in sums else both
         if sums:
             keys = list(sums)
@@ -87,7 +99,8 @@ def bucket_counts(df: DataFrame, targets: np.ndarray, text: str, doc_id: str) ->
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of target over raw probability per bucket, drawn to 0 where a bucket has few counts."""
     share = raw.sum() / max(target.sum(), 1)
-    return np.log((target * share + PRIOR) / (raw + PRIOR)).astype(np.float32)
+    ratio = np.log((target * share + PRIOR) / (raw + PRIOR))
+    return np.where(np.abs(ratio) < LEAST_RATIO, 0, ratio).astype(np.float32)
 
 
 def weigh(df: DataFrame, ratios: np.ndarray, text: str, keep: Sequence[str]) -> DataFrame:
@@ -103,7 +116,7 @@ def weigh(df: DataFrame, ratios: np.ndarray, text: str, keep: Sequence[str]) ->
                 buckets, doc = gram_buckets(data, offsets)
                 n[first:end] = np.bincount(doc, minlength=end - first)
                 total[first:end] = np.bincount(doc, weights=table.value[buckets], minlength=end - first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(total)], [*keep, "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n), pa.array(total / np.maximum(n, 1))], [*keep, "n_grams", "log_weight"])
 
     return with_text(df, text, keep).mapInArrow(run, schema)
 
