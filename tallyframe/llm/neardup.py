@@ -67,7 +67,7 @@ def signatures(doc: np.ndarray, cells: np.ndarray, n_docs: int, k: int = BANDS *
         limit = (reach / np.maximum(weight, 1))[d]  # by rank
         rank, found, throw = np.zeros(len(d)), [], 1
         while len(d):
-            h = mix(cell + np.uint64(throw) * np.uint64(0x9E3779B97F4A7C15))
+            h = mix(cell + np.uint64(throw * 0x9E3779B97F4A7C15 % (1 << 64)))
             rank = rank - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
             hit = rank <= limit
             d, cell, rank, limit, h = d[hit], cell[hit], rank[hit], limit[hit], h[hit]
