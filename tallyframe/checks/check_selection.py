@@ -121,17 +121,18 @@ def m4_python(fx):
 
 def _routed(fx):
     out = (
-        F.when(F.col("row_idx") % 9 == 0, '{"response_to_user":"hi","next_tool_name":null}')
-        .when(F.col("row_idx") % 3 == 0, '{"next_tool_name":"x"}')
-        .when(F.col("row_idx") % 3 == 1, '{"response_to_user":"hi"}')
+        F.when(F.col("row_idx") % 9 == 0, '{"summary":"hi","lookup":null}')
+        .when(F.col("row_idx") % 3 == 0, '{"lookup":"x"}')
+        .when(F.col("row_idx") % 3 == 1, '{"summary":"hi"}')
         .when(F.col("row_idx") % 11 == 0, '{"handoff":1}')
         .otherwise("{}")
     )
     rows = fx.examples.select("row_idx", F.parse_json(out).alias("output"))
-    return sel.route_pools(rows, sel.named_route("tool_or_answer"))
+    sel.register_route("lookup_or_summary", [("lookup", "search"), ("summary", "write.final")])
+    return sel.route_pools(rows, sel.named_route("lookup_or_summary"))
 
 
-_ROUTED = """r as (select row_idx, case when row_idx % 3 = 0 then 'strategy.react' when row_idx % 3 = 1 then 'strategy.extract.predict' end as route from examples)"""
+_ROUTED = """r as (select row_idx, case when row_idx % 3 = 0 then 'search' when row_idx % 3 = 1 then 'write.final' end as route from examples)"""
 
 
 @check("d8_route_pools", f"with {_ROUTED} select coalesce(route, 'unroutable') as route, count(*) as size from r group by 1")
@@ -155,12 +156,12 @@ def d9(fx):
 @check(
     "d9_iteration_batches",
     f"""with {_BATCHES.format(epochs=1, size=4)}
-select iteration, route, row_idx from (select batch * 3 + case route when 'strategy.react' then 0 else 1 end as iteration, route, row_idx from m) t where iteration < 40
-union all select i, 'strategy.idle', row_idx from (select unnest(range(2, 40, 3)) as i) s, (select row_idx from r order by row_idx limit 4) h""",
+select iteration, route, row_idx from (select batch * 3 + case route when 'search' then 0 else 1 end as iteration, route, row_idx from m) t where iteration < 40
+union all select i, 'idle', row_idx from (select unnest(range(2, 40, 3)) as i) s, (select row_idx from r order by row_idx limit 4) h""",
 )
 def d9_iterations(fx):
     return sel.iteration_batches(
-        _routed(fx), ["strategy.react", "strategy.extract.predict", "strategy.idle"], size=4, iterations=40, seed=3
+        _routed(fx), ["search", "write.final", "idle"], size=4, iterations=40, seed=3
     )
 
 
@@ -197,7 +198,21 @@ select query_id, neighbor_id, similarity, rank from (select *, row_number() over
 where rank <= 5""",
 )
 def d13(fx):
-    return nb.knn_demos(fx.embeddings, fx.embeddings, 5)
+    return nb.knn_demos(fx.embeddings, fx.embeddings, 5, block_rows=64, skip_same_id=True)
+
+
+@check(
+    "d13_knn_two_tables",
+    """
+with q as (select vec_id // 2 as id, embedding from embeddings where vec_id % 2 = 0), t as (select vec_id // 2 as id, embedding from embeddings where vec_id % 2 = 1),
+s as (select q.id as query_id, t.id as neighbor_id, round(list_cosine_similarity(q.embedding::double[], t.embedding::double[]), 6) as similarity from q, t)
+select query_id, neighbor_id, similarity, rank from (select *, row_number() over (partition by query_id order by similarity desc, neighbor_id) as rank from s) u
+where rank <= 3""",
+)
+def d13_two(fx):
+    """Two tables whose ids overlap without meaning the same rows."""
+    half = lambda r: fx.embeddings.filter(F.col("vec_id") % 2 == r).select(F.expr("vec_id div 2").alias("vec_id"), "embedding")
+    return nb.knn_demos(half(0), half(1), 3, block_rows=64)
 
 
 @check(
@@ -212,7 +227,7 @@ def d14(fx):
 
 @check(
     "d15_holdout",
-    """select row_idx, case when ('0x' || substr(md5('7:' || cast(row_idx as varchar)), 1, 7))::bigint / 268435456e0 < 0.1e0 then 'val' else 'train' end as part
+    """select row_idx, case when ('0x' || substr(md5('7:' || cast(row_idx as varchar)), 1, 13))::bigint / 4503599627370496e0 < 0.1e0 then 'val' else 'train' end as part
        from examples""",
 )
 def d15(fx):

@@ -126,11 +126,11 @@ def h8(fx):
 @check(
     "h9_resolve",
     """select r.id, s.snapshot_id, s.snapshot_id is null as missing from (select id, 'r' || cast(id % 3 as varchar) as repo_id, md5(p_name || cast(p_partkey % 40 as varchar)) as digest
-         from jobs join part on p_partkey = id % 3000) r
+         from jobs left join part on p_partkey = id % 3000) r
        left join (select repo_id, digest, min(snapshot_id) as snapshot_id from snapshots group by all) s on s.repo_id = r.repo_id and s.digest = r.digest""",
 )
 def h9(fx):
-    req = fx.jobs.select("id", (F.col("id") % 3000).alias("p_partkey")).join(fx.part, "p_partkey")
+    req = fx.jobs.select("id", (F.col("id") % 3000).alias("p_partkey")).join(fx.part, "p_partkey", "left")
     digest = F.md5(F.concat("p_name", (F.col("p_partkey") % 40).cast("string")).cast("binary"))
     req = req.select("id", F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("repo_id"), digest.alias("digest"))
     return so.resolve(req, fx.snapshots).select("id", "snapshot_id", "missing")
@@ -179,16 +179,16 @@ def h13(fx):
 @check(
     "i1_trace_page",
     """
-with t as (select conv_id as trace_id, 'run' || cast(conv_id % 3 as varchar) as environment, conv_id * 60 as timestamp, text as input
-  from conversations where turn = 0), m as (select * from t where environment = 'run1')
+with t as (select conv_id * 1000 + turn as trace_id, 'run' || cast(conv_id % 3 as varchar) as environment, conv_id * 60 as timestamp, text as input
+  from conversations), m as (select * from t where environment = 'run1')
 select trace_id, timestamp, (select count(*) from m) as total_items, cast(ceil((select count(*) from m) / 10e0) as bigint) as total_pages,
   case when length(input) > 140 then left(input, 140) || '…' else coalesce(input, '') end as preview
 from m order by timestamp desc, trace_id limit 10 offset 10""",
 )
 def i1(fx):
     c = F.col("conv_id")
-    t = fx.conversations.filter("turn = 0").select(
-        c.alias("trace_id"), F.concat(F.lit("run"), (c % 3).cast("string")).alias("environment"), (c * 60).alias("timestamp"), F.col("text").alias("input")
+    t = fx.conversations.select(
+        (c * 1000 + F.col("turn")).alias("trace_id"), F.concat(F.lit("run"), (c % 3).cast("string")).alias("environment"), (c * 60).alias("timestamp"), F.col("text").alias("input")
     )
     return tr.trace_page(t, "run1", page=2, limit=10).select("trace_id", "timestamp", "total_items", "total_pages", "preview")
 
@@ -223,7 +223,7 @@ def i4_model(fx):
 
 @check(
     "i5_sample_traces",
-    "select conv_id, turn from conversations where ('0x' || substr(md5('4:' || cast(conv_id as varchar)), 1, 7))::bigint / 268435456e0 < 0.3e0",
+    "select conv_id, turn from conversations where ('0x' || substr(md5('4:' || cast(conv_id as varchar)), 1, 13))::bigint / 4503599627370496e0 < 0.3e0",
 )
 def i5(fx):
     return tr.sample_traces(fx.conversations, 0.3, seed=4, trace="conv_id").select("conv_id", "turn")

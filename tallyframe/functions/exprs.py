@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -73,29 +72,26 @@ def version_tuple(col: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit(0).cast("bigint")))
 
 
-_CLAUSE = r"^(>=|<=|==|>|<)\s*([0-9][0-9.]*)"
+# The clause grammar, and for each operator the signs of (version - bound) that it admits.
+_CLAUSES = r"(?:^|,)\s*(>=|<=|==|>|<)\s*([0-9][0-9.]*)"
+_SIGNS = {">=": (0, 1), "<=": (-1, 0), "==": (0,), ">": (1,), "<": (-1,)}
 
 
 def compatible(spec: str | Column, version: str) -> Column:
-    """Does ``version`` meet every clause of e.g. ``>=0.1,<0.2``? Empty or NULL accepts anything."""
-    digits = [int(p) for p in re.findall(r"\d+", version)] or [0]
-    have = F.array(*[F.lit(d).cast("bigint") for d in digits])
-
-    def holds(raw: Column) -> Column:
-        clause = F.regexp_replace(raw, r"^\s+|\s+\z", "")
-        op = F.regexp_extract(clause, _CLAUSE, 1)
-        want = version_tuple(F.regexp_extract(clause, _CLAUSE, 2))
-        return (
-            F.when(clause == "", True)
-            .when(op == ">=", have >= want)
-            .when(op == "<=", have <= want)
-            .when(op == ">", have > want)
-            .when(op == "<", have < want)
-            .when(op == "==", have == want)
-            .otherwise(False)
-        )
-
-    return F.forall(F.split(F.coalesce(_c(spec), F.lit("")), ","), holds)
+    """Does ``version`` meet every clause of e.g. ``>=0.1,<0.2``? Empty or NULL accepts anything.
+
+    The clauses are read into two arrays, operators and bounds; each bound's sign against the version
+    is looked up among the signs its operator admits. A part that is no clause is never met.
+    """
+    text = F.coalesce(_c(spec), F.lit(""))
+    signs = F.create_map(*[x for op, ok in _SIGNS.items() for x in (F.lit(op), F.array(*map(F.lit, ok)))])
+    have = version_tuple(F.lit(version))
+    operators = F.regexp_extract_all(text, F.lit(_CLAUSES), 1)
+    bounds = F.regexp_extract_all(text, F.lit(_CLAUSES), 2)
+    sign = lambda bound: F.when(have == bound, 0).when(have > bound, 1).otherwise(-1)
+    met = F.zip_with(operators, bounds, lambda op, b: F.array_contains(F.element_at(signs, op), sign(version_tuple(b))))
+    parts = F.size(F.filter(F.split(text, ","), lambda part: F.regexp_like(part, F.lit(r"\S"))))
+    return (parts == F.size(operators)) & F.forall(met, lambda ok: ok)
 
 
 def digest_order(seed: int | str, *cols: str | Column) -> Column:
@@ -104,8 +100,8 @@ def digest_order(seed: int | str, *cols: str | Column) -> Column:
 
 
 def digest_fraction(digest: Column) -> Column:
-    """First 7 hex digits of a digest as a number in [0, 1)."""
-    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / F.lit(float(16**7))
+    """First 13 hex digits (52 bits, exact in a double) of a digest as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def any_prefix(col: str | Column, prefixes: Sequence[str]) -> Column:

@@ -26,12 +26,12 @@ def _current(arts: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def artifacts_for(jobs: DataFrame, arts: DataFrame, kind: str | None = None, prefix: str | None = None) -> DataFrame:
-    """Rows of each job's current attempt; filters apply before the join."""
+    """Rows of each job's current attempt, by job and path; filters apply before the join."""
     if prefix:
         arts = arts.filter(F.startswith("relative_path", F.lit(prefix)))
     if kind:
         arts = arts.filter(F.col("kind") == kind)
-    return _current(arts, jobs)
+    return _current(arts, jobs).orderBy("job_id", "relative_path")
 
 
 def classify(path: str | Column, rules: str = "worker", runner_dir: str = RUNNER_DIR) -> Column:

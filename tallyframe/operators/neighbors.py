@@ -27,7 +27,7 @@ def _gap(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T)))
 
 
-def best_in_block(q: pd.DataFrame, t: pd.DataFrame, k: int) -> pd.DataFrame:
+def best_in_block(q: pd.DataFrame, t: pd.DataFrame, k: int, skip_same_id: bool = False) -> pd.DataFrame:
     """The ``k`` best training rows of one block for every query of one block."""
     empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "similarity": []}).astype(
         {"query_id": "int64", "neighbor_id": "int64", "similarity": "float64"}
@@ -36,7 +36,8 @@ def best_in_block(q: pd.DataFrame, t: pd.DataFrame, k: int) -> pd.DataFrame:
         return empty
     qid, tid = q["id"].to_numpy(), t["id"].to_numpy()
     sim = np.round(_unit(q["v"]) @ _unit(t["v"]).T, DECIMALS)
-    sim[qid[:, None] == tid[None, :]] = -np.inf
+    if skip_same_id:
+        sim[qid[:, None] == tid[None, :]] = -np.inf
     at = min(k, sim.shape[1]) - 1
     kth = -np.partition(-sim, at, axis=1)[:, at]
     rows, cols = np.nonzero((sim >= kth[:, None]) & (sim > -np.inf))
@@ -53,8 +54,12 @@ def knn_demos(
     vector: str = "embedding",
     block_rows: int = 4096,
     pivots: int = 64,
+    skip_same_id: bool = False,
 ) -> DataFrame:
-    """Exact k nearest training vectors for every query, ties to the lowest id; never itself.
+    """Exact k nearest training vectors for every query, ties to the lowest id.
+
+    ``skip_same_id`` is for queries taken from the training rows themselves: equal ids are then one row,
+    which is no neighbour of itself. Otherwise ids of the two tables have nothing to do with each other.
 
     Training vectors belong to the cell of their nearest pivot. A query visits only cells that the
     triangle inequality cannot rule out: its k-th neighbour is no farther than the best sums of
@@ -87,7 +92,7 @@ def knn_demos(
     right = placed.select("id", "v", "cell", mine(t_blocks).alias("tb"), every(q_blocks).alias("qb"))
     pair = ["cell", "qb", "tb"]
     partial = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(
-        lambda q, t: best_in_block(q, t, k), "query_id bigint, neighbor_id bigint, similarity double"
+        lambda q, t: best_in_block(q, t, k, skip_same_id), "query_id bigint, neighbor_id bigint, similarity double"
     )
     order = [F.col("similarity").desc(), F.col("neighbor_id")]
     return first_n(partial, ["query_id"], order, k, rank="rank").withColumn("rank", F.col("rank").cast("bigint"))

@@ -171,10 +171,13 @@ def route_by_keys(rules: Sequence[tuple[str, str]]) -> Callable[[Column], Column
     return route
 
 
-# Registry of named routes; add entries for other programs. The keys and component names.
-ROUTES: dict[str, Callable[[Column], Column]] = {
-    "tool_or_answer": route_by_keys([("next_tool_name", "strategy.react"), ("response_to_user", "strategy.extract.predict")]),
-}
+# Named routes of the programs in use; empty until a program registers its own.
+ROUTES: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_route(name: str, rules: Sequence[tuple[str, str]]) -> None:
+    """Name the ordered rules of a program's outputs; a second call replaces the first."""
+    ROUTES[name] = route_by_keys(rules)
 
 
 def named_route(name: str) -> Callable[[Column], Column]:
@@ -218,21 +221,27 @@ def iteration_batches(
 ) -> DataFrame:
     """Batch of every optimizer iteration; iteration ``i`` serves predictor ``i mod n``.
 
-    The iteration number follows from (epoch, batch) by arithmetic, so no join with a range is
-    needed. A predictor without a pool gets the first ``size`` ids overall.
+    ``predictors`` is a fixed list of components, in turn order; a component may stand in it more than once, and
+    its turns then walk on through the same pool. The iteration number follows from (epoch, batch)
+    by arithmetic, so no join with a range is needed. A predictor without a pool gets the first
+    ``size`` ids overall.
     """
     n = len(predictors)
-    slot = F.array_position(F.array(*[F.lit(p) for p in predictors]), F.col("route")) - 1
+    # Turns of a route in one round, and by its t-th turn the iteration: round * n + place in the list.
+    places = {p: [i for i, q in enumerate(predictors) if q == p] for p in predictors}
+    as_map = lambda value: F.create_map(*[x for p, at in places.items() for x in (F.lit(p), value(at))])
+    own = F.element_at(as_map(lambda at: F.array(*[F.lit(i) for i in at])), F.col("route"))
     pools = routed.filter(F.col("route").isin(*predictors)).select("route", key)
     sizes = durable(pools.groupBy("route").agg(F.count(F.lit(1)).alias("pool")), "pools")
     per_epoch = F.greatest(F.floor(F.col("pool") / size), F.lit(1))
-    turns = F.ceil((F.lit(iterations) - slot) / n)
+    turns = F.aggregate(own, F.lit(0), lambda acc, i: acc + F.greatest(F.ceil((F.lit(iterations) - i) / n), F.lit(0)).cast("int"))
     sizes = sizes.select(
-        "route", "pool", per_epoch.cast("bigint").alias("__per"), slot.alias("__slot"), F.ceil(turns / per_epoch).cast("int").alias("__epochs")
+        "route", "pool", per_epoch.cast("bigint").alias("__per"), own.alias("__own"), F.ceil(turns / per_epoch).cast("int").alias("__epochs")
     ).filter("__epochs > 0")
     spread = pools.join(sizes, "route").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
     cut = _epoch_batches(spread, size, seed, key)
-    iteration = (F.col("epoch") * F.col("__per") + F.col("batch")) * n + F.col("__slot")
+    turn_no, slots = F.col("epoch") * F.col("__per") + F.col("batch"), F.size("__own")
+    iteration = F.floor(turn_no / slots) * n + F.get("__own", (turn_no % slots).cast("int"))
     out = cut.select(iteration.cast("bigint").alias("iteration"), "route", key).filter(F.col("iteration") < iterations)
     heads = routed.select(key).orderBy(key).limit(size)  # a batch, by definition small
     turn = F.transform(

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.exprs import compatible
-from tallyframe.operators.artifacts import under_roots
 from tallyframe.plans.durable import durable
 
 LIVE_SECONDS = 30
@@ -141,38 +140,42 @@ def resolve(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     return requests.join(ids, ["repo_id", "digest"], "left").withColumn("missing", F.col("snapshot_id").isNull())
 
 
-def _glob_regex(pattern: str) -> str:
-    out = ""
-    for part in re.split(r"(\*+|\?|\[[^\]]+\])", pattern):
-        if part.startswith("*"):
-            out += ".*"
-        elif part == "?":
-            out += "."
-        elif part.startswith("[") and part.endswith("]"):
-            out += "[" + ("^" + part[2:-1] if part[1] == "!" else part[1:-1]) + "]"
-        elif part:
-            out += re.escape(part)
-    return rf"(?s)\A{out}\z"
+# What a glob's marks match; any other character matches itself. ``*`` also crosses ``/``.
+_GLOB = re.compile(r"(?P<any>\*+)|(?P<one>\?)|\[(?P<not>!)?(?P<set>[^\]]+)\]|(?P<same>.)", re.S)
 
 
-def excluded(path: str | Column, excludes: Sequence[str], out_of_band: Sequence[str] = ()) -> Column:
-    """Does a path fall under an exclude rule?
+def _glob(pattern: str) -> str:
+    def of(m: re.Match) -> str:
+        if m["any"]:
+            return ".*"
+        if m["one"]:
+            return "."
+        return f"[{'^' if m['not'] else ''}{m['set']}]" if m["set"] else re.escape(m["same"])
+
+    return _GLOB.sub(of, pattern)
+
+
+def rule_regex(excludes: Sequence[str], out_of_band: Sequence[str] = ()) -> str | None:
+    """One anchored expression for all rules; None without rules.
 
-    ``/x/`` is anchored at the top; anything else matches a path segment by name (``**/x/``) or the
-    whole path as a glob, where ``*`` also crosses ``/``. Out-of-band roots are dropped too.
+    Three kinds of rules: roots (``/x/`` and out-of-band ones) cover a path and all below it, names (``x``, ``**/x/``)
+    any path segment, and every rule that is not a root also the whole path as a glob.
     """
-    p = F.col(path) if isinstance(path, str) else path
-    hit = under_roots(p, [o.strip("/") for o in out_of_band]) if out_of_band else F.lit(False)
-    for raw in excludes:
-        pattern = raw.strip()
-        if pattern.startswith("/"):
-            hit = hit | under_roots(p, [pattern.strip("/")])
-            continue
-        segment = pattern.replace("**/", "").strip("/")
-        if segment:
-            hit = hit | F.array_contains(F.split(p, "/"), segment)
-        hit = hit | p.rlike(_glob_regex(pattern)) | p.rlike(_glob_regex(pattern.rstrip("/")))
-    return hit
+    rules = [r.strip() for r in excludes]
+    roots = {r.strip("/") for r in rules if r.startswith("/")} | {o.strip("/") for o in out_of_band}
+    rest = {r for r in rules if r and not r.startswith("/")}
+    names = {r.replace("**/", "").strip("/") for r in rest}
+    whole = rest | {r.rstrip("/") for r in rest}
+    parts = [f"{re.escape(r)}(?:/.*)?" for r in sorted(roots - {""})]
+    parts += [f"(?:.*/)?{re.escape(n)}(?:/.*)?" for n in sorted(names - {""}) if "/" not in n]
+    parts += [_glob(w) for w in sorted(whole - {""})]
+    return rf"(?s)\A(?:{'|'.join(parts)})\z" if parts else None
+
+
+def excluded(path: str | Column, excludes: Sequence[str], out_of_band: Sequence[str] = ()) -> Column:
+    """Does a path fall under an exclude rule? See ``rule_regex``; the rules are matched in one pass."""
+    rule = rule_regex(excludes, out_of_band)
+    return (F.col(path) if isinstance(path, str) else path).rlike(rule) if rule else F.lit(False)
 
 
 def scope(df: DataFrame, excludes: Sequence[str], out_of_band: Sequence[str] = (), path: str = "path") -> DataFrame:

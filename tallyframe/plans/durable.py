@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 _CONF = "spark.checkpoint.dir"
+_OWN: list[tempfile.TemporaryDirectory] = []  # of local sessions without the setting; removed when Python ends
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_CONF} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyframe-")
-    spark.sparkContext.setCheckpointDir(folder)
+    _OWN.append(tempfile.TemporaryDirectory(prefix="tallyframe-", ignore_cleanup_errors=True))
+    spark.sparkContext.setCheckpointDir(_OWN[-1].name)
     return spark.sparkContext.getCheckpointDir()
 
 

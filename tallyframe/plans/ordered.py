@@ -133,9 +133,10 @@ def range_chunks(
     """Add a chunk id for any total order by range-partitioning on (keys, order).
 
     The range bounds come from a sample, so the chunk ids are written to a table
-    once and every later use reads the same ids. Use ``F.col(CHUNK)`` as the chunk afterwards.
+    once and every later use reads the same ids. Without ``partitions`` the rows are counted first, and a chunk holds
+    about ROWS_PER_CHUNK at most. Use ``F.col(CHUNK)`` as the chunk afterwards.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_CHUNK))
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     return durable(ranged.withColumn(CHUNK, F.spark_partition_id()), "ranges")
 
@@ -159,26 +160,28 @@ def page_of(df: DataFrame, order: Sequence[str | Column], skip: int, n: int) ->
     if skip + n <= TOP_K_ROWS:
         return df.orderBy(*order).offset(skip).limit(n)
     numbered = row_numbers(df, [], order, "__row")
-    return numbered.filter(F.col("__row").between(skip + 1, skip + n)).drop("__row")
+    return numbered.filter(F.col("__row").between(skip + 1, skip + n)).drop("__row").orderBy(*order)
+
+
+#: Branches of the tree by which ``first_n`` merges a key: a task gets at most so many times n rows of it.
+FAN = 32
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
-    """First ``n`` rows per key.
+    """First ``n`` rows per key, for any ``n``, by a tree over where the rows lie.
 
-    Up to a threshold Spark prunes each partition before the shuffle by itself. Beyond it a hot
-    key is spread over salts: ``n`` per (key, salt) first, then ``n`` per key.
+    Level by level the partitions holding a key are merged ``FAN`` at a time and cut to ``n`` rows again, so a hot key is
+    never more than FAN * n rows of one task after the first level, whose tasks each see a share of the input.
+    Where Spark prunes a partition before the shuffle it does so at every level.
     """
     name = rank or "__rank"
-    conf = df.sparkSession.conf
-    if n > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        salts = int(conf.get("spark.sql.shuffle.partitions"))
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)]), F.lit(salts))
-        pruned = df.withColumn("__salt", salt)
-        per_salt = W.partitionBy(*keys, "__salt").orderBy(*order)
-        df = pruned.repartition(*keys, "__salt").withColumn("__r", F.row_number().over(per_salt)).filter(F.col("__r") <= n).drop("__r", "__salt")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("__salt", F.spark_partition_id())
+    while salts > 1:
+        df = df.withColumn("__salt", F.pmod("__salt", F.lit(salts)))
+        level = W.partitionBy(*keys, "__salt").orderBy(*order)
+        df = df.withColumn("__r", F.row_number().over(level)).filter(F.col("__r") <= n).drop("__r")
+        salts = -(-salts // FAN)
+    df = df.drop("__salt")
     out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
     return out if rank else out.drop(name)
-
-
-def _hashable(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("map", "variant")

@@ -189,10 +189,20 @@ def test_minibatches_small_and_empty_pools(spark):
 
 
 def test_unknown_route_lists_known():
-    with pytest.raises(ValueError, match="tool_or_answer"):
+    sel.register_route("known", [("key", "part")])
+    with pytest.raises(ValueError, match="known"):
         sel.named_route("nope")
 
 
+def test_a_component_listed_twice_takes_its_turns_from_one_pool(spark):
+    routed = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(24)], "row_idx int, route string")
+    it = sel.iteration_batches(routed, ["a", "b", "a"], 2, 9, seed=1)
+    got = {r.iteration: r.route for r in it.select("iteration", "route").distinct().collect()}
+    assert got == {i: "aba"[i % 3] for i in range(9)}
+    ids = [r.row_idx for r in it.filter("route = 'a'").collect()]
+    assert len(ids) == 12 and len(set(ids)) == 12
+
+
 def test_majority_tie_takes_smallest(spark):
     p = spark.createDataFrame([(0, 1, 5), (1, 1, 3), (2, 2, 9)], "candidate int, row_idx int, pred int")
     assert rows(sel.majority(p), "row_idx", "answer", "votes") == [(1, 3, 1), (2, 9, 1)]
@@ -205,9 +215,9 @@ def test_knn_blocks_agree_with_one_block(spark):
     vecs = rng.normal(size=(120, 8))
     vecs[60:80] = vecs[0]  # copies tie
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
-    one = rows(nb.knn_demos(df, df, 4), "query_id", "rank", "neighbor_id")
-    many = rows(nb.knn_demos(df, df, 4, block_rows=17), "query_id", "rank", "neighbor_id")
-    pruned = rows(nb.knn_demos(df, df, 4, block_rows=5, pivots=20), "query_id", "rank", "neighbor_id")
+    one = rows(nb.knn_demos(df, df, 4, skip_same_id=True), "query_id", "rank", "neighbor_id")
+    many = rows(nb.knn_demos(df, df, 4, block_rows=17, skip_same_id=True), "query_id", "rank", "neighbor_id")
+    pruned = rows(nb.knn_demos(df, df, 4, block_rows=5, pivots=20, skip_same_id=True), "query_id", "rank", "neighbor_id")
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     sim = np.round(unit @ unit.T, 6)
     want = []
@@ -227,7 +237,7 @@ def test_knn_on_clusters_copies_and_zero_vectors(spark, k):
     vecs = np.concatenate([c + rng.normal(size=(30, 5)) * 0.05 for c in centres] + [np.tile(centres[0], (20, 1)), np.zeros((2, 5))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id bigint, embedding array<double>")
     q, t = df.filter("vec_id < 120 or vec_id >= 200"), df.filter("vec_id >= 40")
-    got = rows(nb.knn_demos(q, t, k, block_rows=16, pivots=8), "query_id", "rank", "neighbor_id")
+    got = rows(nb.knn_demos(q, t, k, block_rows=16, pivots=8, skip_same_id=True), "query_id", "rank", "neighbor_id")
     unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
     sim = np.round(unit @ unit.T, 6)
     want = []
