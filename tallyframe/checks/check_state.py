@@ -118,6 +118,18 @@ def f6(fx):
     return out.select("id", "program", "run_number")
 
 
+@check(
+    "f6_allocate_evals",
+    """
+with r as (select *, row_number() over (partition by parent_job_id order by id) as rn from (select id, id % 1000 as parent_job_id, seed_max from jobs where type = 'eval') t)
+select id, parent_job_id, rn + max(seed_max + 1 - rn) over (partition by parent_job_id order by id rows between unbounded preceding and current row) as run_number from r""",
+)
+def f6_evals(fx):
+    """Eval numbers count per compile; many evals share one here."""
+    evals = fx.jobs.filter("type = 'eval'").select("id", (F.col("id") % 1000).alias("parent_job_id"), "seed_max")
+    return st.allocate(evals, ["parent_job_id"]).select("id", "parent_job_id", "run_number")
+
+
 @check(
     "f7_bump",
     """

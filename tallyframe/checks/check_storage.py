@@ -208,17 +208,21 @@ def i3(fx):
 
 
 _STATS = """count(*) as observations, cast(sum(total_tokens) as bigint) as total_tokens, count(case when upper(level) = 'ERROR' then 1 end) as errors,
-  max(start_s) - min(start_s) as span_s"""
+  round(sum(total_cost), 6) as total_cost, round(avg(end_s - start_s), 6) as avg_latency_s, max(end_s) - min(start_s) as span_s"""
+
+
+def _rounded_stats(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("total_cost", "avg_latency_s")})
 
 
 @check("i4_trace_stats", f"select trace_id, {_STATS} from observations group by trace_id")
 def i4(fx):
-    return tr.trace_stats(fx.observations)
+    return _rounded_stats(tr.trace_stats(fx.observations))
 
 
 @check("i4_model_stats", f"select model, type, {_STATS} from observations group by model, type")
 def i4_model(fx):
-    return tr.trace_stats(fx.observations, ["model", "type"])
+    return _rounded_stats(tr.trace_stats(fx.observations, ["model", "type"]))
 
 
 @check(

@@ -45,9 +45,13 @@ def _seconds(c: str):
 @check(
     "l1_live_progress",
     f"""with {_STATUS}, {_LATEST}, {PROGRESS_SQL.strip()}, {PHASE_SQL}
-select pp.job_id, phase, rollouts_cur, rollouts_total, rollouts_pct, budget, last_iteration, best_score, front_score, new_candidates,
-  l.rows_done, l.rows_total, round(100e0 * l.rows_done / l.rows_total, 1) as rows_pct, l.acc_pct, l.cost_usd, l.eta
-from pp join ph on ph.job_id = pp.job_id left join l on l.job_id = pp.job_id""",
+select pp.job_id, phase, rollouts_cur, rollouts_total, rollouts_pct, remaining, rate, budget, last_iteration, best_score, front_score, new_candidates,
+  l.rows_done, l.rows_total, round(100e0 * l.rows_done / l.rows_total, 1) as rows_pct, l.acc_pct, l.tokens_total, l.tokens_in, l.tokens_out, l.cost_usd,
+  round(l.cost_usd * 1000 / l.rows_done, 4) as cost_per_1k_rows, l.avg_ms, l.med_ms, l.eta, errors, last_error
+from pp join ph on ph.job_id = pp.job_id left join l on l.job_id = pp.job_id
+join (select job_id, count(case when regexp_matches(line, 'ERROR .|Traceback.|AdapterParseError.') then 1 end) as errors,
+  arg_max(regexp_extract(line, '(ERROR [^\\n]+|Traceback[^\\n]+|AdapterParseError[^\\n]+)', 1), seq) filter (regexp_matches(line, 'ERROR .|Traceback.|AdapterParseError.')) as last_error
+  from log_lines group by job_id) er on er.job_id = pp.job_id""",
 )
 def l1(fx):
     return upserted(live.live_progress(replay(fx.log_lines)), ["job_id"])

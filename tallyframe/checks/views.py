@@ -141,6 +141,8 @@ select conv_id as trace_id, conv_id * 100 + turn as obs_id,
        else conv_id * 100 + cast(floor((turn - 1) / 2e0) as bigint) end as parent_id,
   case role when 'assistant' then 'GENERATION' when 'user' then 'SPAN' else 'EVENT' end as type,
   conv_id * 60 + (turn * 7) % 5 as start_s,
+  case when turn % 6 < 5 then conv_id * 60 + (turn * 7) % 5 + (conv_id + turn) % 9 end as end_s,
+  case when role = 'assistant' then length(text) * 1e-6 end as total_cost,
   case when (conv_id + turn) % 11 = 0 then 'error' else 'DEFAULT' end as level,
   'acme/' || role as model, cast(length(text) as bigint) as total_tokens
 from conversations""",

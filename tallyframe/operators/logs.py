@@ -31,25 +31,33 @@ _STATUS_FIELDS = (
 )
 
 
-def _status_struct(text: Column) -> Column:
+def status_struct(text: Column) -> Column:
+    """The eleven fields of a status text; the pattern runs once and the fields are cut from its rewriting."""
+    fields = F.split(F.regexp_replace(text, F.lit(STATUS), F.lit("\x01".join(f"${i + 1}" for i in range(len(_STATUS_FIELDS))))), "\x01")
+
     def read(i: int, name: str) -> Column:
-        raw = F.regexp_extract(text, STATUS, i)
+        raw = F.get(fields, F.lit(i))
         if name == "eta":
             return raw.alias(name)
         if name in ("acc_pct", "cost_usd"):
             return raw.try_cast("double").alias(name)
         return to_count(raw).alias(name)
 
-    return F.struct(*[read(i + 1, n) for i, n in enumerate(_STATUS_FIELDS)])
+    return F.struct(*[read(i, n) for i, n in enumerate(_STATUS_FIELDS)])
+
+
+def _status_texts(text: Column) -> Column:
+    """All status texts of a line; lines without the label are not searched."""
+    return F.when(F.contains(text, F.lit("Acc:")), F.regexp_extract_all(text, F.lit(STATUS), 0))
 
 
 def parse_status(lines: DataFrame, text: str = "line") -> DataFrame:
     """Lines that hold a status text, with its eleven fields; several per line give several rows."""
-    found = lines.select("*", F.explode(F.regexp_extract_all(F.col(text), F.lit(STATUS), 0)).alias("__s"))
-    return found.withColumn("__f", _status_struct(F.col("__s"))).select(*lines.columns, "__f.*")
+    found = lines.select("*", F.explode(_status_texts(F.col(text))).alias("__s"))
+    return found.withColumn("__f", status_struct(F.col("__s"))).select(*lines.columns, "__f.*")
 
 
-def _with_percent(df: DataFrame) -> DataFrame:
+def with_percent(df: DataFrame) -> DataFrame:
     rows = F.col("rows_done")
     return df.withColumns(
         {
@@ -61,10 +69,10 @@ def _with_percent(df: DataFrame) -> DataFrame:
 
 def latest_status(lines: DataFrame, job: str = "job_id", seq: str = "seq", text: str = "line") -> DataFrame:
     """Last status text per job in line order; parsing happens once per job, after the aggregate."""
-    last = F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(STATUS), 0), F.lit(-1))
+    last = F.try_element_at(_status_texts(F.col(text)), F.lit(-1))
     hits = lines.select(job, seq, last.alias("__s")).filter(F.col("__s").isNotNull())
     best = hits.groupBy(job).agg(F.max_by("__s", seq).alias("__s"))
-    return _with_percent(best.withColumn("__f", _status_struct(F.col("__s"))).select(job, "__f.*"))
+    return with_percent(best.withColumn("__f", status_struct(F.col("__s"))).select(job, "__f.*"))
 
 
 def progress_facts(lines: DataFrame, text: str = "line") -> DataFrame:
@@ -75,7 +83,7 @@ def progress_facts(lines: DataFrame, text: str = "line") -> DataFrame:
     last = lambda rx: F.try_element_at(F.regexp_extract_all(t, F.lit(rx), 1), F.lit(-1))
     return lines.withColumns(
         {
-            "__status": F.try_element_at(F.regexp_extract_all(t, F.lit(STATUS), 0), F.lit(-1)),
+            "__status": F.try_element_at(_status_texts(t), F.lit(-1)),
             "__bar": F.coalesce(F.try_element_at(rollout, F.lit(-1)), F.try_element_at(bars, F.lit(-1))),
             "__preferred": F.when(F.size(rollout) > 0, 1).otherwise(0),
             "__budget": F.try_element_at(F.regexp_extract_all(t, F.lit(BUDGET), 1), F.lit(1)).cast("bigint"),
@@ -87,6 +95,7 @@ def progress_facts(lines: DataFrame, text: str = "line") -> DataFrame:
             "__compile_done": t.rlike(COMPILE_DONE),
             "__eval_done": t.rlike(EVAL_DONE),
             "__text": t.rlike(r"\S"),
+            "__error": F.regexp_extract_all(t, F.lit(ERRORS), 0),
         }
     )
 
@@ -109,6 +118,8 @@ def progress_folds(seq: str = "seq") -> list[Column]:
         F.bool_or("__compile_done").alias("__compile_done"),
         F.bool_or("__eval_done").alias("__eval_done"),
         F.bool_or("__text").alias("__text"),
+        F.sum(F.size("__error")).cast("bigint").alias("errors"),
+        F.max_by(F.try_element_at("__error", F.lit(-1)), F.when(F.size("__error") > 0, F.col(seq))).alias("last_error"),
     ]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import inspect
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -61,30 +62,36 @@ def apply_predictor(df: DataFrame, fn: Callable[..., object] | Column, inputs: S
     return df.mapInPandas(batches, schema)
 
 
-def _metric_call(fn: Callable[..., object]) -> Callable[[dict, object], object]:
-    """Call a metric by the widest form its signature takes: five, three or two arguments."""
+def _metric_call(fn: Callable[..., object]) -> Callable[..., object]:
+    """Call a metric by the widest form its signature takes: five, three or two arguments.
+
+    The trace is the third argument; the last two are filled by optimizers only and stay None here.
+    """
     for extra in ((None, None, None), (None,), ()):
         try:
             inspect.signature(fn).bind({}, "", *extra)
         except TypeError:
             continue
-        return lambda example, prediction: fn(example, prediction, *extra)
+        if not extra:
+            return lambda example, prediction, trace=None: fn(example, prediction)
+        return lambda example, prediction, trace=None, rest=extra[1:]: fn(example, prediction, trace, *rest)
     raise TypeError("a metric takes (example, prediction), (.., trace) or (.., trace, predictor, predictor trace)")
 
 
 def python_metric(fn: Callable[..., object]) -> Callable[..., Column]:
     """Wrap ``metric(example, prediction[, trace[, name, name_trace]])`` as an Arrow UDF.
 
-    It returns a number, a boolean or ``{score, feedback}``; an exception becomes ``error``.
+    Call the result with columns ``(example, prediction)`` or ``(example, prediction, trace)``. The metric returns
+    a number, a boolean or ``{score, feedback}``; an exception becomes ``error``.
     """
     call = _metric_call(fn)
+    kind = "score double, feedback string, error string"
 
-    @F.pandas_udf("score double, feedback string, error string")
-    def scored(example: pd.DataFrame, prediction: pd.Series) -> pd.DataFrame:
+    def judged(examples: list[dict], predictions: Iterable, traces: Iterable) -> pd.DataFrame:
         out = []
-        for ex, pred in zip(example.to_dict("records"), prediction):
+        for ex, pred, trace in zip(examples, predictions, traces):
             try:
-                got = call(ex, pred)
+                got = call(ex, pred, trace)
                 if isinstance(got, dict):
                     note = got.get("feedback")
                     out.append((float(got["score"]), None if note is None else str(note), None))
@@ -94,7 +101,15 @@ def python_metric(fn: Callable[..., object]) -> Callable[..., Column]:
                 out.append((0.0, None, str(e) or type(e).__name__))
         return pd.DataFrame(out, columns=["score", "feedback", "error"])
 
-    return scored
+    @F.pandas_udf(kind)
+    def scored(example: pd.DataFrame, prediction: pd.Series) -> pd.DataFrame:
+        return judged(example.to_dict("records"), prediction, repeat(None))
+
+    @F.pandas_udf(kind)
+    def traced(example: pd.DataFrame, prediction: pd.Series, trace: pd.Series) -> pd.DataFrame:
+        return judged(example.to_dict("records"), prediction, trace)
+
+    return lambda example, prediction, trace=None: scored(example, prediction) if trace is None else traced(example, prediction, trace)
 
 
 def score(df: DataFrame, metric: Column, metric_error: Column | None = None) -> DataFrame:

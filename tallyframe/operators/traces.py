@@ -70,12 +70,18 @@ def trace_tree(
 
 
 def trace_stats(observations: DataFrame, by: Sequence[str] = ("trace_id",)) -> DataFrame:
-    """Counts, tokens, errors and span of time per trace, model or type."""
+    """Counts, tokens, errors, cost, latency and span of time per trace, model or type.
+
+    Latency is end minus start of an observation, averaged over those that have ended; the span runs from the first
+    start to the last end. ``total_cost`` is null where no observation is priced.
+    """
     return observations.groupBy(*by).agg(
         F.count(F.lit(1)).alias("observations"),
         F.sum("total_tokens").alias("total_tokens"),
         F.count(F.when(F.upper("level") == "ERROR", 1)).alias("errors"),
-        (F.max("start_s") - F.min("start_s")).alias("span_s"),
+        F.sum("total_cost").alias("total_cost"),
+        F.avg(F.col("end_s") - F.col("start_s")).alias("avg_latency_s"),
+        (F.max("end_s") - F.min("start_s")).alias("span_s"),
     )
 
 

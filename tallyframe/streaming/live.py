@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
-from tallyframe.functions.exprs import pct
 from tallyframe.operators import logs
 from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, int_chunk, running, time_chunk
@@ -19,23 +18,12 @@ def live_progress(lines: DataFrame, job: str = "job_id", seq: str = "seq", text:
     """Latest progress per job, for update mode. State is one small row per job, and lines are folded
     map-side before the shuffle, so a job that prints most of the lines is no hot spot."""
     folded = logs.progress_facts(lines, text).groupBy(job).agg(*logs.progress_folds(seq))
-    status = F.col("__status")
-    part = lambda i: F.regexp_extract(status, logs.STATUS, i)
-    done, total = part(1).try_cast("bigint"), part(2).try_cast("bigint")
-    return folded.withColumns(
-        {
-            "phase": logs.phase_of(),
-            **logs.bar_columns(),
-            "rows_done": done,
-            "rows_total": total,
-            "rows_pct": F.when(status.isNotNull(), pct(done, total, "rows")),
-            "acc_pct": part(3).try_cast("double"),
-            "cost_usd": part(7).try_cast("double"),
-            "eta": F.nullif(part(11), F.lit("")),
-        }
-    ).select(
-        job, "phase", "rollouts_cur", "rollouts_total", "rollouts_pct", "budget", "last_iteration", "best_score", "front_score",
-        "new_candidates", "rows_done", "rows_total", "rows_pct", "acc_pct", "cost_usd", "eta",
+    status = F.when(F.col("__status").isNotNull(), logs.status_struct(F.col("__status")))
+    told = folded.withColumns({"phase": logs.phase_of(), **logs.bar_columns(), "__f": status}).select("*", "__f.*")
+    return logs.with_percent(told).withColumn("rows_pct", F.when(F.col("__f").isNotNull(), F.col("rows_pct"))).select(
+        job, "phase", "rollouts_cur", "rollouts_total", "rollouts_pct", "remaining", "rate", "budget", "last_iteration", "best_score",
+        "front_score", "new_candidates", "rows_done", "rows_total", "rows_pct", "acc_pct", "tokens_total", "tokens_in", "tokens_out",
+        "cost_usd", "cost_per_1k_rows", "avg_ms", "med_ms", "eta", "errors", "last_error",
     )
 
 

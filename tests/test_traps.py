@@ -484,5 +484,7 @@ def test_metric_forms(spark):
         out = sc.score(df, sc.python_metric(metric)(F.struct("gold"), "prediction"))
         got = out.orderBy("gold").collect()
         assert [r.score for r in got] == [1.0, 0.0] and got[0].error is None and "invalid literal" in got[1].error
+    traced = sc.python_metric(lambda ex, pred, trace=None: len(trace or ""))
+    assert [r.score for r in sc.score(df, traced(F.struct("gold"), "prediction", F.lit("abc"))).collect()] == [3.0, 3.0]
     with pytest.raises(TypeError):
         sc.python_metric(lambda ex: 1)
