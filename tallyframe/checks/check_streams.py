@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.checks.check_logs import _LATEST, _STATUS, PHASE_SQL, PROGRESS_SQL
+from tallyframe.checks.check_usage import _CALLS
 from tallyframe.checks.registry import check
 from tallyframe.operators import storage as so
 from tallyframe.plans.durable import scratch
@@ -122,14 +123,10 @@ def l4_outcomes(fx):
 
 
 @check(
-    "l5_pair_calls_stream",
-    """select s.scope, s.call_id, s.name, e.exception, round(epoch_us(e.ts) / 1e6 - epoch_us(s.ts) / 1e6, 6) as latency_seconds
-       from calls s join calls e on s.scope = e.scope and s.call_id = e.call_id where s.kind = 'start' and e.kind = 'end'""",
+    "l5_pair_calls_stream", f"with {_CALLS} select scope, call_id, name, exception, round(latency_seconds, 6) as latency_seconds from c"
 )
 def l5(fx):
-    starts = replay(fx.calls.filter("kind = 'start'"))
-    ends = replay(fx.calls.filter("kind = 'end'"))
-    out = appended(live.pair_call_streams(starts, ends, 3600, DELAY))
+    out = appended(live.pair_call_stream(replay(fx.calls, flush=True), 30 * 86400, DELAY))
     return out.select("scope", "call_id", "name", "exception", F.round("latency_seconds", 6).alias("latency_seconds"))
 
 

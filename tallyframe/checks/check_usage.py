@@ -56,8 +56,10 @@ def c5(fx):
     return us.unpriced(fx.usage_rows, us.price_dim(fx.spark, PRICE_TREE))
 
 
-_CALLS = """c as (select s.scope, s.call_id, s.name, e.exception, epoch_us(e.ts) / 1e6 - epoch_us(s.ts) / 1e6 as latency_seconds
-  from calls s join calls e on s.scope = e.scope and s.call_id = e.call_id where s.kind = 'start' and e.kind = 'end')"""
+# An end belongs to the last event of its call before it, if that is a start.
+_CALLS = """c as (select scope, call_id, start_name as name, exception, epoch_us(ts) / 1e6 - epoch_us(start_ts) / 1e6 as latency_seconds
+  from (select *, lag(kind) over call as last_kind, lag(ts) over call as start_ts, lag(name) over call as start_name from calls
+    window call as (partition by scope, call_id order by ts, kind = 'end')) t where kind = 'end' and last_kind = 'start')"""
 
 
 @check("c6_pair_calls", f"with {_CALLS} select scope, call_id, name, exception, round(latency_seconds, 6) as latency_seconds from c")

@@ -77,7 +77,15 @@ from events where event_id % 17 <> 0
 union all
 select user_id, event_id, 'end', ts + cast(floor(value) as bigint) * interval '1' second, event_type,
   event_type = 'error'
-from events where event_id % 13 <> 0""",
+from events where event_id % 13 <> 0
+union all
+select user_id, event_id, 'start', ts - interval '5' second, 'replaced', false from events where event_id % 19 = 0
+union all
+select user_id, event_id, 'end', ts + (1 + cast(floor(value) as bigint)) * interval '1' second, 'repeated', true from events where event_id % 7 = 0
+union all
+select user_id, event_id, 'start', ts + interval '2' hour, 'again', false from events where event_id % 5 = 0
+union all
+select user_id, event_id, 'end', ts + interval '3' hour, 'again', false from events where event_id % 5 = 0""",
     "attempts": """
 select user_id as example_idx, event_type as pred_name, event_id as attempt,
   md5(cast(event_id as string)) as instruction, least(floor(value / 10e0) / 5e0, 1e0) as score, props as feedback

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
 from tallyframe.operators import logs
@@ -87,19 +90,64 @@ def write_outcomes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> D
     ).drop("__owner")
 
 
-def pair_call_streams(
-    starts: DataFrame, ends: DataFrame, max_seconds: int, delay: str, keys: Sequence[str] = ("scope", "call_id"), ts: str = "ts"
+def pair_call_stream(
+    events: DataFrame, max_seconds: int, delay: str, keys: Sequence[str] = ("scope", "call_id"), ts: str = "ts"
 ) -> DataFrame:
-    """Start and end events joined as they arrive; both sides drop state once the time bound has passed."""
-    s = as_event_time(starts, ts, delay).select(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(keys)], F.col(ts).alias("started_at"), "name")
-    e = as_event_time(ends, ts, delay).select(*keys, F.col(ts).alias("ended_at"), "exception")
-    match = (F.col("ended_at") >= F.col("started_at")) & (
-        F.col("ended_at") <= F.col("started_at") + F.expr(f"interval {int(max_seconds)} seconds")
+    """``usage.pair_calls`` on a stream of start and end events (``kind``, ``name``, ``exception``), with state per call.
+
+    Events wait until the watermark has passed them, so they are paired in event order whatever order they came in: a
+    repeated start replaces the earlier one, a repeated end is ignored, an id may be used again. An open start is
+    dropped by a timer ``max_seconds`` after it began, so state ends with the calls. Events without a full key drop out.
+    """
+    keys = list(keys)
+    timed = as_event_time(events, ts, delay).select(*keys, ts, F.unix_micros(ts).alias("__t"), "kind", "name", "exception")
+    key_fields = [timed.schema[k] for k in keys]
+    out = T.StructType(
+        [
+            *key_fields,
+            timed.schema["name"],
+            timed.schema["exception"],
+            T.StructField("__from", T.LongType()),
+            T.StructField("__to", T.LongType()),
+        ]
+    )
+    names, limit = out.names, max_seconds * 1_000_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if any(pd.isna(k) for k in key):  # not filtered before: such rows still move the watermark
+            yield pd.DataFrame([], columns=names)
+            return
+        waiting = json.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                waiting += [list(x) for x in zip(pdf["__t"].tolist(), (pdf["kind"] != "start").astype(int).tolist(), pdf["name"].tolist(), pdf["exception"].tolist())]
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda x: x[:2])  # at equal times a start comes before its end
+        pairs, opened, later = [], None, []
+        for event in waiting:
+            if event[0] > passed:
+                later.append(event)
+            elif event[1] == 0:
+                opened = event
+            else:
+                if opened and event[0] - opened[0] <= limit:
+                    pairs.append((*key, opened[2], event[3], opened[0], event[0]))
+                opened = None
+        keep = ([opened] if opened and opened[0] + limit > passed else []) + later
+        if keep:
+            state.update((json.dumps(keep),))
+            wake = keep[0][0] + (0 if later and keep[0] is later[0] else limit)
+            wake = min([wake, *[e[0] for e in later[:1]]])
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, passed // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(pairs, columns=names)
+
+    paired = timed.groupBy(*keys).applyInPandasWithState(step, out, "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    return paired.select(
+        *keys, "name", "exception", F.timestamp_micros("__from").alias("started_at"), F.timestamp_micros("__to").alias("ended_at"),
+        ((F.col("__to") - F.col("__from")) / 1e6).alias("latency_seconds"),
     )
-    for i, k in enumerate(keys):
-        match = match & (F.col(f"__s{i}") == F.col(k))
-    seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6
-    return s.join(e, match).select(*keys, "name", "exception", "started_at", "ended_at", seconds.alias("latency_seconds"))
 
 
 def ingest_once(lines: DataFrame, delay: str, keys: Sequence[str] = ("job_id", "seq"), ts: str = "ts") -> DataFrame:
