@@ -33,6 +33,12 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def looked_up(stream: DataFrame, step) -> DataFrame:
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, "out")
+    sinks.lookup_sink(stream, out, scratch(spark, "state"), step).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def upserted(stream: DataFrame, keys: list[str]) -> DataFrame:
     spark, out = stream.sparkSession, scratch(stream.sparkSession, "out")
     sinks.upsert_sink(stream, out, scratch(spark, "state")).awaitTermination()
@@ -107,7 +113,7 @@ _FENCED_SQL = """select a.job_id, a.attempt, a.relative_path, a.tiebreak, a.size
 @check("l4_fenced_writes_stream", _FENCED_SQL)
 def l4(fx):
     writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))
-    out = appended(live.fenced_writes(replay(writes, "created_at"), fx.jobs))
+    out = looked_up(replay(writes, "created_at"), lambda batch: live.fenced_writes(batch, fx.jobs))
     return out.select("job_id", "attempt", "relative_path", "tiebreak", "size_bytes")
 
 
@@ -118,7 +124,7 @@ def l4(fx):
 )
 def l4_outcomes(fx):
     writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))
-    out = appended(live.write_outcomes(replay(writes, "created_at"), fx.jobs))
+    out = looked_up(replay(writes, "created_at"), lambda batch: live.write_outcomes(batch, fx.jobs))
     return out.groupBy("accepted", "relative_path").agg(F.count(F.lit(1)).alias("writes"))
 
 
@@ -178,7 +184,15 @@ def l8(fx):
 
 @check("l8_cancel_stream", _CANCEL_SQL)
 def l8_stream(fx):
-    return appended(live.cancel_decisions(replay(_cancels(fx)), fx.jobs)).select("seq", "job_id", "outcome")
+    out = looked_up(replay(_cancels(fx)), lambda batch: live.cancel_decisions(batch, fx.jobs))
+    return out.select("seq", "job_id", "outcome")
+
+
+@check("l8_cancel_signals_stream", "select id, worker_id, attempt, 2 as signals from jobs where status = 'running' and cancel_requested")
+def l8_signals(fx):
+    """Four files of ticks in two micro-batches: every pending cancel is signalled twice."""
+    out = looked_up(replay(fx.events.select("ts")), lambda batch: live.cancel_signals(batch, fx.jobs))
+    return out.groupBy("id", "worker_id", "attempt").agg(F.count(F.lit(1)).alias("signals"))
 
 
 @check("l8_pending_cancels", "select id, worker_id, attempt from jobs where status = 'running' and cancel_requested")

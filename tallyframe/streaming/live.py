@@ -75,13 +75,17 @@ def lease_intervals(
 
 
 def fenced_writes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
-    """Writes whose (worker, attempt) token still owns the job; the jobs table is static per micro-batch."""
+    """Writes whose (worker, attempt) token still owns the job, as ``jobs`` says it.
+
+    On a stream run it in ``sinks.lookup_sink`` with a jobs table read per micro-batch: joined directly, a table keeps
+    the files it had when the query began.
+    """
     owners = jobs.filter(F.col("worker_id").isNotNull()).select(F.col("id").alias(job), "worker_id", "attempt")
     return writes.join(owners, [job, "worker_id", "attempt"], "left_semi")
 
 
 def write_outcomes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
-    """Every write marked ``accepted`` or stale, to count what fencing drops (batch or stream)."""
+    """Every write marked ``accepted`` or stale, to count what fencing drops (on a stream as ``fenced_writes``)."""
     owners = jobs.filter(F.col("worker_id").isNotNull()).select(
         F.col("id").alias(job), "worker_id", "attempt", F.lit(True).alias("__owner")
     )
@@ -185,8 +189,8 @@ def gap_monitor(
 
 
 def cancel_decisions(requests: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
-    """Outcome of each cancel request (batch or stream): queued jobs end now, running ones are asked
-    to stop, others conflict, unknown ones are not found."""
+    """Outcome of each cancel request: queued jobs end now, running ones are asked to stop, others
+    conflict, unknown ones are not found. On a stream run it in ``sinks.lookup_sink``."""
     known = jobs.select(F.col("id").alias(job), "status")
     outcome = (
         F.when(F.col("status").isNull(), "not found")
@@ -202,6 +206,15 @@ def pending_cancels(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("status") == "running") & F.col("cancel_requested")).select("id", "worker_id", "attempt")
 
 
+def cancel_signals(ticks: DataFrame, jobs: DataFrame, ts: str = "ts") -> DataFrame:
+    """Pending cancels, once for the newest tick of a micro-batch; run it in ``sinks.lookup_sink``.
+
+    Every tick signals all running jobs that are still asked to stop, until the jobs table says they have.
+    """
+    now = ticks.agg(F.max(ts).alias("signalled_at")).filter("signalled_at is not null")
+    return pending_cancels(jobs).withColumn("signalled_at", now.scalar()).filter("signalled_at is not null")
+
+
 def throughput(
     results: DataFrame, width: str, slide: str | None = None, by: Sequence[str] = (), ts: str = "ts", values: dict[str, Column] | None = None,
     delay: str | None = None,

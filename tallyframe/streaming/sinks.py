@@ -61,3 +61,25 @@ def fold_sink(
 
     writer = stream.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
+
+
+def lookup_sink(
+    stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], every: str | None = None
+) -> StreamingQuery:
+    """``step(batch)`` per micro-batch, one folder each; tables that ``step`` reads are read anew every time.
+
+    A table joined to a stream directly is listed once, when the frame is made, so what is written later
+    is never seen. Read it inside ``step``: ``lambda b: live.fenced_writes(b, spark.read.parquet(jobs))``.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
+
+
+def compact_latest(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
+    """Write the current rows of a stopped ``upsert_sink`` table as the single batch of a new one."""
+    newest = spark.read.parquet(path).agg(F.max(BATCH)).first()[0]
+    read_latest(spark, path, keys).write.mode("overwrite").parquet(f"{to}/{BATCH}={newest}")

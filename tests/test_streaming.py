@@ -65,3 +65,48 @@ def test_cancel_outcomes(spark):
     req = spark.range(1, 5).select(F.col("id").cast("int").alias("job_id"))
     got = {r.job_id: r.outcome for r in live.cancel_decisions(req, jobs).collect()}
     assert got == {1: "cancelled", 2: "requested", 3: "conflict", 4: "not found"}
+
+
+def test_lookups_see_tables_written_between_batches(spark):
+    """A job changes hands after the first micro-batch: the old worker's later write is stale, its cancel ends."""
+    jobs, out = scratch(spark, "jobs"), scratch(spark, "out")
+    schema = "id long, worker_id string, attempt int, status string, cancel_requested boolean"
+    spark.createDataFrame([(1, "a", 1, "running", True)], schema).write.parquet(jobs)
+    writes = spark.createDataFrame([(1, "a", 1, T0)], "job_id long, worker_id string, attempt int, ts timestamp")
+    stream, signals = files(spark, writes, writes), []
+
+    def step(batch):
+        now = spark.read.parquet(jobs)
+        signals.append(live.cancel_signals(batch, now).count())
+        marked = spark.createDataFrame([tuple(r) for r in live.write_outcomes(batch, now).select("job_id", "accepted").collect()], "job_id long, accepted boolean")
+        spark.createDataFrame([(1, "b", 2, "succeeded", True)], schema).write.mode("overwrite").parquet(jobs)
+        return marked
+
+    sinks.lookup_sink(stream, out, scratch(spark, "cp"), step).awaitTermination()
+    got = sorted((r.batch_id, r.accepted) for r in spark.read.parquet(out).collect())
+    assert got == [(0, True), (1, False)] and signals == [1, 0]
+
+
+def test_compaction_keeps_the_current_rows(spark):
+    out, to = scratch(spark, "out"), scratch(spark, "compact")
+    s = live.last_seen(files(spark, beats(spark, ("a", 1), ("b", 1)), beats(spark, ("a", 9))))
+    sinks.upsert_sink(s, out, scratch(spark, "cp")).awaitTermination()
+    sinks.compact_latest(spark, out, ["worker_id"], to)
+    rows = lambda p: sorted(map(tuple, sinks.read_latest(spark, p, ["worker_id"]).collect()))
+    assert rows(to) == rows(out) and spark.read.parquet(to).count() == 2
+
+
+def test_call_pairs_across_batches_follow_the_batch_rule(spark):
+    from tallyframe.operators.usage import pair_calls
+
+    schema = "scope string, call_id int, kind string, ts timestamp, name string, exception boolean"
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    one = [("s", 1, "end", at(9), "x", False), ("s", 1, "start", at(0), "old", False), ("s", 2, "start", at(1), "lost", False)]
+    two = [("s", 1, "start", at(4), "new", False), ("s", 1, "end", at(12), "x", True), ("s", 1, "start", at(20), "again", False)]
+    three = [("s", 1, "end", at(25), "x", False), (None, 1, "end", at(26), "x", False), ("z", 9, "start", at(10**7), "far", False)]
+    frames = [spark.createDataFrame(x, schema) for x in (one, two, three)]
+    out = scratch(spark, "out")
+    stream = live.pair_call_stream(files(spark, *frames), 3600, "1 hour")
+    sinks.append_sink(stream, out, scratch(spark, "cp")).awaitTermination()
+    key = lambda df: sorted((r.scope, r.call_id, r.name, r.exception, r.latency_seconds) for r in df.collect())
+    assert key(spark.read.parquet(out)) == key(pair_calls(frames[0].union(frames[1]).union(frames[2])))
