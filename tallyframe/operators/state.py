@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import int_chunk, row_numbers
 
 
@@ -31,16 +32,23 @@ def upsert_dims(
     """Insert-if-absent down a chain of levels; each level is keyed by its parent's id.
 
     ``levels``: ``(name, own key columns)`` from top to bottom. Returns the dimension tables and
-    the facts with every ``<name>_id`` (NULL where a key is NULL).
+    the facts with every ``<name>_id`` (NULL where a key is NULL). All levels are resolved on the distinct key tuples,
+    which are read from the facts once, and joined back once.
     """
     dims: dict[str, DataFrame] = {}
-    out, parent = facts, []
+    all_keys = list(dict.fromkeys(c for _, own in levels for c in own))
+    out, parent = durable(facts.select(*all_keys).distinct(), "keys"), []
     for name, own in levels:
         keys = [*parent, *own]
         dims[name] = upsert_dim((existing or {}).get(name), out, keys, f"{name}_id")
         out = out.join(dims[name], keys, "left")
         parent = [f"{name}_id"]
-    return dims, out
+    ids = [f"{name}_id" for name, _ in levels]
+    tuples = out.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(all_keys)], *ids)
+    same = F.lit(True)
+    for i, k in enumerate(all_keys):
+        same = same & facts[k].eqNullSafe(F.col(f"__{i}"))
+    return dims, facts.join(tuples, same, "left").select(facts["*"], *ids)
 
 
 def insert_new(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
