@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tallyframe.llm.columns import text_steps
 from tallyframe.llm.packing import mix
 from tallyframe.llm.words import BYTE_BASE, WORD_BASE, prefix, word_hashes, word_spans
-from tallyframe.plans.durable import durable
+from tallyframe.plans.durable import durable, scratch
 
 #: Bytes of text per slot, and per step inside a task.
 SLOT_BYTES, STEP = 8 << 20, 1 << 19
@@ -242,7 +242,7 @@ def distinct(s: Segments, ids: np.ndarray, parts: int) -> Distinct:
 
 
 def store(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """The rows dealt to slots in a table bucketed by slot, and the number of slots."""
+    """The rows dealt to slots in a table bucketed by slot, in the shared folder, and the number of slots."""
     spark = df.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     total = df.agg(F.sum(F.octet_length(t)).alias("n")).first()[0] or 0
@@ -253,7 +253,7 @@ def store(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = ()) ->
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), rid.alias("rid"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int"))
     name = f"slots_{uuid.uuid4().hex}"
-    rows.repartition(buckets, "slot").write.option("compression", "zstd").bucketBy(buckets, "slot").saveAsTable(name)
+    rows.repartition(buckets, "slot").write.options(compression="zstd", path=scratch(spark, "slots")).bucketBy(buckets, "slot").saveAsTable(name)
     return spark.table(name), slots
 
 
