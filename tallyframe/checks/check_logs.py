@@ -7,11 +7,8 @@ import re
 from tallyframe.checks.registry import check
 from tallyframe.operators import logs as lg
 
-_S = (
-    r"\[(\d+)/(\d+)\]\s*Acc:\s*([\d.]+)%\s*\|\s*Tokens:\s*([\d,]+)\s*\(in:([\d,]+)/out:([\d,]+)\)\s*\|\s*Cost:\s*\$([\d.]+)\s*\|"
-    r"\s*Latency:\s*avg=(\d+)ms,\s*med=(\d+)ms(?:,\s*var=(\d+)ms²)?\s*\|\s*ETA:\s*(\S+)"
-)
-_B = r"(\d+)/(\d+)\s*\[(\d+:\d+(?::\d+)?|\?)<(\d+:\d+(?::\d+)?|\?),\s*([\d.?]+)([a-zA-Z/]+)\]"
+# The marked patterns of the operators; the fields are read one by one here.
+_S, _B = lg.STATUS, lg.PROGRESS_BAR
 
 
 def _g(rx: str, i: int, kind: str) -> str:

@@ -35,7 +35,7 @@ def artifacts_for(jobs: DataFrame, arts: DataFrame, kind: str | None = None, pre
 
 
 def classify(path: str | Column, rules: str = "worker", runner_dir: str = RUNNER_DIR) -> Column:
-    """Artifact kind; the first rule that fits decides."""
+    """Artifact kind; the first rule that fits decides. The kind names and the places they stand for."""
     p = F.col(path) if isinstance(path, str) else path
     at_root = ~F.contains(p, F.lit("/"))
     ends = lambda s: F.endswith(p, F.lit(s))

@@ -169,6 +169,7 @@ def normalize_metric(df: DataFrame, col: str) -> DataFrame:
         .when(is_object(v) & value.isNull(), "score is not a number")
         .when(value.isNull(), "unsupported metric output")
     )
+    # Fixed value: the sentence given where a metric leaves no note.
     default = F.concat(F.lit("This trajectory got a score of "), float_text(value), F.lit("."))
     return df.withColumns(
         {"score": value, "feedback": F.when(problem.isNull(), F.coalesce(given, default)), "problem": problem}

@@ -84,11 +84,19 @@ def exact_quantiles(
         "counted",
     )
     ranked = running(counted, keys, ["__v"], F.col("__slice"), [Running("__upto", "sum", F.col("__c"))])
+
+    def at_rank(rank: Column) -> Column:
+        """Value at a rank; fails if the rank fell between the brackets instead of inside one."""
+        reached = F.col("__upto") >= rank
+        first = F.min(F.when(reached, F.col("__upto")))
+        certain = first == F.min(F.when(reached & F.col("__v").isNotNull(), F.col("__upto")))
+        found = F.min(F.when(reached, F.col("__v")))
+        return F.when(F.coalesce(certain, F.lit(False)), found).otherwise(F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double"))
+
     picks = []
     for name, p in points.items():
         spot = (F.col("__n") - 1) * p + 1
-        low = F.min(F.when(F.col("__upto") >= F.floor(spot), F.col("__v")))
-        high = F.min(F.when(F.col("__upto") >= F.ceil(spot), F.col("__v")))
+        low, high = at_rank(F.floor(spot)), at_rank(F.ceil(spot))
         part = F.max(spot - F.floor(spot))
         picks.append((low + (high - low) * part).alias(name))
     found = ranked.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*picks)
