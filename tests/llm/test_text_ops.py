@@ -358,7 +358,7 @@ def test_repeated_passages(spark, sf_dir, odd, none, pairs, docs):
 
 def test_cut_texts_hold_the_kept_words(odd):
     for r in fmindex.remove_repeated_passages(odd, keep=("lang", "slot"), with_text=True).collect():
-        assert r.slot == "q"
+        assert r.slot == "s"
         assert hashlib.sha256(" ".join(brute.SPACE_WORDS.findall(r.cut_text)).encode()).hexdigest() == r.kept_sha256
 
 
@@ -413,7 +413,7 @@ def test_decontamination(spark, sf_dir, odd, none, pairs, docs):
 
 def test_proximity_matches(spark):
     item = _words(10, 3)
-    texts = [(1, " ".join(_words(30, 1) + item + _words(30, 2))), (2, " ".join(_words(30, 4) + item[:5] + ["between"] + item[5:])), (3, " ".join(_words(80, 5)))]
+    texts = [(1, " ".join(_words(30, 1) + item + _words(30, 2))), (2, " ".join(_words(30, 4) + item[:5] + ["between"] + item[5:])), (3, " ".join(f"q{i}" for i in range(80)))]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
     found = {r.doc_id: r.distance for r in decontam.proximity_matches(docs, bench, slop=2).collect()}
