@@ -6,9 +6,16 @@ digest of the entire normalised text is hash-joined to the digests of the known
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tallyframe.llm.columns import kept_fields, with_text
+from tallyframe.plans.durable import durable
 
 # Spellings that licence matching guidelines treat as the same.
 SPELLINGS = {
@@ -71,52 +78,82 @@ KNOWN = [
 ]
 KNOWN_SCHEMA = "license_id string, text string"
 
-#: A notice line: comment marks, then the word or sign, then a sign, a year or a holder.
-NOTICE = r"(?m)^[\s#*/;%-]*(?:(?:copyright|\(c\)|©)(?:[ \t]*(?:\(c\)|©|:|[0-9]{4})).*|all rights reserved\.?[ \t]*)$"
+#: A notice line: comment marks, then the word or sign, then a sign, a year or nothing more than a holder's mark.
+NOTICE = re.compile(r"[\s#*/;%-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|:|[0-9]{4}).*|all rights reserved\.?\s*)")
+_MARKS = ("copyright", "(c)", "©", "all rights")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def normalized(text: Column) -> Column:
-    """Lower case, no notice lines, one blank between words of letters and digits, one spelling."""
-    low = F.lower(text)
-    marked = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights")
-    bare = F.when(marked, F.regexp_replace(low, NOTICE, " ")).otherwise(low)
-    words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
-    spelled = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for old, new in SPELLINGS.items():
-        spelled = F.replace(spelled, F.lit(f" {old} "), F.lit(f" {new} "))
-    spelled = F.trim(F.replace(spelled, F.lit("  "), F.lit(" ")))
-    return F.when(words.rlike(rf"\b(?:{'|'.join(SPELLINGS)})\b"), spelled).otherwise(words)
+def line_words(line: str) -> list[str]:
+    """Words of letters and digits of a lower-case line in one spelling; none of a notice line."""
+    if any(m in line for m in _MARKS) and NOTICE.fullmatch(line):
+        return []
+    words = _WORD.findall(line)
+    return words if SPELLINGS.keys().isdisjoint(words) else [SPELLINGS.get(w, w) for w in words]
 
 
-def digest(text: Column) -> Column:
-    """Digest of the entire normalised text; null and texts without words have none."""
-    bare = normalized(text)
-    return F.when(bare != "", F.sha2(bare.cast("binary"), 256))
+def _digest(words: list[str]) -> bytes | None:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest() if words else None
 
 
-def known_digests(known: DataFrame) -> DataFrame:
-    """One row per digest of a table (license_id, text); the least id stands for equal texts."""
-    return known.select(digest(F.col("text")).alias("digest"), "license_id").filter("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def digests(text: str | None) -> tuple[bytes | None, list[bytes]]:
+    """Digest of the entire normalised text, and of each line that has words; null without words."""
+    lines = [w for line in (text or "").lower().split("\n") if (w := line_words(line))]
+    whole = _digest(list(chain.from_iterable(lines)))
+    return whole, [whole] if len(lines) == 1 else [_digest(w) for w in lines]
+
+
+def hashed(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """``keep``, whole binary and lines array<binary> of every row; no shuffle."""
+    keep = list(keep)
+    schema = T.StructType(
+        [*kept_fields(df, keep), T.StructField("__whole", T.BinaryType()), T.StructField("__lines", T.ArrayType(T.BinaryType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                both = [digests(t.as_py()) for t in part.column(len(keep))]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], pa.array([w for w, _ in both], pa.binary()), pa.array([x for _, x in both], pa.list_(pa.binary()))],
+                    [*keep, "__whole", "__lines"],
+                )
+
+    return with_text(df, text, keep).mapInArrow(run, schema)
 
 
 def builtin_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, KNOWN_SCHEMA)
 
 
-def scan_texts(df: DataFrame, known: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep``, text_digest and the license_id whose entire text this is (null: none).
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, license): one row per digest of a table (license_id, text); the least id stands for equal texts."""
+    rows = hashed(known, "text", ["license_id"]).filter("__whole is not null")
+    return rows.groupBy(F.col("__whole").alias("__digest")).agg(F.min("license_id").alias("__license"))
 
-    The known side is a list of licences, which adaptive execution broadcasts while small and shuffles
-    otherwise. Every row comes back once, repeated rows and nulls included; a null or wordless text has
-    a null digest; other columns are not read; empty tables on either side give no match.
-    """
-    hashed = df.select(*keep, digest(F.col(text)).alias("text_digest"))
-    look = known_digests(known).withColumnRenamed("digest", "text_digest").withColumnRenamed("license_id", "__license")
-    return hashed.join(look, "text_digest", "left").select(*keep, "text_digest", F.col("__license").alias("license_id"))
 
+def scan(df: DataFrame, known: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep``, text_digest, license_id, n_license_lines and line_licenses of every row.
 
-def scan_lines(df: DataFrame, known: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(keep, license_id, n_lines): lines that are, as entire texts, a known licence notice; rows without any are absent."""
-    lines = df.select(*keep, F.explode(F.split(text, "\n")).alias("__line"))
-    hashed = lines.select(*keep, digest(F.col("__line")).alias("digest"))
-    return hashed.join(known_digests(known), "digest").groupBy(*keep, "license_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    license_id names the known licence that the entire text is, line_licenses those that one of its lines is as an entire text
+    (a notice), comma-joined. ``known`` (license_id, text) is written first, so it is broadcast while it is small
+    and shuffled otherwise. Only matched lines and one row per text go on to be grouped. Repeated rows
+    come back each; a null or wordless text has a null digest; other columns are not read; an empty known
+    table matches nothing and an empty table gives an empty result.
+    """
+    look = durable(known_digests(known), "licenses")
+    keep = list(keep)
+    rows = hashed(df, text, keep).withColumn("__row", F.monotonically_increasing_id())
+    whole = F.struct(F.lit(True).alias("whole"), F.col("__whole").alias("digest"))
+    lines = F.transform("__lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest")))
+    parts = rows.select(*keep, "__row", F.explode(F.concat(F.array(whole), lines)).alias("__p")).select(*keep, "__row", "__p.whole", F.col("__p.digest").alias("__digest"))
+    found = parts.withColumnRenamed("whole", "__is_whole").join(look, "__digest", "left").filter(F.col("__is_whole") | F.col("__license").isNotNull())
+    grouped = found.groupBy("__row").agg(
+        *[F.first(c).alias(c) for c in keep],
+        F.max(F.when(F.col("__is_whole"), F.lower(F.hex("__digest")))).alias("text_digest"),
+        F.max(F.when(F.col("__is_whole"), F.col("__license"))).alias("license_id"),
+        F.sum((~F.col("__is_whole")).cast("long")).alias("n_license_lines"),
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(~F.col("__is_whole"), F.col("__license"))))).alias("line_licenses"),
+    )
+    return grouped.drop("__row")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, packing, rules, sharding, suffixes
 from tallyframe.plans.durable import durable, scratch
@@ -25,21 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, known = table(spark, sf_dir, "documents"), licenses.builtin_licenses(spark)
-    lines = licenses.scan_lines(docs, known).groupBy("doc_id").agg(
-        F.sum("n_lines").alias("n_license_lines"), F.array_sort(F.collect_set("license_id")).alias("line_licenses")
-    )
-    return (
-        licenses.scan_texts(docs, known)
-        .join(lines, "doc_id", "left")
-        .select(
-            "doc_id",
-            "text_digest",
-            "license_id",
-            F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"),
-            F.concat_ws(",", "line_licenses").alias("line_licenses"),
-        )
-    )
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.builtin_licenses(spark))
 
 
 def op6_shards(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
