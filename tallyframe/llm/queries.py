@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, packing, rules, sharding, suffixes
+from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, oracles, packing, rules, sharding, suffixes
 from tallyframe.plans.durable import durable, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -80,4 +80,4 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = dict(oracles.ORACLE)
