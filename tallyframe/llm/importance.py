@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe.llm.columns import kept_fields, text_steps, with_text
-from tallyframe.llm.packing import mix
-from tallyframe.llm.words import WORD_BASE, word_hashes, word_spans
+from tallyframe.llm.words import WORD_BASE, mix, word_hashes, word_spans
 from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import row_numbers
 

@@ -21,6 +21,7 @@ from tokenizers import Tokenizer
 
 from tallyframe.llm.bpe import OTHER, byte_symbols
 from tallyframe.llm.columns import kept_fields, with_text
+from tallyframe.llm.words import mix
 from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import CHUNK, Running, range_chunks, running
 
@@ -60,14 +61,6 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: spreads every input bit over the whole word."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 @functools.lru_cache(maxsize=2)
 def projection(size: int) -> np.ndarray:
     """Hashed direction of every token: a sum of four uniforms per dimension, near normal."""

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe.llm.columns import text_steps
-from tallyframe.llm.packing import mix
-from tallyframe.llm.words import BYTE_BASE, WORD_BASE, prefix, word_hashes, word_spans
+from tallyframe.llm.words import BYTE_BASE, WORD_BASE, mix, prefix, word_hashes, word_spans
 from tallyframe.plans.durable import durable, scratch
 
 #: Bytes of text per slot, and per step inside a task.
