@@ -40,7 +40,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keyed = _keyed(docs)
     judged = importance.resample(keyed, _labels(spark, sf_dir, "labels"), keep=["__a", "__b"])
     out = judged.filter(~F.col("selected")).select(*_id_keys(), "__a", "__b").distinct()
-    return keyed.join(durable(out, "rejected"), _KEYS, "left_anti").select(docs.columns)
+    # Sorted and merged whatever the sizes: the rejected grow with the corpus.
+    return keyed.join(durable(out, "rejected").hint("merge"), _KEYS, "left_anti").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a benchmark passage go."""
     found = decontam.decontaminate(docs, _labels(spark, sf_dir, "benchmark")).filter("contaminated")
     out = durable(found.select(*_id_keys(), F.col("rk").alias("__a")).distinct(), "contaminated")
-    return _keyed(docs).join(out, ["__d", "__null", "__a"], "left_anti").select(docs.columns)
+    return _keyed(docs).join(out.hint("merge"), ["__d", "__null", "__a"], "left_anti").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
