@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Bytes of text that one step of a task works on; a longer text is worked on alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def with_text(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

@@ -19,15 +19,20 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyframe.llm.columns import text_steps, with_text
 from tallyframe.llm.components import components
-from tallyframe.llm.packing import mix
-from tallyframe.llm.words import WORD_BASE, prefix, span_hashes, windows, word_hashes, word_spans
+from tallyframe.llm.words import WORD_BASE, mix, prefix, span_hashes, windows, word_hashes, word_spans
 from tallyframe.plans.durable import durable
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 4 darts: a pair of similarity 0.8 shares a band with probability 1 - 3e-6.
 BANDS, ROWS = 24, 4
-#: Star rounds with new leaders before all remaining pairs between unlinked classes are checked.
-ROUNDS = 3
+#: Bytes of text whose shingles and darts a task holds at once.
+STEP = 1 << 19
+#: Star rounds with new leaders before the members of keys that still hold several classes are compared in blocks.
+ROUNDS = 2
+#: Members of a block, and bytes of their cells; two blocks are compared in one task.
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+#: Cells that a product of two blocks takes at once.
+_WIDE = 2048
 
 
 def shingle_cells(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +112,7 @@ def signed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_steps(batch.column(3)):
+            for first, end, data, offsets in text_steps(batch.column(3), STEP):
                 doc, cells = shingle_cells(data, offsets)
                 n = np.bincount(doc, minlength=end - first)
                 keys = band_keys(signatures(doc, cells, end - first)).view(np.int64)
@@ -128,7 +133,7 @@ def shingle_lists(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_steps(batch.column(len(keep))):
+            for first, end, data, offsets in text_steps(batch.column(len(keep)), STEP):
                 doc, cells = shingle_cells(data, offsets)
                 cells = cells[np.lexsort((cells, doc))]
                 cut = np.searchsorted(doc, np.arange(end - first + 1))
@@ -158,14 +163,93 @@ def similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
+def spanning_links(nids: np.ndarray, roots: np.ndarray, lists: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what exact similarity connects among these members, at most one per class joined.
+
+    Shared cells are counted for all pairs by products of 0/1 matrices, some thousand cells at a time;
+    cells that only one member has cannot be shared and are left out.
+    """
+    size = np.array([len(x) for x in lists])
+    names, cell, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(lists)), size)
+    shared = count[cell] > 1
+    number = np.cumsum(count > 1) - 1
+    cell, member = number[cell[shared]], member[shared]
+    order = np.argsort(cell, kind="stable")
+    cell, member = cell[order], member[order]
+    both = np.zeros((len(lists), len(lists)), np.float32)
+    for first in range(0, int((count > 1).sum()), _WIDE):
+        a, b = np.searchsorted(cell, [first, first + _WIDE])
+        have = np.zeros((len(lists), _WIDE), np.float32)
+        have[member[a:b], cell[a:b] - first] = 1
+        both += have @ have.T
+    top = {r: r for r in roots.tolist()}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = top[top[r]]
+            r = top[r]
+        return r
+
+    out = []
+    for i in range(1, len(lists)):
+        near = both[i, :i] >= (threshold - 1e-12) * (size[i] + size[:i] - both[i, :i])
+        for j in np.flatnonzero(near & (roots[:i] != roots[i])):
+            x, y = find(int(roots[i])), find(int(roots[j]))
+            if x != y:
+                top[x] = y
+                out.append((int(nids[i]), int(nids[j])))
+    return out
+
+
+def block_links(open_: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes within keys of three or more members (of two, the star rounds saw the only pair).
+
+    A key's members are dealt to blocks of bounded count and bytes; every two blocks meet in one task, so a
+    member is sent once per block of its key and a hot key is many tasks.
+    """
+    weight = lists.select("nid", F.length("cells").alias("bytes"))
+    rows = open_.select("key", "nid", "root").join(weight, "nid")
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), need.alias("blocks")).filter("n > 2")
+    dealt = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    sent = dealt.select(task.alias("task"), "nid", "root").join(lists, "nid")
+    tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(tasks, "task").sortWithinPartitions("task").select("task", "nid", "root", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            unique = {n: (r, c) for n, r, c in rows}
+            if len({r for r, _ in unique.values()}) < 2:
+                return []
+            cells = [np.frombuffer(c, np.uint64) for _, c in unique.values()]
+            return spanning_links(np.array(list(unique)), np.array([r for r, _ in unique.values()]), cells, threshold)
+
+        now, rows = None, []
+        for batch in batches:
+            found = []
+            for task, nid, root, cells in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if task != now:
+                    found += links(rows)
+                    now, rows = task, []
+                rows.append((nid, root, cells))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+        found = links(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return sent.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, is_representative, n_shingles and n_copies (rows of equal text) of every row.
 
     A class is a connected component of links between texts of at least ``threshold`` similarity; equal texts are always
     one class. class_id is the least doc_id in it. Equal texts are collapsed first, so a group of copies costs one
     signature. Texts that share a band key are checked against one leader per key, in rounds with new leaders
-    among keys that still hold several classes; then every untested pair of different classes in a key is
-    checked, so no candidate is lost, and pairs within a class are not made. Null, empty and wordless
+    among keys that still hold several classes. What is left is compared exactly in blocks, so no candidate is
+    lost; a pair of blocks gives back links that span its classes, never its pairs. Null, empty and wordless
     texts link only to equal texts (null is empty). Null ids count as larger than all; a class
     of null ids only has a null class_id. Repeated rows share a class and are all marked if they represent it. Other
     columns are not read; an empty table gives an empty result.
@@ -204,8 +288,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", t
             lead = lead.join(open_.select("key", F.col("nid").alias("lead"), F.col("root").alias("lead_root")), ["key", "lead"])
             pairs = open_.join(lead, "key").filter("root <> lead_root").select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b"))
         else:
-            other = open_.select("key", F.col("nid").alias("b"), F.col("root").alias("b_root"))
-            pairs = open_.select("key", F.col("nid").alias("a"), "root").join(other, "key").filter("a < b and root <> b_root").select("a", "b")
+            links = links.union(durable(block_links(open_, lists, threshold), "links"))
+            roots = components(links)
+            break
         pairs = durable(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         found = durable(similar(pairs, lists, threshold), "links")

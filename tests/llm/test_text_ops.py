@@ -194,8 +194,9 @@ def test_leader_rounds_and_leftover_pairs_find_all_links(spark, monkeypatch):
     least = _class_of(texts, links)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     want = sorted(((d, least[c]) for (d, _), c in zip(texts, links)), key=repr)
-    for rounds in (0, 1, 3):
+    for rounds, block in ((0, 2048), (1, 7), (2, 2048)):
         monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "BLOCK", block)
         assert rows(neardup.near_duplicates(df), "doc_id", "class_id") == want
 
 
