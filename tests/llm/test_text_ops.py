@@ -287,6 +287,25 @@ def test_classifier_tells_held_out_rows_apart(spark, sf_dir):
     assert some.filter("selected").count() == 100
 
 
+def test_classifier_finds_toxic_words_in_long_clean_prose(spark):
+    """A few insults among many clean words decide, on held-out and on unlabelled rows, and clean rows stay."""
+    texts, labels = [], []
+    for i in range(3000):
+        toxic = i % 8 == 0
+        topic = "abcdefghij"[i // 8 % 10]  # rows of topic j are rarely labelled, so clean ones weigh little
+        words = [f"{topic}{(i * 31 + j * j * 7) % 97}" for j in range(200)]
+        if toxic:
+            words[20], words[90] = f"insult{i % 5}", f"insult{(i // 8) % 5}"
+        texts.append((i, " ".join(words)))
+        if i < 2000 and (topic != "j" or i % 10 == 1):
+            labels.append((i, 1, int(toxic)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = importance.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    fresh = [r for r in got if r.doc_id >= 2000]
+    assert np.mean([not r.selected for r in fresh if r.doc_id % 8 == 0]) > 0.95
+    assert np.mean([r.selected for r in fresh if r.doc_id % 8]) > 0.99
+
+
 def test_classifier_on_awkward_rows(spark, odd, none, pairs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (15, 0, None), (15, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = importance.resample(odd, labels)
