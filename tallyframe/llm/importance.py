@@ -177,16 +177,20 @@ def weigh(df: DataFrame, ratios: np.ndarray, excess: np.ndarray, text: str, keep
 
 
 def best_cutoff(weights: np.ndarray, clean: np.ndarray) -> float:
-    """Log weight below which held-out documents are best left out; the middle of the widest best gap."""
-    if not len(weights) or clean.all():
+    """Log weight below which held-out documents are best left out; the middle of the widest best gap.
+
+    -inf, so that none is left out, where no row or no bad or no clean one was held out; never above all clean ones.
+    """
+    if not len(weights) or clean.all() or not clean.any():
         return -np.inf
     order = np.argsort(weights)
     w, good = weights[order], clean[order]
     lost = np.concatenate([[0], np.cumsum(good)]) * CLEAN_COST + np.concatenate([[0], np.cumsum(~good)])[-1] - np.concatenate([[0], np.cumsum(~good)])
     gap = np.concatenate([[0.0], np.diff(w), [0.0]])  # cutting before i separates w[i - 1] from w[i]
     gap[1:-1] = np.where(gap[1:-1] > 0, gap[1:-1], -1)
-    i = max(np.flatnonzero(lost == lost[gap >= 0].min()), key=lambda i: gap[i])
-    return -np.inf if i == 0 else np.inf if i == len(w) else float((w[i - 1] + w[i]) / 2)
+    at = np.flatnonzero(gap[: np.flatnonzero(good)[-1] + 1] >= 0)
+    i = max(at[lost[at] == lost[at].min()], key=lambda i: gap[i])
+    return -np.inf if i == 0 else float((w[i - 1] + w[i]) / 2)
 
 
 def resample(
@@ -222,7 +226,9 @@ def resample(
         excess = toxic_excess(*document_counts(df, kinds, text, doc_id), len(fit), len(harmful))
     scored = durable(weigh(df, ratios, excess, text, [doc_id, *keep]).withColumnRenamed(doc_id, "doc_id"), "weights")
     answers = F.broadcast(spark.createDataFrame(held, "doc_id long, good boolean, harmless boolean"))  # at most LABEL_ROWS
-    seen = scored.join(answers, "doc_id").select("log_weight", "toxic_weight", "good", "harmless").limit(LABEL_ROWS).collect()
+    # One row per id, which counts as its worst text: as many as there are labels.
+    worst = scored.join(answers, "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.max("toxic_weight").alias("toxic_weight"), F.first("good").alias("good"), F.first("harmless").alias("harmless"))
+    seen = worst.collect()  # at most LABEL_ROWS
     clean = np.array([r["good"] and r["harmless"] for r in seen], bool)
     bad, toxic = (np.array([not r[c] for r in seen], bool) for c in ("good", "harmless"))
     cutoff = best_cutoff(np.array([r["log_weight"] for r in seen])[clean | bad], clean[clean | bad])

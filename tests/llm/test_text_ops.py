@@ -306,6 +306,16 @@ def test_classifier_finds_toxic_words_in_long_clean_prose(spark):
     assert np.mean([r.selected for r in fresh if r.doc_id % 8]) > 0.99
 
 
+def test_cutoff_never_rejects_every_row():
+    bad = np.zeros(120, bool)
+    assert importance.best_cutoff(np.arange(120.0), bad) == -np.inf
+    one = bad.copy()
+    one[0] = True
+    assert importance.best_cutoff(np.zeros(120), one) == -np.inf
+    assert importance.best_cutoff(np.arange(120.0), one) == -np.inf
+    assert importance.best_cutoff(np.arange(120.0), one[::-1]) == 118.5
+
+
 def test_classifier_on_awkward_rows(spark, odd, none, pairs):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (15, 0, None), (15, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = importance.resample(odd, labels)
