@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -77,6 +78,8 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
 ]
 KNOWN_SCHEMA = "license_id string, text string"
+#: Folder of further known texts and notices; add files there or name other folders.
+STORED = Path(__file__).parent / "known_licenses"
 
 #: A notice line: comment marks, then the word or sign, then a sign, a year or nothing more than a holder's mark.
 NOTICE = re.compile(r"[\s#*/;%-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|:|[0-9]{4}).*|all rights reserved\.?\s*)")
@@ -123,8 +126,17 @@ def hashed(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     return with_text(df, text, keep).mapInArrow(run, schema)
 
 
-def builtin_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, KNOWN_SCHEMA)
+def stored_licenses(folder: str | Path = STORED) -> list[tuple[str, str]]:
+    """(license_id, text) of a folder: each ``<id>.txt`` is an entire text, each line of ``notices.tsv`` an id, a tab and a notice."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.txt"))]
+    notices = Path(folder) / "notices.tsv"
+    lines = notices.read_text(encoding="utf-8").splitlines() if notices.exists() else []
+    return texts + [tuple(x.split("\t", 1)) for x in lines if "\t" in x]
+
+
+def builtin_licenses(spark: SparkSession, *folders: str | Path) -> DataFrame:
+    """The known licences, with those of the stored folder and of the user's own ``folders``."""
+    return spark.createDataFrame([x for f in (STORED, *folders) for x in stored_licenses(f)] + KNOWN, KNOWN_SCHEMA)
 
 
 def known_digests(known: DataFrame) -> DataFrame:

@@ -345,6 +345,18 @@ def test_licenses(spark, sf_dir, odd, none, pairs, docs):
     assert rows(queries.op5_licenses(spark, sf_dir), "doc_id", "n_license_lines", "line_licenses") == sorted(want, key=repr)
 
 
+def test_stored_licenses(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do what you like\nwith this.")
+    known = licenses.builtin_licenses(spark, tmp_path)
+    texts = [(name, text) for name, text in licenses.stored_licenses() if "\n" in text]
+    assert len(texts) == 15
+    asked = [*texts, ("Own-1.0", "DO what you like with this"), (None, "Nothing of the kind.")]
+    asked += [("GPL-3.0", "GNU General Public License v3.0"), ("BSD-3-Clause", "// SPDX-License-Identifier: BSD-3-Clause")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(asked)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(df, known).collect()}
+    assert [got[i] for i in range(len(asked))] == [name for name, _ in asked]
+
+
 def _placed(df, spark, shards):
     one = sharding.first_map(spark, shards)
     return sharding.place(sharding.assign(df), one, sharding.add_shard(one, shards))
