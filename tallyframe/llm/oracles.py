@@ -35,6 +35,21 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
   coalesce(n_hit, 0) > 0 as contaminated from d left join covered using (rid) left join items using (rid)"""
 
 
+_TERMS = rf"""regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SEARCH = rf"""
+with d as (select row_number() over () as rid, doc_id, {_TERMS} as t from documents),
+n as (select count(*)::bigint as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0),
+tf as (select rid, term, count(*) as tf from (select rid, unnest(t) as term from d) x group by rid, term),
+df as (select term, count(*) as df from tf group by term),
+q as (select row_number() over () as qid, item_id, text from (select distinct item_id, text from benchmark) x),
+w as (select qid, term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from (select distinct qid, term from (select qid, unnest({_TERMS}) as term from q) x) y join df using (term), n),
+s as (select qid, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(t) * n_docs) // n_terms))))::bigint as score
+  from w join tf using (term) join d using (rid), n group by qid, rid),
+r as (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id nulls last)::int as rank from s join d using (rid) where score > 0)
+select item_id, rank, doc_id, score from r join q using (qid) where rank <= 10"""
+
+
 def _rules() -> str:
     grid = ", ".join(f"('{r}', {c!r}::double)" for r, cuts in rules.GRID.items() for c in cuts)
     values = " ".join(f"when '{r}' then {r}" for r in rules.GRID)
@@ -69,4 +84,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f left join broken using (rid)"""
 
 
-ORACLE = {"op4_quality_rules": _rules(), "op8_substrings": SUBSTRINGS, "op9_decontamination": DECONTAMINATION}
+ORACLE = {"op4_quality_rules": _rules(), "op8_substrings": SUBSTRINGS, "op9_decontamination": DECONTAMINATION, "op12_ranked_search": SEARCH}

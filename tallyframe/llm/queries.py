@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, oracles, packing, rules, sharding, suffixes
+from tallyframe.llm import bpe, decontam, fmindex, importance, licenses, neardup, oracles, packing, rules, runs, search, sharding, suffixes, trees
 from tallyframe.plans.durable import durable, scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,6 +60,18 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), loop_ids="doc_id")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -77,6 +89,9 @@ QUERIES = {
         op8_substrings,
         op9_decontamination,
         op10_suffix_array,
+        op11_periodic_runs,
+        op12_ranked_search,
+        op13_lm_scores,
         pipeline,
     )
 }
