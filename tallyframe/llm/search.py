@@ -3,7 +3,7 @@
 Method: every document is a column of a block of bit slices, a Bloom signature of its terms. A term is entered
 once per level of occurrences it reaches (1, 2, 3, 5, 9), so the slices of a term, and-ed, name all
 documents that hold it and some that do not, and how often at most. Weighted sums over a query's slices are upper
-bounds of the scores. The documents with the highest bounds are scored exactly; the tenth best of these scores is
+bounds of the scores. The documents with the highest bounds are scored exactly; the tenth best of their scores is
 a floor, and every document whose bound reaches its query's floor is scored exactly from its text. What is left out
 has provably too low a score, so the ranking is exact.
 
@@ -13,6 +13,7 @@ meet them in groups of bounded size. Terms are counted over the whole corpus.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,14 +29,14 @@ from pyspark.sql.window import Window as W
 from tallyframe.llm.words import mix
 from tallyframe.plans.durable import durable
 
-#: Results per query.
-BEST = 10
+#: Results per query, and documents with the highest bounds that are scored to find a query's floor.
+BEST, FIRST = 10, 100
 #: A term is entered at each of these numbers of occurrences that it reaches ...
 LEVELS = (1, 2, 3, 5, 9)
 #: ... so a document that misses the next level has at most this many; None: any number.
 AT_MOST = (1, 2, 4, 8, None)
 #: Slices per entry and bits set for it; the number of slices is a power of two within these bounds.
-SLICES_PER_ENTRY, PROBES, LEAST_SLICES, MOST_SLICES = 8, 3, 64, 1 << 21
+SLICES_PER_ENTRY, PROBES, LEAST_SLICES, MOST_SLICES = 16, 5, 64, 1 << 21
 #: Documents of a block, and bits of a block while it is made.
 BLOCK_DOCS, BLOCK_BITS = 2048, 1 << 24
 #: Bytes of text indexed at once, and bytes of a text split into terms at once.
@@ -76,8 +77,12 @@ def counted(raw: bytes) -> Counter[bytes]:
 
 def slices(hashes: np.ndarray, level: int, width: int) -> list[np.ndarray]:
     """The slices of each term hash at a level, for blocks of ``width`` slices (a power of two)."""
-    h = mix(hashes.astype(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return [((h >> np.uint64(21 * j)) & np.uint64(width - 1)).astype(np.int64) for j in range(PROBES)]
+    out = []
+    for probe in range(PROBES):
+        if probe % 3 == 0:  # three slice numbers to a hash
+            h = mix(hashes.astype(np.uint64) + np.uint64((level * PROBES + probe) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        out.append(((h >> np.uint64(21 * (probe % 3))) & np.uint64(width - 1)).astype(np.int64))
+    return out
 
 
 def term_hash(term: bytes) -> int:
@@ -106,13 +111,16 @@ class _Step:
         self.times.append(np.fromiter(c.values(), np.int64, len(c)).clip(max=LEVELS[-1]).astype(np.int8))
         self.docs.append((doc_id, k1, k2, c.total()))
 
-    def rows(self) -> Iterator[dict]:
+    def counts(self) -> tuple[list[bytes], np.ndarray]:
+        """The terms and how many documents hold them."""
+        return list(self.known), np.bincount(np.concatenate(self.term), minlength=len(self.known)) if self.term else np.zeros(0, np.int64)
+
+    def blocks(self) -> Iterator[dict]:
         if not self.docs:
             return
         hashes = np.array([term_hash(t) for t in self.known], np.int64)
         sizes = np.array([len(t) for t in self.term])
         doc, term, times = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(self.term), np.concatenate(self.times)
-        yield from ({"term": t.decode(), "n": n} for t, n in zip(self.known, np.bincount(term, minlength=len(hashes)).tolist()))
         entries = sum(np.bincount(doc[times >= level], minlength=len(sizes)) for level in LEVELS)
         width = (1 << np.ceil(np.log2(np.maximum(entries * SLICES_PER_ENTRY, 1))).astype(np.int64)).clip(LEAST_SLICES, MOST_SLICES)
         firsts = np.concatenate([[0], np.cumsum(sizes)])
@@ -156,28 +164,23 @@ def build_index(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> In
     schema = T._parse_datatype_string(_INDEX)
     arrow = to_arrow_schema(schema)
 
-    def batch(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(rows, schema=arrow)
+    def told(step: _Step) -> Iterator[pa.RecordBatch]:
+        for block in step.blocks():
+            yield pa.RecordBatch.from_pylist([block], schema=arrow)
+        terms, n = step.counts()
+        rest = [pa.nulls(len(n), t) for t in arrow.types[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()).cast(arrow.types[0]), pa.array(n, pa.int64()), *rest], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = _Step()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            counts: list[dict] = []
-            for row in step.rows():
-                if "term" in row:
-                    counts.append(row)
-                else:
-                    yield batch([row])
-            yield batch(counts)
-
         for b in batches:
+            ids, k1, k2 = (b.column(i).to_pylist() for i in range(3))
             for i in range(b.num_rows):
-                step.add(*[b.column(j)[i].as_py() for j in range(3)], b.column(3)[i].as_py() or b"")
+                step.add(ids[i], k1[i], k2[i], b.column(3)[i].as_py() or b"")
                 if step.bytes >= STEP_BYTES:
-                    yield from flush()
+                    yield from told(step)
                     step = _Step()
-        yield from flush()
+        yield from told(step)
 
     made = durable(source.mapInArrow(run, schema), "signatures")
     blocks = made.filter("term is null").drop("term", "n")
@@ -214,8 +217,8 @@ def bounds(block: dict, hashes: np.ndarray, index_size: tuple[int, int]) -> Iter
     m = 10 + 90 * np.frombuffer(block["lengths"], "<i8") * index_size[0] // index_size[1]
     rows = []
     for number in range(len(LEVELS)):
-        a, b, c = (bits[s] for s in slices(hashes, number, width))
-        rows.append(a & b & c & rows[-1] if rows else a & b & c)  # a level counts only where the one below is reached
+        both = functools.reduce(np.bitwise_and, (bits[s] for s in slices(hashes, number, width)))
+        rows.append(both & rows[-1] if rows else both)  # a level counts only where the one below is reached
     step = max(8, CELLS // max(len(hashes), 1) // 8 * 8)
     for first in range(0, docs, step):
         end = min(first + step, docs)
@@ -234,7 +237,7 @@ def _upper(bound: np.ndarray) -> np.ndarray:
 def meet(index: Index, terms: DataFrame, floors: DataFrame | None) -> DataFrame:
     """(query, doc_id, k1, k2, bound) of the documents a query's bounds do not rule out.
 
-    Without floors: per group of blocks the ``BEST`` highest bounds of each query. With floors (query, floor): every document
+    Without floors: per group of blocks the ``FIRST`` highest bounds of each query. With floors (query, floor): every document
     whose bound reaches its query's; of equal texts in a block the ``BEST`` least ids, as no other can be among
     the best. Groups hold some ``GROUP_BYTES`` of blocks and ``GROUP_TERMS`` query terms, so queries are sent once per
     group of blocks and blocks once per group of queries.
@@ -269,7 +272,7 @@ def meet(index: Index, terms: DataFrame, floors: DataFrame | None) -> DataFrame:
                     if all_of:
                         at = least_ids(np.flatnonzero(bound >= max(floor, 2)), here)
                     else:
-                        at = np.argpartition(-bound, min(BEST, len(bound)) - 1)[:BEST]
+                        at = np.argpartition(-bound, min(FIRST, len(bound)) - 1)[:FIRST]
                         at = at[bound[at] >= 2]
                     if len(at):
                         out.append(np.rec.fromarrays([*[x[at] for x in here], bound[at]]))
@@ -287,7 +290,7 @@ def meet(index: Index, terms: DataFrame, floors: DataFrame | None) -> DataFrame:
 
 def highest(parts: list[np.ndarray]) -> np.ndarray:
     rec = np.concatenate(parts)
-    return rec[np.argsort(-rec["f4"], kind="stable")[:BEST]]
+    return rec[np.argsort(-rec["f4"], kind="stable")[:FIRST]]
 
 
 def least_ids(at: np.ndarray, here: list[np.ndarray]) -> np.ndarray:
@@ -330,10 +333,11 @@ def best_documents(df: DataFrame, items: DataFrame, text: str = "text", doc_id:
         return queries.select("item_id", F.lit(1).alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("score")).limit(0)
     terms = durable(weighted(index, queries), "query-terms")
     ordered = W.partitionBy("query").orderBy(F.desc("bound"), "k1", "k2")
-    first = durable(meet(index, terms, None).withColumn("r", F.row_number().over(ordered)).filter(F.col("r") <= BEST).drop("r"), "first")
-    scored = first.join(exact_scores(index, first, terms, df, text), ["query", "k1", "k2"], "left")
-    floor = F.when(F.count(F.lit(1)) == BEST, F.coalesce(F.min(F.coalesce("score", F.lit(0))), F.lit(0))).otherwise(0)
-    floors = durable(scored.groupBy("query").agg(floor.cast("long").alias("floor")), "floors")
+    first = durable(meet(index, terms, None).withColumn("r", F.row_number().over(ordered)).filter(F.col("r") <= FIRST).drop("r"), "first")
+    scored = first.join(exact_scores(index, first, terms, df, text), ["query", "k1", "k2"]).filter("score > 0")
+    tenth = scored.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") == BEST)
+    floors = terms.select("query").distinct().join(tenth.select("query", "score"), "query", "left")
+    floors = durable(floors.select("query", F.coalesce("score", F.lit(0)).alias("floor")), "floors")
     found = durable(meet(index, terms, floors), "found")
     scores = exact_scores(index, found, terms, df, text).filter("score > 0")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))

@@ -70,7 +70,7 @@ def made():
 def test_made_rows(spark, monkeypatch, small):
     """Ties, copies beyond ten, repeated rows, nulls, very long texts; also with tiny blocks, groups and steps."""
     if small:
-        for name, value in {"BLOCK_DOCS": 16, "STEP_BYTES": 2000, "PIECE_BYTES": 50, "GROUP_BYTES": 3000, "GROUP_TERMS": 8, "CELLS": 64, "LEAST_SLICES": 8, "SLICES_PER_ENTRY": 1}.items():
+        for name, value in {"BLOCK_DOCS": 16, "FIRST": 12, "STEP_BYTES": 2000, "PIECE_BYTES": 50, "GROUP_BYTES": 3000, "GROUP_TERMS": 8, "CELLS": 64, "LEAST_SLICES": 8, "SLICES_PER_ENTRY": 1}.items():
             monkeypatch.setattr(search, name, value)
     docs, items = made()
     df = spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in docs], "doc_id long, text string, rank int, term string, query int, k1 int").repartition(5)
@@ -101,9 +101,7 @@ def test_bounds_are_never_below_the_score(spark):
         if terms(t):
             by_id.setdefault(d or 0, []).append(Counter(terms(t)))
     seen = 0
-    for block in step.rows():
-        if "term" in block:
-            continue
+    for block in step.blocks():
         ids = np.frombuffer(block["ids"], "<i8")
         for part, unit in search.bounds(block, hashes, size):
             for column, d in enumerate(ids[part].tolist()):
