@@ -38,13 +38,13 @@ AT_MOST = (1, 2, 4, 8, None)
 #: Slices per entry and bits set for it; the number of slices is a power of two within these bounds.
 SLICES_PER_ENTRY, PROBES, LEAST_SLICES, MOST_SLICES = 16, 5, 64, 1 << 21
 #: Documents of a block, and bits of a block while it is made.
-BLOCK_DOCS, BLOCK_BITS = 2048, 1 << 24
+BLOCK_DOCS, BLOCK_BITS = 2048, 1 << 23
 #: Bytes of text indexed at once, and bytes of a text split into terms at once.
-STEP_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+STEP_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Bytes of blocks that meet queries in one group, and query terms of one group.
-GROUP_BYTES, GROUP_TERMS = 16 << 20, 1 << 15
+GROUP_BYTES, GROUP_TERMS = 8 << 20, 1 << 15
 #: Term presences looked at together.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _KEEP = {*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -243,7 +243,7 @@ def meet(index: Index, terms: DataFrame, floors: DataFrame | None) -> DataFrame:
     group of blocks and blocks once per group of queries.
     """
     size = index.blocks.agg(F.sum(F.length("bits") + 32 * F.col("docs")).alias("n")).first().n or 0
-    deals = max(1, -(-int(size) // GROUP_BYTES), int(index.blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    deals = max(1, -(-int(size) // GROUP_BYTES))
     packs = max(1, -(-terms.count() // GROUP_TERMS))
     spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = index.blocks.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(deals)).cast("int")).select("*", spread(packs, "pack"))
@@ -305,12 +305,15 @@ def least_ids(at: np.ndarray, here: list[np.ndarray]) -> np.ndarray:
     return at[order[np.arange(len(order)) - start < BEST]]
 
 
-def exact_scores(index: Index, found: DataFrame, terms: DataFrame, df: DataFrame, text: str) -> DataFrame:
+def exact_scores(index: Index, found: DataFrame, terms: DataFrame, df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(query, k1, k2, score) of every found (query, text) from the text itself, each text scored once."""
     pairs = durable(found.select("query", "k1", "k2").distinct(), "pairs")
-    wanted = durable(pairs.select("k1", "k2").distinct(), "wanted")
+    # One row of each text is looked up, by its least found id, so a large group of copies stays spread.
+    no_id = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    wanted = durable(found.groupBy("k1", "k2").agg(F.min(no_id).alias("d")), "wanted")
     k1, k2 = text_key(F.col(text))
-    texts = df.select(k1.alias("k1"), k2.alias("k2"), F.col(text).cast("string").alias("text")).join(wanted, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    rows = df.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(text).cast("string").alias("text"))
+    texts = rows.join(wanted, ["k1", "k2", "d"], "left_semi").dropDuplicates(["k1", "k2"])
     split = texts.select("k1", "k2", terms_of(F.col("text")).alias("t"))
     m = F.expr(f"10 + (90 * cast(size(t) as bigint) * {index.n_docs}) div {index.n_terms}")
     held = split.select("k1", "k2", m.alias("m"), F.explode("t").alias("term")).groupBy("k1", "k2", "m", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -334,12 +337,12 @@ def best_documents(df: DataFrame, items: DataFrame, text: str = "text", doc_id:
     terms = durable(weighted(index, queries), "query-terms")
     ordered = W.partitionBy("query").orderBy(F.desc("bound"), "k1", "k2")
     first = durable(meet(index, terms, None).withColumn("r", F.row_number().over(ordered)).filter(F.col("r") <= FIRST).drop("r"), "first")
-    scored = first.join(exact_scores(index, first, terms, df, text), ["query", "k1", "k2"]).filter("score > 0")
+    scored = first.join(exact_scores(index, first, terms, df, text, doc_id), ["query", "k1", "k2"]).filter("score > 0")
     tenth = scored.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("r") == BEST)
     floors = terms.select("query").distinct().join(tenth.select("query", "score"), "query", "left")
     floors = durable(floors.select("query", F.coalesce("score", F.lit(0)).alias("floor")), "floors")
     found = durable(meet(index, terms, floors), "found")
-    scores = exact_scores(index, found, terms, df, text).filter("score > 0")
+    scores = exact_scores(index, found, terms, df, text, doc_id).filter("score > 0")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     best = found.join(scores, ["query", "k1", "k2"]).withColumn("rank", rank).filter(F.col("rank") <= BEST)
     return best.join(queries.select("query", "item_id"), "query").select("item_id", "rank", "doc_id", "score")
