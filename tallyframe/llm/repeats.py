@@ -240,20 +240,26 @@ def distinct(s: Segments, ids: np.ndarray, parts: int) -> Distinct:
     return Distinct(which, earliest, part[earliest])
 
 
-def store(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """The rows dealt to slots in a table bucketed by slot, in the shared folder, and the number of slots."""
+def store(df: DataFrame, text: str, doc_id: str, keep: tuple[str, ...] = (), slot_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """The rows dealt to slots in a table bucketed by slot, in the shared folder, and the number of slots.
+
+    Slots hold about ``SLOT_BYTES``, and there are at least as many as shuffle partitions unless ``slot_bytes`` is given. The catalog
+    forgets the table at once: the returned rows keep its files and buckets, other sessions never see its name.
+    """
     spark = df.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     total = df.agg(F.sum(F.octet_length(t)).alias("n")).first()[0] or 0
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = max(-(-total // SLOT_BYTES), floor, 1)
+    floor = 1 if slot_bytes else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(-(-total // (slot_bytes or SLOT_BYTES)), floor, 1)
     buckets = min(slots, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     rid = F.monotonically_increasing_id()
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text"), rid.alias("rid"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int"))
     name = f"slots_{uuid.uuid4().hex}"
     rows.repartition(buckets, "slot").write.options(compression="zstd", path=scratch(spark, "slots")).bucketBy(buckets, "slot").saveAsTable(name)
-    return spark.table(name), slots
+    stored = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external one: its files stay
+    return stored, slots
 
 
 def copies(stored: DataFrame) -> DataFrame:

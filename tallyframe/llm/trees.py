@@ -31,8 +31,8 @@ from tallyframe.plans.durable import durable
 
 #: Bytes of context, and how many of them (the nearest) choose a bucket.
 DEPTH, TOP = 5, 3
-#: Bytes of text worked on at once, byte sequences of a bucket.
-STEP_BYTES, BUCKET_ROWS = 1 << 20, 1 << 19
+#: Bytes of text of a slot (the larger, the fewer sequences are sent), and worked on at once; byte sequences of a bucket.
+SLOT_BYTES, STEP_BYTES, BUCKET_ROWS = 24 << 20, 1 << 20, 1 << 19
 #: Rows whose id has this checksum remainder are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Every word is followed by a blank and the text by this byte, which no word holds.
@@ -317,7 +317,7 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     -log2(10) * score over the coded bytes. A null text is empty: one end. Repeated rows count and are scored each;
     with no training rows every decision is one half; an empty table gives an empty one; other columns are not read.
     """
-    stored, _ = store(df, text, doc_id)
+    stored, _ = store(df, text, doc_id, slot_bytes=SLOT_BYTES)
     spoken = durable(said(stored), "said")
     grams = durable(spoken.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "sequences")
     words = durable(spoken.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")

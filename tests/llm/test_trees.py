@@ -92,7 +92,7 @@ def made():
 @pytest.mark.parametrize("small", [False, True])
 def test_scores_equal_the_recursion(spark, monkeypatch, small):
     if small:
-        for name, value in {"STEP_BYTES": 7, "BUCKET_ROWS": 40}.items():
+        for name, value in {"STEP_BYTES": 7, "BUCKET_ROWS": 40, "SLOT_BYTES": 500}.items():
             monkeypatch.setattr(trees, name, value)
     rows = made()
     df = spark.createDataFrame([(d, t, 1, "w", b"k", 2.0) for d, t in rows], "doc_id long, text string, slot int, word string, key binary, score double").repartition(3)
