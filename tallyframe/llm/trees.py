@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -32,7 +33,7 @@ from tallyframe.plans.durable import durable
 #: Bytes of context, and how many of them (the nearest) choose a bucket.
 DEPTH, TOP = 5, 3
 #: Bytes of text of a slot (the larger, the fewer sequences are sent), and worked on at once; byte sequences of a bucket.
-SLOT_BYTES, STEP_BYTES, BUCKET_ROWS = 24 << 20, 1 << 20, 1 << 19
+SLOT_BYTES, STEP_BYTES, BUCKET_ROWS = 12 << 20, 1 << 20, 1 << 19
 #: Rows whose id has this checksum remainder are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Every word is followed by a blank and the text by this byte, which no word holds.
@@ -127,6 +128,16 @@ def held(texts: list[bytes], trained: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def word_counts(texts: list[bytes], trained: np.ndarray) -> dict[bytes, int]:
+    """The texts' words, and the empty word for their ends, with their occurrences in training texts."""
+    words: dict[bytes, int] = {b"": int(trained.sum())}
+    for raw, n in zip(texts, trained.tolist()):
+        for some in words_of(raw):
+            for w in some:
+                words[w] = words.get(w, 0) + n
+    return words
+
+
 def said(stored: DataFrame) -> DataFrame:
     """(slot, key, word, n): distinct byte sequences and words of every slot and their occurrences in training rows.
 
@@ -138,12 +149,7 @@ def said(stored: DataFrame) -> DataFrame:
         texts = [x.encode() for x in t.column("text").to_pylist()]
         trained = np.array([not held_out(i) for i in t.column("doc_id").to_pylist()], np.int64)
         keys, counts = held(texts, trained)
-        words: dict[bytes, int] = {}
-        for raw, n in zip(texts, trained.tolist()):
-            for some in words_of(raw):
-                for w in some:
-                    words[w] = words.get(w, 0) + n
-            words[b""] = words.get(b"", 0) + n
+        words = word_counts(texts, trained)
         slot = key[0].as_py()
         n_keys, n_words = len(keys), len(words)
         return pa.table(
@@ -325,31 +331,35 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     n_train, below = int(total.n or 0), float((total.n or 0) + 0.5 * (total.v + 1))
     learned = durable(log_probabilities(grams), "learned")
     of_keys = spoken.filter("key is not null").select("slot", "key").join(learned, "key").select("slot", "key", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "lp")
-    of_words = spoken.filter("word is not null").select("slot", "word").join(words, "word").select("slot", F.lit(None).cast("long").alias("key"), "word", "n", F.lit(0.0).alias("lp"))
+    # A slot that holds all of a word's training occurrences has counted them itself.
+    shared = spoken.filter("word is not null").select("slot", "word", F.col("n").alias("own")).join(words, "word").filter("n > own")
+    of_words = shared.select("slot", F.lit(None).cast("long").alias("key"), "word", "n", F.lit(0.0).alias("lp"))
     arrow = to_arrow_schema(T._parse_datatype_string(_SCORED))
+    unseen = math.log10(0.5 / below)
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         ids, texts = docs.column("doc_id"), [x.encode() for x in docs.column("text").to_pylist()]
-        is_word = told.column("word").is_valid().to_numpy()
-        keys, lp = told.column("key").filter(pa.array(~is_word)).to_numpy(), told.column("lp").filter(pa.array(~is_word)).to_numpy()
+        out = [held_out(i) for i in ids.to_pylist()]
+        is_word = told.column("word").is_valid()
+        others, told = told.filter(is_word).select(["word", "n"]), told.filter(pc.invert(is_word)).select(["key", "lp"])
+        keys, lp = _numpy(told, "key", "lp")
         order = np.argsort(keys)
         keys, lp = keys[order], lp[order]
-        counts = told.filter(pa.array(is_word))
-        known = dict(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist()))
         scores = np.zeros(len(texts))
         for key, row in steps(texts):
-            distinct, which = np.unique(key, return_inverse=True)
-            scores += np.bincount(row, lp[np.searchsorted(keys, distinct)][which], len(texts))
+            order = np.argsort(key)  # looked up in order, which is faster
+            scores += np.bincount(row[order], lp[np.searchsorted(keys, key[order])], len(texts))
+        logs = word_counts(texts, 1 - np.array(out, np.int64))
+        logs.update(zip(others.column("word").to_pylist(), others.column("n").to_pylist()))
+        for w, n in logs.items():
+            logs[w] = math.log10((n + 0.5) / below)
         tokens, seen, base = [], [], []
-        logs = {w: math.log10((n + 0.5) / below) for w, n in known.items()}
         for raw in texts:
-            t, k, b = 1, int(known[b""] > 0), logs[b""]
-            for some in words_of(raw):
-                t, k, b = t + len(some), k + sum(known[w] > 0 for w in some), b + math.fsum(logs[w] for w in some)
-            tokens.append(t)
-            seen.append(k)
-            base.append(b)
-        columns = [ids, pa.array([held_out(i) for i in ids.to_pylist()], pa.bool_()), tokens, seen, np.full(len(texts), n_train), base, scores]
+            each = [list(map(logs.__getitem__, some)) for some in words_of(raw)] + [[logs[b""]]]
+            tokens.append(sum(map(len, each)))
+            seen.append(tokens[-1] - sum(x.count(unseen) for x in each))
+            base.append(math.fsum(map(math.fsum, each)))
+        columns = [ids, pa.array(out, pa.bool_()), tokens, seen, np.full(len(texts), n_train), base, scores]
         return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
     return stored.select("slot", "doc_id", "text").groupBy("slot").cogroup(of_keys.unionByName(of_words).groupBy("slot")).applyInArrow(run, _SCORED)
