@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -33,7 +32,7 @@ from tallyframe.plans.durable import durable
 #: Bytes of context, and how many of them (the nearest) choose a bucket.
 DEPTH, TOP = 5, 3
 #: Bytes of text of a slot (the larger, the fewer sequences are sent), and worked on at once; byte sequences of a bucket.
-SLOT_BYTES, STEP_BYTES, BUCKET_ROWS = 12 << 20, 1 << 20, 1 << 19
+SLOT_BYTES, STEP_BYTES, BUCKET_ROWS = 16 << 20, 1 << 20, 1 << 19
 #: Rows whose id has this checksum remainder are held out.
 FOLDS, HELD_OUT = 5, 1
 #: Every word is followed by a blank and the text by this byte, which no word holds.
@@ -42,7 +41,6 @@ END = b"\n"
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _SAID = "slot int, key long, word binary, n long"
 _NODES = "ctx long, prefix int, a0 long, a1 long, lw double"
-_TOLD = "slot int, key long, word binary, n long, lp double"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -138,25 +136,29 @@ def word_counts(texts: list[bytes], trained: np.ndarray) -> dict[bytes, int]:
     return words
 
 
+def slot_rows(t: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
+    """(rows, texts, training or not) of a slot, always in one order, so its words are numbered alike each time."""
+    t = t.sort_by("rid")
+    return t, [x.encode() for x in t.column("text").to_pylist()], np.array([not held_out(i) for i in t.column("doc_id").to_pylist()], np.int64)
+
+
 def said(stored: DataFrame) -> DataFrame:
     """(slot, key, word, n): distinct byte sequences and words of every slot and their occurrences in training rows.
 
-    A row has either key or word; the empty word is the end of a text.
+    Words (the empty one is the end of a text) come with keys -1, -2, .. in the slot's own order, sequences have no word.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(_SAID))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        texts = [x.encode() for x in t.column("text").to_pylist()]
-        trained = np.array([not held_out(i) for i in t.column("doc_id").to_pylist()], np.int64)
+        _, texts, trained = slot_rows(t)
         keys, counts = held(texts, trained)
         words = word_counts(texts, trained)
-        slot = key[0].as_py()
-        n_keys, n_words = len(keys), len(words)
+        n = len(keys) + len(words)
         return pa.table(
-            [pa.array(np.full(n_keys + n_words, slot, np.int32)), pa.array(np.append(keys, np.zeros(n_words, np.int64)), mask=np.arange(n_keys + n_words) >= n_keys),
-             pa.array([None] * n_keys + list(words), pa.binary()), pa.array(np.append(counts, np.array(list(words.values()), np.int64)))], schema=arrow)
+            [pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(np.append(keys, -1 - np.arange(len(words)))),
+             pa.array([None] * len(keys) + list(words), pa.binary()), pa.array(np.append(counts, np.array(list(words.values()), np.int64)))], schema=arrow)
 
-    return stored.select("slot", "doc_id", "text").groupBy("slot").applyInArrow(run, _SAID)
+    return stored.select("slot", "rid", "doc_id", "text").groupBy("slot").applyInArrow(run, _SAID)
 
 
 _LN2 = math.log(2)
@@ -325,41 +327,42 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     """
     stored, _ = store(df, text, doc_id, slot_bytes=SLOT_BYTES)
     spoken = durable(said(stored), "said")
-    grams = durable(spoken.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "sequences")
-    words = durable(spoken.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    grams = durable(spoken.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "sequences")
+    words = durable(spoken.filter("key < 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, below = int(total.n or 0), float((total.n or 0) + 0.5 * (total.v + 1))
     learned = durable(log_probabilities(grams), "learned")
-    of_keys = spoken.filter("key is not null").select("slot", "key").join(learned, "key").select("slot", "key", F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "lp")
+    of_keys = spoken.filter("key >= 0").select("slot", "key").join(learned, "key").select("slot", "key", F.col("lp").alias("value"))
     # A slot that holds all of a word's training occurrences has counted them itself.
-    shared = spoken.filter("word is not null").select("slot", "word", F.col("n").alias("own")).join(words, "word").filter("n > own")
-    of_words = shared.select("slot", F.lit(None).cast("long").alias("key"), "word", "n", F.lit(0.0).alias("lp"))
+    shared = spoken.filter("key < 0").select("slot", "key", "word", F.col("n").alias("own")).join(words, "word").filter("n > own")
+    told = of_keys.unionByName(shared.select("slot", "key", F.col("n").cast("double").alias("value")))
     arrow = to_arrow_schema(T._parse_datatype_string(_SCORED))
-    unseen = math.log10(0.5 / below)
+    unseen = float(np.log10(0.5 / below))
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = docs.column("doc_id"), [x.encode() for x in docs.column("text").to_pylist()]
-        out = [held_out(i) for i in ids.to_pylist()]
-        is_word = told.column("word").is_valid()
-        others, told = told.filter(is_word).select(["word", "n"]), told.filter(pc.invert(is_word)).select(["key", "lp"])
-        keys, lp = _numpy(told, "key", "lp")
+        docs, texts, trained = slot_rows(docs)
+        keys, values = _numpy(told, "key", "value")
+        del told
         order = np.argsort(keys)
-        keys, lp = keys[order], lp[order]
+        keys, values = keys[order], values[order]
+        words = word_counts(texts, trained)
+        counts = np.array(list(words.values()), float)
+        n_words = int(np.searchsorted(keys, 0))
+        counts[-1 - keys[:n_words]] = values[:n_words]
+        logs = dict(zip(words, np.log10((counts + 0.5) / below).tolist()))
+        del words, counts
+        keys, lp = keys[n_words:], values[n_words:]
         scores = np.zeros(len(texts))
         for key, row in steps(texts):
             order = np.argsort(key)  # looked up in order, which is faster
             scores += np.bincount(row[order], lp[np.searchsorted(keys, key[order])], len(texts))
-        logs = word_counts(texts, 1 - np.array(out, np.int64))
-        logs.update(zip(others.column("word").to_pylist(), others.column("n").to_pylist()))
-        for w, n in logs.items():
-            logs[w] = math.log10((n + 0.5) / below)
         tokens, seen, base = [], [], []
         for raw in texts:
             each = [list(map(logs.__getitem__, some)) for some in words_of(raw)] + [[logs[b""]]]
             tokens.append(sum(map(len, each)))
             seen.append(tokens[-1] - sum(x.count(unseen) for x in each))
             base.append(math.fsum(map(math.fsum, each)))
-        columns = [ids, pa.array(out, pa.bool_()), tokens, seen, np.full(len(texts), n_train), base, scores]
+        columns = [docs.column("doc_id"), pa.array(trained == 0), tokens, seen, np.full(len(texts), n_train), base, scores]
         return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
-    return stored.select("slot", "doc_id", "text").groupBy("slot").cogroup(of_keys.unionByName(of_words).groupBy("slot")).applyInArrow(run, _SCORED)
+    return stored.select("slot", "rid", "doc_id", "text").groupBy("slot").cogroup(told.groupBy("slot")).applyInArrow(run, _SCORED)
