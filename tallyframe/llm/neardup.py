@@ -30,7 +30,7 @@ STEP = 1 << 19
 #: Star rounds with new leaders before the members of keys that still hold several classes are compared in blocks.
 ROUNDS = 2
 #: Members of a block, and bytes of their cells; two blocks are compared in one task.
-BLOCK, BLOCK_BYTES = 2048, 4 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Cells that a product of two blocks takes at once.
 _WIDE = 2048
 
@@ -163,26 +163,38 @@ def similar(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def spanning_links(nids: np.ndarray, roots: np.ndarray, lists: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links that connect what exact similarity connects among these members, at most one per class joined.
+def spanning_links(nids: np.ndarray, roots: np.ndarray, lists: list[np.ndarray], blocks: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect what exact similarity connects between two blocks of members, or inside one.
 
-    Shared cells are counted for all pairs by products of 0/1 matrices, some thousand cells at a time;
-    cells that only one member has cannot be shared and are left out.
+    Shared cells are counted for all pairs of the two blocks by products of 0/1 matrices, some thousand cells at a
+    time; cells that only one member has cannot be shared and are left out. At most one link per class joined.
     """
     size = np.array([len(x) for x in lists])
-    names, cell, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    _, cell, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     member = np.repeat(np.arange(len(lists)), size)
     shared = count[cell] > 1
     number = np.cumsum(count > 1) - 1
     cell, member = number[cell[shared]], member[shared]
     order = np.argsort(cell, kind="stable")
     cell, member = cell[order], member[order]
-    both = np.zeros((len(lists), len(lists)), np.float32)
+    upper = np.flatnonzero(blocks == blocks.max())
+    lower = np.flatnonzero(blocks == blocks.min())  # the same members where there is one block
+    row = np.zeros(len(lists), np.int64)
+    row[lower] = np.arange(len(lower))
+    if len(upper) < len(lists):
+        row[upper] = np.arange(len(upper))
+    is_upper = blocks == blocks.max()
+    is_lower = blocks == blocks.min()
+    both = np.zeros((len(upper), len(lower)), np.float32)
     for first in range(0, int((count > 1).sum()), _WIDE):
         a, b = np.searchsorted(cell, [first, first + _WIDE])
-        have = np.zeros((len(lists), _WIDE), np.float32)
-        have[member[a:b], cell[a:b] - first] = 1
-        both += have @ have.T
+        sides = []
+        for own, n in ((is_upper, len(upper)), (is_lower, len(lower))):
+            have = np.zeros((n, _WIDE), np.float32)
+            at = own[member[a:b]]
+            have[row[member[a:b][at]], cell[a:b][at] - first] = 1
+            sides.append(have)
+        both += sides[0] @ sides[1].T
     top = {r: r for r in roots.tolist()}
 
     def find(r: int) -> int:
@@ -192,13 +204,13 @@ def spanning_links(nids: np.ndarray, roots: np.ndarray, lists: list[np.ndarray],
         return r
 
     out = []
-    for i in range(1, len(lists)):
-        near = both[i, :i] >= (threshold - 1e-12) * (size[i] + size[:i] - both[i, :i])
-        for j in np.flatnonzero(near & (roots[:i] != roots[i])):
-            x, y = find(int(roots[i])), find(int(roots[j]))
+    for i, u in enumerate(upper):
+        near = both[i] >= (threshold - 1e-12) * (size[u] + size[lower] - both[i])
+        for j in lower[near & (roots[lower] != roots[u])]:
+            x, y = find(int(roots[u])), find(int(roots[j]))
             if x != y:
                 top[x] = y
-                out.append((int(nids[i]), int(nids[j])))
+                out.append((int(nids[u]), int(nids[j])))
     return out
 
 
@@ -215,26 +227,26 @@ def block_links(open_: DataFrame, lists: DataFrame, threshold: float) -> DataFra
     dealt = rows.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    sent = dealt.select(task.alias("task"), "nid", "root").join(lists, "nid")
+    sent = dealt.select(task.alias("task"), "nid", "root", "own").join(lists, "nid")
     tasks = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.repartition(tasks, "task").sortWithinPartitions("task").select("task", "nid", "root", "cells")
+    sent = sent.repartition(tasks, "task").sortWithinPartitions("task").select("task", "nid", "root", "own", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
-            unique = {n: (r, c) for n, r, c in rows}
-            if len({r for r, _ in unique.values()}) < 2:
+            unique = {n: (r, o, c) for n, r, o, c in rows}
+            roots, blocks, cells = zip(*unique.values()) if unique else ((), (), ())
+            if len(set(roots)) < 2:
                 return []
-            cells = [np.frombuffer(c, np.uint64) for _, c in unique.values()]
-            return spanning_links(np.array(list(unique)), np.array([r for r, _ in unique.values()]), cells, threshold)
+            return spanning_links(np.array(list(unique)), np.array(roots), [np.frombuffer(c, np.uint64) for c in cells], np.array(blocks), threshold)
 
         now, rows = None, []
         for batch in batches:
             found = []
-            for task, nid, root, cells in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for task, nid, root, own, cells in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if task != now:
                     found += links(rows)
                     now, rows = task, []
-                rows.append((nid, root, cells))
+                rows.append((nid, root, own, cells))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
         found = links(rows)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
