@@ -41,3 +41,4 @@ def text_steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, end, whole[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    pa.default_memory_pool().release_unused()  # workers live on into the next stage

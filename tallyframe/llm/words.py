@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 
@@ -20,8 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     def table(b: int) -> np.ndarray:
         steps = np.full(n, b, np.uint64)
         steps[0] = 1
@@ -30,9 +29,20 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return table(base), table(pow(base, -1, 1 << 64))
 
 
+#: Tables up to this length stay for the next step, one pair per base; longer ones go with the text that needs them.
+_STAY = 1 << 20
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below at least ``n``."""
-    return _powers(base, 1 << max(16, int(n).bit_length()))
+    have = _TABLES.get(base)
+    if have is not None and len(have[0]) >= n:
+        return have
+    made = _table(base, 1 << max(16, int(n).bit_length()))
+    if len(made[0]) <= _STAY:
+        _TABLES[base] = made
+    return made
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
@@ -64,8 +74,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Longer words are hashed one by one.
+_LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix(data, BYTE_BASE), starts, ends, BYTE_BASE)
+    """64-bit hash of every word: its length, then its bytes in blocks of eight, each mixed into what came before.
+
+    Words of one length up to eight bytes never share a hash. Sums of powers would not do here: for any odd base there
+    are unlike texts (of 1,024 signs of two kinds, say) with equal sums modulo 2**64.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(1))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    live, at = np.flatnonzero(size <= _LONG_WORD), 0
+    while len(live):
+        left = size[live] - at
+        cut = np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)
+        block = eight[starts[live] + at] << cut >> cut
+        h[live] = mix((h[live] ^ block) * np.uint64(BYTE_BASE))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        h[i] = np.frombuffer(digest, "<u8")[0]
+    return h
 
 
 def windows(hashes: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -496,3 +496,36 @@ def test_pipeline_on_the_small_tables(spark, sf_dir, docs):
     left = {d for d, _ in after}
     clean = [d in left for d, _ in before if d in labels and labels[d].quality == 1 and not labels[d].toxic]
     assert np.mean(clean) > 0.95
+
+
+# --- word hashes
+
+
+def _folded(n):
+    """Two unlike words of n signs whose sums of powers are equal modulo 2**64 for any odd base, from n = 1024 on."""
+    signs = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return signs, signs.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_with_equal_sums_of_powers_stay_apart(spark, n):
+    rows = [(i, " ".join([w if j == 10 else f"x{j}" for j in range(20)])) for i, w in enumerate(_folded(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of_passages(df) == sorted(brute.passages(rows), key=repr)
+    assert [r.class_id for r in neardup.near_duplicates(df).orderBy("doc_id").collect()] == [0, 1]
+
+
+def rows_of_passages(df):
+    return rows(fmindex.remove_repeated_passages(df), "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def test_word_hashes_differ():
+    from tallyframe.llm import words
+
+    texts = ["", "a", "b", "ab", "ba", "a\0", "\0a", "\0", "\0\0", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "y" * 256, "y" * 257, "y" * 300, *_folded(128), *_folded(1024)]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    together = words.word_hashes(data, at[:-1], at[1:])
+    assert len(set(together.tolist())) == len(texts)
+    for t, h in zip(raw, together):  # the same wherever a word stands
+        assert words.word_hashes(np.frombuffer(b"  " + t, np.uint8), np.array([2]), np.array([2 + len(t)]))[0] == h
