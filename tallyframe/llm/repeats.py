@@ -313,7 +313,7 @@ def minimizer_counts(stored: DataFrame, told: DataFrame, spec: Spec, parts: int)
         keys, n = np.unique(np.concatenate(seen), return_counts=True)
         part = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        keys, n, part = keys[order], np.minimum(n[order], 255).astype(np.uint8), part[order]
+        keys, n, part = keys[order], n[order].astype("<u4"), part[order]
         names, at = np.unique(part, return_index=True)
         cut = [*at, len(part)]
         return info(np.full(len(names), slot), 1, names, [pack48(keys[x:y]) for x, y in zip(cut, cut[1:])], [n[x:y].tobytes() for x, y in zip(cut, cut[1:])])
@@ -330,7 +330,7 @@ def repeated_minimizers(counts: DataFrame, parts: int) -> DataFrame:
             for r in batch.to_pylist():
                 own = unpack48(r["a"])
                 keys.append(own)
-                counts_.append(np.frombuffer(r["b"], np.uint8))
+                counts_.append(np.frombuffer(r["b"], "<u4"))
                 slots.append(np.full(len(own), r["slot"], np.int32))
         if not keys:
             return
