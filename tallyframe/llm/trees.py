@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.llm.repeats import store
-from tallyframe.plans.durable import durable
+from tallyframe.plans.durable import durable, scratch
 
 #: Bytes of context, and how many of them (the nearest) choose a bucket.
 DEPTH, TOP = 5, 3
@@ -316,6 +316,13 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(mixture.groupBy("bucket")).applyInArrow(run, "key long, lp double")
 
 
+def packed(df: DataFrame, label: str) -> DataFrame:
+    """Written once and read back like ``durable``, but pressed harder: sorted sequences take half the room."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -326,12 +333,12 @@ def score(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     with no training rows every decision is one half; an empty table gives an empty one; other columns are not read.
     """
     stored, _ = store(df, text, doc_id, slot_bytes=SLOT_BYTES)
-    spoken = durable(said(stored), "said")
-    grams = durable(spoken.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "sequences")
+    spoken = packed(said(stored), "said")
+    grams = packed(spoken.filter("key >= 0").groupBy("key").agg(F.sum("n").alias("n")), "sequences")
     words = durable(spoken.filter("key < 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, below = int(total.n or 0), float((total.n or 0) + 0.5 * (total.v + 1))
-    learned = durable(log_probabilities(grams), "learned")
+    learned = packed(log_probabilities(grams), "learned")
     of_keys = spoken.filter("key >= 0").select("slot", "key").join(learned, "key").select("slot", "key", F.col("lp").alias("value"))
     # A slot that holds all of a word's training occurrences has counted them itself.
     shared = spoken.filter("key < 0").select("slot", "key", "word", F.col("n").alias("own")).join(words, "word").filter("n > own")
