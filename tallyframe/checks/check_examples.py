@@ -145,16 +145,17 @@ def a6(fx):
 @check(
     "a8_read_runs",
     """
-select 'prog' as program, 'v_' || run_id as version, cast(1 + ascii(run_id) % 9 as bigint) as run_number,
+select 'prog' as program, 'v_' || coalesce(run_id, 'none') as version, cast(1 + ascii(coalesce(run_id, 'none')) % 9 as bigint) as run_number,
   1 + example_idx % 2 as eval_number, example_idx, score, latency, cost, tokens_in, tokens_out, error
 from eval_results""",
 )
 def a8(fx):
     root = scratch(fx.spark, "runs")
     rows = results.to_record(fx.eval_results)
-    for lang in ("de", "en", "es", "fr"):  # one folder per run, as separate jobs would write them
-        run = f"{root}/prog/v_{lang}/results/{1 + ord(lang[0]) % 9:04d}/evals"
-        mine = rows.filter(F.col("run_id") == lang).drop("run_id")
+    for r in rows.select("run_id").distinct().collect():  # one folder per run, as separate jobs would write them
+        name = r.run_id or "none"
+        run = f"{root}/prog/v_{name}/results/{1 + ord(name[0]) % 9:04d}/evals"
+        mine = rows.filter(F.col("run_id").eqNullSafe(r.run_id)).drop("run_id")
         for k in (0, 1):
             mine.filter(F.col("example_idx") % 2 == k).write.json(f"{run}/{k + 1:04d}/results.jsonl")
         mine.write.json(f"{run}/draft/results.jsonl")  # not a four-digit name: never listed
@@ -224,6 +225,28 @@ def a10(fx):
     return ex.extract_media_refs(fx.pages.select("page_id", F.parse_json(text).alias("rec")), "rec", "page_id")
 
 
+@check(
+    "a9_flatten_json_deep",
+    """select doc_id, upper(repeat('a_', cast(doc_id % 41 as int)) || 'z') as name, cast(n_chars as varchar) as value from documents""",
+)
+def a9_deep(fx):
+    """Objects up to 40 levels deep."""
+    d = (F.col("doc_id") % 41).cast("int")
+    text = F.concat(F.repeat(F.lit('{"a":'), d), F.lit('{"z":'), F.col("n_chars").cast("string"), F.lit("}"), F.repeat(F.lit("}"), d))
+    return configs.flatten_json(fx.documents.select("doc_id", F.parse_json(text).alias("cfg")), "cfg", ("doc_id",))
+
+
+@check(
+    "a10_media_refs_deep",
+    """select page_id, repeat('n.0.', cast(page_id % 21 as int)) || 'm' as path, url || '.png' as media from pages""",
+)
+def a10_deep(fx):
+    """Objects and lists in turn, up to 40 levels deep."""
+    d = (F.col("page_id") % 21).cast("int")
+    text = F.concat(F.repeat(F.lit('{"n":['), d), F.lit('{"m":"'), F.col("url"), F.lit('.png"}'), F.repeat(F.lit("]}"), d))
+    return ex.extract_media_refs(fx.pages.select("page_id", F.parse_json(text).alias("rec")), "rec", "page_id")
+
+
 @check(
     "a11_media_budget",
     """

@@ -207,6 +207,23 @@ def b6(fx):
     )
 
 
+@check(
+    "b6_running_progress_sketch",
+    """select run_id, count(*) as rows, cast(sum(tokens_in) as bigint) as run_tokens_in, true as within from eval_results group by run_id""",
+)
+def b6_sketch(fx):
+    """The last state of each run; how far the sketched median's rank is off is counted and held to the stated error."""
+    last = sc.running_progress(fx.eval_results, sketch=200).filter("completed = total")
+    med = F.col("latency_med_ms") / 1000
+    lat = F.coalesce("latency", F.lit(0.0))
+    both = fx.eval_results.select(F.col("run_id").alias("r2"), lat.alias("x")).join(last, F.col("r2").eqNullSafe(F.col("run_id")))
+    counts = both.groupBy("run_id", "run_tokens_in", "latency_rank_error").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("x") < med - 1e-9, 1)).alias("below"), F.count(F.when(F.col("x") <= med + 1e-9, 1)).alias("upto")
+    )
+    half, slack = F.col("rows") / 2, F.col("rows") * F.col("latency_rank_error") + 1
+    return counts.select("run_id", "rows", "run_tokens_in", ((F.col("below") <= half + slack) & (F.col("upto") >= half - slack)).alias("within"))
+
+
 @check(
     "b7_status_line",
     f"""with {_PROGRESS}

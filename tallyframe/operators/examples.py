@@ -133,9 +133,9 @@ def shape_examples(
     return out.select(checked.alias("row_idx"), *inputs, "output")
 
 
-def extract_media_refs(df: DataFrame, col: str, key: str, depth: int = 12) -> DataFrame:
+def extract_media_refs(df: DataFrame, col: str, key: str) -> DataFrame:
     """``(key, path, media)`` for every string, at any depth, with a media ending."""
-    walked = leaves(df.select(key, col), col, depth).filter(is_string(F.col("leaf")))
+    walked = leaves(df.select(key, col), col).filter(is_string(F.col("leaf")))
     text = F.try_variant_get("leaf", "$", "string")
     return walked.select(key, F.array_join("path", ".").alias("path"), text.alias("media")).filter(
         _any_ending(F.col("media"))

@@ -12,12 +12,11 @@ from tallyframe.functions.exprs import digest_order
 from tallyframe.plans.ordered import first_n
 
 DECIMALS = 6  # similarities are rounded, so ties are well defined
-MAX_PIVOTS = 256
 # Covers the rounding of similarities (squared distance moves by 2 per unit) and float error.
 _SLACK = 2 * 2 * 10.0**-DECIMALS
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def unit_rows(rows: pd.Series) -> np.ndarray:
     m = np.array(rows.tolist(), dtype=np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
@@ -35,7 +34,7 @@ def best_in_block(q: pd.DataFrame, t: pd.DataFrame, k: int, skip_same_id: bool =
     if q.empty or t.empty:
         return empty
     qid, tid = q["id"].to_numpy(), t["id"].to_numpy()
-    sim = np.round(_unit(q["v"]) @ _unit(t["v"]).T, DECIMALS)
+    sim = np.round(unit_rows(q["v"]) @ unit_rows(t["v"]).T, DECIMALS)
     if skip_same_id:
         sim[qid[:, None] == tid[None, :]] = -np.inf
     at = min(k, sim.shape[1]) - 1
@@ -53,7 +52,7 @@ def knn_demos(
     key: str = "vec_id",
     vector: str = "embedding",
     block_rows: int = 4096,
-    pivots: int = 64,
+    pivots: int | None = None,
     skip_same_id: bool = False,
 ) -> DataFrame:
     """Exact k nearest training vectors for every query, ties to the lowest id.
@@ -67,14 +66,14 @@ def knn_demos(
     visitors are hashed into blocks of about ``block_rows``, so a crowded cell is many tasks; a pair
     of blocks is one matrix product that emits its best ``k``, and those short lists are merged.
 
-    Only the pivots and ``k + 1`` distances per cell pass through the driver.
+    Without ``pivots`` there are as many as the square root of the training rows, but no more than blocks. Only the pivots and
+    ``k + 1`` distances per cell pass through the driver. Where pruning rules little out this form compares all
+    pairs; ``ann.knn_indexed`` does not.
     """
-    if pivots > MAX_PIVOTS or k > 1000:
-        raise ValueError(f"at most {MAX_PIVOTS} pivots and k of 1000")
     points = train.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     asks = queries.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n_train = points.count()
-    cells = min(pivots, math.ceil(n_train / block_rows))
+    cells = min(pivots or math.ceil(math.sqrt(n_train)), math.ceil(n_train / block_rows))
     if cells <= 1:
         sizes = {0: n_train}
         placed, visits = points.withColumn("cell", F.lit(0)), asks.withColumn("cell", F.lit(0))
@@ -102,13 +101,13 @@ def _prune(asks: DataFrame, points: DataFrame, k: int, cells: int) -> tuple[Data
     """Training rows with their cell, query rows with every cell they must visit, and cell sizes."""
     nonzero = points.filter(F.exists("v", lambda x: x != 0))
     sample = nonzero.orderBy(digest_order(0, "id")).limit(cells).select("v").collect()  # ``cells`` rows
-    centres = _unit(pd.Series([r["v"] for r in sample])) if sample else np.zeros((1, 1))
+    centres = unit_rows(pd.Series([r["v"] for r in sample])) if sample else np.zeros((1, 1))
     if not sample:
         return points.withColumn("cell", F.lit(0)), asks.withColumn("cell", F.lit(0)), {0: points.count()}
 
     def assign(frames):
         for pdf in frames:
-            gap = _gap(_unit(pdf["v"]), centres)
+            gap = _gap(unit_rows(pdf["v"]), centres)
             yield pdf.assign(cell=gap.argmin(axis=1).astype("int32"), gap=gap.min(axis=1))
 
     placed = points.mapInPandas(assign, "id bigint, v array<double>, cell int, gap double")
@@ -122,7 +121,7 @@ def _prune(asks: DataFrame, points: DataFrame, k: int, cells: int) -> tuple[Data
 
     def visit(frames):
         for pdf in frames:
-            gap = _gap(_unit(pdf["v"]), centres[used])
+            gap = _gap(unit_rows(pdf["v"]), centres[used])
             # k + 1, because the query itself may be among the members
             reach = gap[:, near_cell] + near_gap
             bound = np.partition(reach, k, axis=1)[:, k] if reach.shape[1] > k else np.full(len(pdf), np.inf)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tallyframe.plans.durable import durable
 from tallyframe.plans.ordered import ROWS_PER_CHUNK, Running, int_chunk, running
 from tallyframe.plans.quantiles import exact_median
-from tallyframe.plans.running_median import running_median
+from tallyframe.plans.running_median import rank_error, running_median, running_median_sketch
 from tallyframe.sources.variants import field, is_object
 
 PREDICTION = "prediction string, latency double, tokens_in bigint, tokens_out bigint, error string"
@@ -242,10 +242,13 @@ def running_progress(
     seq: str = "seq",
     elapsed: Column | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    sketch: int | None = None,
 ) -> DataFrame:
     """State after each row of a run: counts, accuracy, tokens, cost, latency statistics, ETA.
 
-    ``elapsed`` is seconds since the run started (default: summed latency so far).
+    ``elapsed`` is seconds since the run started (default: summed latency so far). With ``sketch``, a size, the running
+    median comes from mergeable sketches, for very long runs; ``latency_rank_error`` then says by what share of the
+    rows so far its rank may be off. All else stays exact.
     """
     chunk = int_chunk(seq, rows_per_chunk)
     lat = F.coalesce("latency", F.lit(0.0))
@@ -278,9 +281,13 @@ def running_progress(
             "eta_s": spent / n * (F.col("total") - n),
         }
     ).drop("__score", "__lat", "__sq")
-    med = running_median(
-        results.select(F.col(run), F.col(seq), lat.alias("__x")), run, seq, "__x", "__med", rows_per_chunk
-    ).select(F.col(run).alias("__run"), F.col(seq).alias("__seq"), (F.col("__med") * 1000).alias("latency_med_ms"))
+    values = results.select(F.col(run), F.col(seq), lat.alias("__x"))
+    if sketch:
+        out = out.withColumn("latency_rank_error", F.lit(rank_error(sketch)))
+        med = running_median_sketch(values, run, seq, "__x", "__med", sketch, rows_per_chunk)
+    else:
+        med = running_median(values, run, seq, "__x", "__med", rows_per_chunk)
+    med = med.select(F.col(run).alias("__run"), F.col(seq).alias("__seq"), (F.col("__med") * 1000).alias("latency_med_ms"))
     return out.join(med, F.col(run).eqNullSafe(F.col("__run")) & (F.col(seq) == F.col("__seq"))).drop("__run", "__seq")
 
 

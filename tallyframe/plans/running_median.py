@@ -117,3 +117,30 @@ def _earlier_values(placed: DataFrame, run: str, seq: str, value: str, width: in
     marked = shipped.join(reach, [run, "__block"])
     null_long = F.lit(None).cast("bigint")
     return marked.select(run, "__block", null_long.alias("__pos"), null_long.cast(placed.schema[seq].dataType).alias(seq), "__x", "__below")
+
+
+def rank_error(k: int) -> float:
+    """Share of the rows by which a quantile of a sketch of size ``k`` may miss its rank (99 in 100 times less)."""
+    return 2.296 / k**0.9723
+
+
+def running_median_sketch(
+    df: DataFrame, run: str, seq: str, value: str, name: str, k: int = 200, rows_per_block: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """``(run, seq, name)`` like ``running_median``, within ``rank_error(k)`` of the middle rank.
+
+    Each block of rows is one sketch; the sketches of the earlier blocks are merged in order, one small row per block, and
+    a row's own block is folded in as a running sketch. No value is sent to another block, so the cost stays
+    linear for runs of any length.
+    """
+    placed = running(df.select(run, seq, value), [run], [F.col(seq)], int_chunk(seq, rows_per_block), [Running("__pos", "count")])
+    placed = durable(placed.withColumn("__block", F.floor((F.col("__pos") - 1) / rows_per_block).cast("bigint")))
+    x = F.col(value).cast("double")
+    sketches = placed.groupBy(F.col(run).alias("__run"), F.col("__block").alias("__b")).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("__s"))
+    earlier = W.partitionBy("__run").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = sketches.select("__run", "__b", F.when(F.col("__b") > 0, F.kll_merge_agg_double("__s", F.lit(k)).over(earlier)).alias("__before"))
+    inside = W.partitionBy(run, "__block").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
+    own = placed.repartition(run, "__block").select(run, "__block", seq, F.kll_sketch_agg_double(x, F.lit(k)).over(inside).alias("__own"))
+    both = own.join(carried, F.col(run).eqNullSafe(F.col("__run")) & (F.col("__block") == F.col("__b")))
+    merged = F.when(F.col("__before").isNull(), F.col("__own")).otherwise(F.kll_sketch_merge_double("__own", "__before"))
+    return both.select(run, seq, F.kll_sketch_get_quantile_double(merged, F.lit(0.5)).alias(name))

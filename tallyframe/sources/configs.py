@@ -21,9 +21,9 @@ def flatten_struct(df: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataF
     return df.select(*keep, *walk(df.schema[col].dataType, f"`{col}`", []))
 
 
-def flatten_json(df: DataFrame, col: str, keep: tuple[str, ...] = (), depth: int = 12) -> DataFrame:
+def flatten_json(df: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Dynamic variation: ``(keep.., name, value)`` rows; lists stay whole as JSON text."""
-    flat = leaves(df.select(*keep, col), col, depth, into_arrays=False).filter(F.size("path") > 0)
+    flat = leaves(df.select(*keep, col), col, into_arrays=False).filter(F.size("path") > 0)
     text = F.coalesce(F.try_variant_get("leaf", "$", "string"), F.to_json("leaf"))
     value = F.when(F.is_variant_null("leaf") | F.col("leaf").isNull(), "").otherwise(text)
     return flat.select(*keep, F.upper(F.array_join("path", "_")).alias("name"), value.alias("value"))

@@ -488,3 +488,46 @@ def test_metric_forms(spark):
     assert [r.score for r in sc.score(df, traced(F.struct("gold"), "prediction", F.lit("abc"))).collect()] == [3.0, 3.0]
     with pytest.raises(TypeError):
         sc.python_metric(lambda ex: 1)
+
+
+def _tree(data):
+    """Depth and position by recursion over children, on (trace, obs, parent, start)."""
+    out = {}
+    for t in {r[0] for r in data}:
+        mine = [r for r in data if r[0] == t]
+        rooted = any(r[2] is None for r in mine)
+        children = {}
+        for _, o, up, s in mine:
+            children.setdefault(up if rooted else None, []).append((s, o))
+        stack, n = [(o, 0) for _, o in sorted(children.get(None, []), reverse=True)], 0
+        while stack:
+            o, d = stack.pop()
+            n += 1
+            out[(t, o)] = (d, n)
+            stack += [(c, d + 1) for _, c in sorted(children.get(o, []), reverse=True)] if rooted else []
+    return out
+
+
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_tours_over_chunks_rings_and_missing_parents(spark, chunks):
+    import random
+
+    r = random.Random(chunks)
+    data = []
+    for t in ("a", "b", "c"):
+        for i in range(60):
+            data.append((t, f"o{i}", None if i < 2 else f"o{r.randrange(i)}", r.randrange(5)))
+    data += [("a", "x1", "x2", 1), ("a", "x2", "x3", 1), ("a", "x3", "x1", 1), ("a", "y", "nowhere", 1), ("a", "y2", "y", 1)]
+    data += [("flat", f"o{i}", "gone", i % 3) for i in range(20)] + [("chain", f"n{i:04d}", f"n{i - 1:04d}" if i else None, 0) for i in range(300)]
+    df = spark.createDataFrame(data, "trace_id string, obs_id string, parent_id string, start_s int")
+    got = {(x.trace_id, x.obs_id): (x.depth, x.position) for x in tr.trace_tree(df, chunks=chunks).collect()}
+    assert got == _tree(data)
+
+
+def test_a_chain_100000_deep(spark):
+    """Rows hold one pointer and two sums whatever the depth; numeric ids beyond what a double holds stay exact."""
+    n, base = 100_000, 1 << 60
+    df = spark.range(n).select(F.lit(1).alias("trace_id"), (F.col("id") + base).alias("obs_id"), F.when(F.col("id") > 0, F.col("id") + base - 1).alias("parent_id"), F.lit(0).alias("start_s"))
+    out = tr.trace_tree(df, chunks=5)
+    wrong = out.filter((F.col("depth") != F.col("obs_id") - base) | (F.col("position") != F.col("depth") + 1))
+    assert out.count() == n and wrong.count() == 0
