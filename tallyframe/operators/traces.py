@@ -43,8 +43,9 @@ def trace_tree(
     sums over the rest of the tour, found by list ranking: each chunk of observations first follows its pointers inside
     itself, then pointers that leave a chunk are doubled in rounds of joins. A row never holds more than one pointer and
     two sums, whatever the depth; a round writes only the pointers that were still open. ``chunks`` sets the number of
-    chunks (default: by rows).
+    chunks (default: one per ``CHUNK_ROWS`` observations).
     """
+    chunks = chunks or max(1, -(-observations.count() // CHUNK_ROWS))
     cols = observations.columns
     rooted = durable(observations.groupBy(trace).agg(F.bool_or(F.col(parent).isNull()).alias("__rooted")), "rooted")
     nodes = observations.join(rooted, trace).select(
@@ -74,6 +75,8 @@ def trace_tree(
     return observations.join(placed, on).select(*cols, "depth", "position")
 
 
+#: Observations of a chunk.
+CHUNK_ROWS = 1 << 15
 #: A place of the tour (e: 0 enters, 1 leaves), the place its pointer has reached, and the sums up to there.
 _TOUR = "t string, o string, e int, no string, ne int, depth bigint, entered bigint"
 
@@ -111,8 +114,8 @@ def _followed(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _ranked(state: DataFrame) -> DataFrame:
     """(t, o, e, depth, entered) of the places whose pointers come to an end, by doubling what is still open."""
-    settled = durable(state.filter("no is null"), "settled")
-    open_ = durable(state.filter("no is not null"), "open")
+    state = durable(state, "state")
+    settled, open_ = state.filter("no is null"), state.filter("no is not null")
     while not open_.isEmpty():
         after = settled.unionByName(open_).selectExpr("t", "o as no", "e as ne", "no as no2", "ne as ne2", "depth as d2", "entered as e2")
         moved = open_.join(after, ["t", "no", "ne"]).select(
