@@ -109,3 +109,17 @@ def m5(fx):
         return [{"number": n, "width": len(line)} for n in re.findall(r"[0-9]+", line)]
 
     return lg.parse_with(fx.log_lines, numbers, "number string, width bigint")
+
+
+@check(
+    "m5_user_parser_sql",
+    r"""select job_id, seq, unnest(regexp_extract_all(line, '\d+')) as number, length(line) as width from log_lines""",
+)
+def m5_sql(fx):
+    """The same parser as a table function; its columns follow from its argument."""
+
+    def numbers(line):
+        return [{"number": n, "width": len(line)} for n in re.findall(r"[0-9]+", line)]
+
+    lg.register_parser(fx.spark, "line_numbers", numbers)
+    return fx.spark.sql("select job_id, seq, number, width from {lines}, lateral line_numbers(line, 'number string, width bigint')", lines=fx.log_lines)

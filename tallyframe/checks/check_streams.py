@@ -27,9 +27,9 @@ def replay(df: DataFrame, ts: str = "ts", files: int = 4, per_trigger: int = 2,
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def appended(stream: DataFrame) -> DataFrame:
+def appended(stream: DataFrame, rocks: bool = False) -> DataFrame:
     spark, out = stream.sparkSession, scratch(stream.sparkSession, "out")
-    sinks.append_sink(stream, out, scratch(spark, "state")).awaitTermination()
+    sinks.append_sink(stream, out, scratch(spark, "state"), rocks=rocks).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -85,6 +85,18 @@ def l2_stream(fx):
     return out.select("worker_id", _seconds("last_seen").alias("last_seen_s"), "live")
 
 
+@check(
+    "l2_liveness_events_stream",
+    """with b as (select worker_id, ts, lead(ts) over (partition by worker_id order by ts) as nxt from heartbeats where worker_id is not null)
+select worker_id, 'lost' as event, epoch_us(ts) // 1000000 + 21600 as at_s from b where nxt is null or nxt - ts > interval 6 hour
+union all select worker_id, 'back', epoch_us(nxt) // 1000000 from b where nxt - ts > interval 6 hour""",
+)
+def l2_events(fx):
+    """Beats come in four files in any order; the far-future row moves the watermark past the last lease."""
+    out = appended(live.liveness_events(replay(fx.heartbeats, flush=True), 6 * 3600, DELAY), rocks=True)
+    return out.select("worker_id", "event", _seconds("at").alias("at_s"))
+
+
 _LEASE_SQL = """
 with g as (select worker_id, ts, case when ts - lag(ts) over (partition by worker_id order by ts) <= interval 6 hour then 0 else 1 end as b from heartbeats),
 i as (select worker_id, ts, sum(b) over (partition by worker_id order by ts, b desc rows between unbounded preceding and current row) as i from g)
@@ -169,6 +181,17 @@ def l7_stream(fx):
     return spark.read.parquet(f"{out}/out").drop(sinks.BATCH)
 
 
+@check("l7_gap_state_stream", _GAPS_SQL)
+def l7_state(fx):
+    """The same turns through state per job."""
+    spark, folder = fx.spark, scratch(fx.spark, "replay")
+    rows = _holes(fx)
+    for part in ("seq < 2", "seq >= 2 and seq < 4", "seq >= 4"):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return appended(live.gap_stream(stream), rocks=True)
+
+
 _CANCEL_SQL = """select r.seq, r.job_id, case when j.id is null then 'not found' when j.status = 'queued' then 'cancelled' when j.status = 'running' then 'requested'
   else 'conflict' end as outcome from (select seq, seq * 2 as job_id from job_events) r left join jobs j on j.id = r.job_id"""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tallyframe.functions.exprs import pct, to_count
 from tallyframe.plans.ordered import first_n
@@ -194,6 +195,32 @@ def parse_with(lines: DataFrame, fn: Callable[[str], Iterable[dict]], schema: st
     return lines.select(*carried, text).mapInPandas(batches, out)
 
 
+def register_parser(spark: SparkSession, name: str, fn: Callable[[str], Iterable[dict]]) -> None:
+    """``fn`` as a table function for SQL: ``from lines, lateral name(line, 'field type, ..')``.
+
+    The result's columns follow from the second argument, a constant list of fields with simple types. Lines go to the
+    function in Arrow batches.
+    """
+
+    class Parse:
+        @staticmethod
+        def analyze(line: AnalyzeArgument, fields: AnalyzeArgument) -> AnalyzeResult:
+            if not fields.isConstantExpression or not fields.value:
+                raise ValueError("the fields are a constant text: 'name type, ..'")
+            out = T.StructType()
+            for field in fields.value.split(","):
+                column, kind = field.split()
+                out = out.add(column, T._parse_datatype_json_value({"bigint": "long", "int": "integer"}.get(kind.lower(), kind.lower())))
+            return AnalyzeResult(out)
+
+        def eval(self, line: str, fields: str):
+            names = [field.split()[0] for field in fields.split(",")]
+            for rec in fn(line) if line is not None else ():
+                yield tuple(rec.get(n) for n in names)
+
+    spark.udtf.register(name, F.udtf(Parse, useArrow=True))
+
+
 def log_errors(lines: DataFrame, job: str = "job_id", seq: str = "seq", text: str = "line") -> DataFrame:
     """Error matches per job: how many, and the last one cut to 240 characters."""
     hits = F.regexp_extract_all(F.col(text), F.lit(ERRORS), 0)

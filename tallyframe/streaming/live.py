@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
@@ -188,6 +188,138 @@ def gap_monitor(
     return fold_sink(lines, path, checkpoint, step, every)
 
 
+def _thinned(beats: list[int], lease: int) -> list[int]:
+    """Sorted beats without those that stand between two others no more than a lease apart: silences stay the same."""
+    kept: list[int] = []
+    for i, t in enumerate(beats):
+        if not kept or i + 1 == len(beats) or beats[i + 1] - kept[-1] > lease:
+            kept.append(t)
+    return kept
+
+
+class _Liveness(StatefulProcessor):
+    """Per worker: the last beat told of, whether it counts as lost, and beats the watermark has not passed."""
+
+    def __init__(self, lease: int) -> None:
+        self.lease = lease
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.told = handle.getValueState("told", "last long, lost boolean")
+        self.waiting = handle.getListState("waiting", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        beats = [x[0] for x in self.waiting.get()] + [t for pdf in rows if len(pdf) for t in pdf["beat"].tolist()]
+        yield self._events(key, beats, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._events(key, [x[0] for x in self.waiting.get()], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _events(self, key, beats: list[int], passed: int) -> pd.DataFrame:
+        beats = _thinned(sorted(set(beats)), self.lease)
+        last, lost = self.told.get() if self.told.exists() else (None, False)
+        events = []
+        while beats and beats[0] < passed:
+            t = beats.pop(0)
+            if last is not None and t - last > self.lease:
+                events += [] if lost else [("lost", last + self.lease)]
+                events.append(("back", t))
+            last, lost = (t if last is None else max(last, t)), False
+        if last is not None and not lost and last + self.lease < passed and not (beats and beats[0] <= last + self.lease):
+            events.append(("lost", last + self.lease))
+            lost = True
+        if last is not None:
+            self.told.update((last, lost))
+        self.waiting.put([(t,) for t in beats]) if beats else self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = ([] if last is None or lost else [last + self.lease]) + beats[:1]
+        if wake and key[0] is not None:
+            self.handle.registerTimer(min(wake) // 1000 + 1)
+        rows = [] if key[0] is None else events
+        return pd.DataFrame({"worker": pd.array([key[0]] * len(rows), "object"), "event": pd.array([e for e, _ in rows], "object"), "__at": pd.array([t for _, t in rows], "int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def liveness_events(heartbeats: DataFrame, lease_seconds: int, delay: str, worker: str = "worker_id", ts: str = "ts") -> DataFrame:
+    """worker, event, at: "lost" a lease after a worker's last beat, sent by a timer without any input, and "back" at its next.
+
+    The events equal the silences of ``lease_intervals``, whatever order beats come in within ``delay``. State per worker is one
+    beat, one flag and, for the stretch the watermark has not passed, about two beats a lease. Beats are thinned in the
+    reading tasks, so a worker with most of the beats is no hot key. Start it with ``sinks.append_sink(.., rocks=True)``.
+    """
+    lease = lease_seconds * 1_000_000
+
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for name, own in pdf.groupby("worker", dropna=False)["beat"]:
+                kept = _thinned(sorted(set(own.tolist())), lease)
+                yield pd.DataFrame({"worker": pd.array([None if pd.isna(name) else name] * len(kept), "object"), "beat": kept})
+
+    kind = heartbeats.schema[worker].dataType.simpleString()
+    beats = heartbeats.select(F.col(worker).alias("worker"), F.unix_micros(F.col(ts).cast("timestamp")).alias("beat")).filter("beat is not null")
+    timed = beats.mapInPandas(thin, f"worker {kind}, beat bigint").withColumn("__ts", F.timestamp_micros("beat")).withWatermark("__ts", delay)
+    events = timed.groupBy("worker").transformWithStateInPandas(_Liveness(lease), f"worker {kind}, event string, __at bigint", "Append", "EventTime")
+    return events.select(F.col("worker").alias(worker), "event", F.timestamp_micros("__at").alias("at"))
+
+
+class _Gaps(StatefulProcessor):
+    """Per job: the last number seen."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "seq long", self.ttl_ms) if self.ttl_ms else handle.getValueState("last", "seq long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.last.update((int(initialState["seq"].max()),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        gaps, first = [], last
+        stretches = sorted({x for pdf in rows for x in zip(pdf["first"].tolist(), pdf["until"].tolist())})
+        for a, b in stretches:
+            if last is not None and b <= last:
+                continue  # late, or seen by another task of this batch
+            if last is not None and a - last > 1:
+                gaps.append((last, a, a - last - 1))
+            last = b
+        if last is not None and last != first and key[0] is not None:
+            self.last.update((last,))
+        if key[0] is None:
+            gaps = []
+        yield pd.DataFrame({"job": pd.array([key[0]] * len(gaps), "object"), "after_seq": pd.array([g[0] for g in gaps], "int64"), "before_seq": pd.array([g[1] for g in gaps], "int64"), "missing": pd.array([g[2] for g in gaps], "int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def gap_stream(lines: DataFrame, job: str = "job_id", seq: str = "seq", ttl: int | None = None, before: DataFrame | None = None) -> DataFrame:
+    """``gap_monitor`` with state per job: (job, after_seq, before_seq, missing) of every hole, as a stream of its own.
+
+    The state is one number per job; a micro-batch reads and writes those of its own jobs only. ``ttl`` seconds without
+    lines remove a job's state, ``before`` (job, seq) holds last numbers to start from. Reading tasks send stretches of
+    neighbouring numbers, so a job with most of the lines sends few rows. Start it with ``sinks.append_sink(.., rocks=True)``.
+    """
+
+    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = pdf.dropna(subset=["seq"]).drop_duplicates().sort_values(["job", "seq"])
+            new = (rows["job"] != rows["job"].shift()) | (rows["seq"] != rows["seq"].shift() + 1)
+            yield rows.groupby([rows["job"], new.cumsum()], dropna=False)["seq"].agg(first="min", until="max").reset_index(level=0)
+
+    kind = lines.schema[job].dataType.simpleString()
+    sent = lines.select(F.col(job).alias("job"), F.col(seq).cast("bigint").alias("seq")).mapInPandas(stretches, f"job {kind}, first bigint, until bigint")
+    start = before.select(F.col(job).alias("job"), F.col(seq).cast("bigint").alias("seq")).groupBy("job") if before is not None else None
+    out = sent.groupBy("job").transformWithStateInPandas(
+        _Gaps(ttl * 1000 if ttl else None), f"job {kind}, after_seq bigint, before_seq bigint, missing bigint", "Append", "ProcessingTime" if ttl else "None", start
+    )
+    return out.withColumnRenamed("job", job)
+
+
 def cancel_decisions(requests: DataFrame, jobs: DataFrame, job: str = "job_id") -> DataFrame:
     """Outcome of each cancel request: queued jobs end now, running ones are asked to stop, others
     conflict, unknown ones are not found. On a stream run it in ``sinks.lookup_sink``."""

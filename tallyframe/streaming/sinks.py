@@ -21,10 +21,26 @@ def _trigger(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Exactly-once append; without ``every`` all available input is processed and the query ends."""
-    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
-    return _trigger(writer, every).start(path)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, rocks: bool = False) -> StreamingQuery:
+    """Exactly-once append; without ``every`` all available input is processed and the query ends.
+
+    ``rocks`` starts the query on the state store that operators with timers, lists or time to live need; the session's own
+    setting is put back, since a query keeps what it was started with.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    try:
+        if rocks:
+            spark.conf.set(_PROVIDER, _ROCKS)
+        writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+        return _trigger(writer, every).start(path)
+    finally:
+        if rocks:
+            spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -110,3 +110,43 @@ def test_call_pairs_across_batches_follow_the_batch_rule(spark):
     sinks.append_sink(stream, out, scratch(spark, "cp")).awaitTermination()
     key = lambda df: sorted((r.scope, r.call_id, r.name, r.exception, r.latency_seconds) for r in df.collect())
     assert key(spark.read.parquet(out)) == key(pair_calls(frames[0].union(frames[1]).union(frames[2])))
+
+
+def _folder(spark, rows, schema, path):
+    """One file per list of rows, read one file per micro-batch."""
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_gap_state_over_batches_late_numbers_nulls_and_first_numbers(spark, tmp_path):
+    batches = [[("a", 1), ("a", 2), ("b", 7), (None, 3)], [("a", 5), ("a", 5), ("b", 8), (None, 9)], [("a", 3), ("a", 9), ("b", None), ("c", 4)], [("a", 10), ("c", 6)]]
+    stream = _folder(spark, batches, "job_id string, seq bigint", str(tmp_path / "in"))
+    before = spark.createDataFrame([("b", 4), ("c", 1)], "job_id string, seq bigint")
+    out = live.gap_stream(stream, before=before)
+    sinks.append_sink(out, str(tmp_path / "out"), str(tmp_path / "state"), rocks=True).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("job_id", "after_seq", "before_seq", "missing").collect())
+    assert got == [("a", 2, 5, 2), ("a", 5, 9, 3), ("b", 4, 7, 2), ("c", 1, 4, 2), ("c", 4, 6, 1)]
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
+
+
+def test_thinned_beats_keep_every_silence():
+    import random
+
+    r = random.Random(0)
+    for _ in range(300):
+        beats = sorted({r.randrange(60) for _ in range(r.randint(1, 25))})
+        kept = live._thinned(beats, 7)
+        gaps = lambda b: [(x, y) for x, y in zip(b, b[1:]) if y - x > 7]
+        assert gaps(kept) == gaps(beats) and kept[0] == beats[0] and kept[-1] == beats[-1]
+
+
+def test_lost_without_input_and_back_out_of_order(spark, tmp_path):
+    """Beats of one worker in mixed order; another falls silent and is told lost by the clock of the others."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [[("w", at(10)), ("v", at(0)), ("w", at(0))], [("w", at(25)), ("w", at(100))], [("w", at(130)), ("w", at(105)), (None, at(150))], [("w", at(400))], [(None, at(5000))]]
+    stream = _folder(spark, batches, "worker_id string, ts timestamp", str(tmp_path / "in"))
+    out = live.liveness_events(stream, 30, "60 seconds")
+    sinks.append_sink(out, str(tmp_path / "out"), str(tmp_path / "state"), rocks=True).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("worker_id", "event", "unix_timestamp(at) - unix_timestamp(timestamp'2024-01-01 00:00:00') as s").collect()
+    assert sorted(map(tuple, rows)) == [("v", "lost", 30), ("w", "back", 100), ("w", "back", 400), ("w", "lost", 55), ("w", "lost", 160), ("w", "lost", 430)]
