@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.checks.registry import check
 from tallyframe.functions import exprs as xp
 from tallyframe.operators import state as st
+from tallyframe.plans.durable import scratch
+from tallyframe.sources import versions
 
 
 @check(
@@ -67,6 +69,22 @@ def f3(fx):
     return out.select("worker_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts_s"))
 
 
+@check(
+    "f2_insert_versioned",
+    f"""
+with first as (select *, row_number() over (partition by {_KEY} order by ascii(tiebreak) % 2, created_at, tiebreak, size_bytes, digest) as r from artifacts)
+select {_KEY}, size_bytes, digest from first where r = 1""",
+)
+def f2_versioned(fx):
+    """Half of the rows, then all of them, both sent again; what no record names stays unread."""
+    arts, keys, root = fx.artifacts, ["job_id", "attempt", "relative_path"], scratch(fx.spark, "versions")
+    for i in (0, 1, 1, 0):
+        part = arts.filter(F.ascii("tiebreak") % 2 <= i)
+        versions.apply_batch(part, root, keys, ["created_at", "tiebreak", "size_bytes"], keep="first", writer="load", batch_id=i)
+    arts.limit(0).withColumn(versions.BUCKET, F.lit(0)).write.partitionBy(versions.BUCKET).parquet(f"{root}/data/killed")
+    return versions.read_version(fx.spark, root).select(*keys, "size_bytes", "digest")
+
+
 @check(
     "f4_fence",
     """select a.job_id, a.attempt, a.relative_path, a.tiebreak, a.size_bytes from artifacts a

@@ -9,6 +9,7 @@ from tallyframe.checks.check_usage import _CALLS
 from tallyframe.checks.registry import check
 from tallyframe.operators import storage as so
 from tallyframe.plans.durable import scratch
+from tallyframe.sources import versions
 from tallyframe.streaming import live, sinks
 
 # The replayed files arrive in any order, so the delay covers the whole span of the data.
@@ -122,6 +123,16 @@ _FENCED_SQL = """select a.job_id, a.attempt, a.relative_path, a.tiebreak, a.size
   where exists (select 1 from jobs j where j.id = a.job_id and j.attempt = a.attempt and j.worker_id = 'w' || cast(a.job_id % 1500 % 150 as varchar))"""
 
 
+@check(
+    "f3_upsert_versioned_stream",
+    """select worker_id, event_id, epoch_us(ts) // 1000000 as ts_s from (select *, row_number() over (partition by worker_id order by ts desc, event_id desc) as r from heartbeats) t where r = 1""",
+)
+def f3_stream(fx):
+    root = scratch(fx.spark, "versions")
+    sinks.versioned_sink(replay(fx.heartbeats), root, scratch(fx.spark, "state"), ["worker_id"], ["ts"]).awaitTermination()
+    return versions.read_version(fx.spark, root).select("worker_id", "event_id", _seconds("ts").alias("ts_s"))
+
+
 @check("l4_fenced_writes_stream", _FENCED_SQL)
 def l4(fx):
     writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))

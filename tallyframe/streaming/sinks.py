@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyframe.operators.state import upsert_latest
+from tallyframe.sources import versions
 
 BATCH = "batch_id"
 
@@ -95,6 +96,23 @@ def lookup_sink(
     return _trigger(writer, every).start()
 
 
+def versioned_sink(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], keep: str = "last",
+    name: str = "stream", every: str | None = None, buckets: int = 64,
+) -> StreamingQuery:
+    """Every micro-batch is one version of the table at ``path`` (``versions.read_version``), a replayed one none.
+
+    ``name`` tells this query's batch numbers from those of other writers; keep it over restarts from the same checkpoint
+    and take a new one with a new checkpoint, whose numbers begin at 0 again.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        versions.apply_batch(batch, path, keys, order, keep, name, batch_id, buckets)
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
+
+
 def compact_latest(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
     """Write the current rows of a stopped ``upsert_sink`` table as the single batch of a new one."""
     newest = spark.read.parquet(path).agg(F.max(BATCH)).first()[0]
