@@ -8,6 +8,7 @@ from tallyframe.checks.registry import check
 from tallyframe.operators import examples as ex
 from tallyframe.plans.durable import scratch
 from tallyframe.sources import configs, jsonl, results
+from tallyframe.streaming import sinks
 
 _RESULT_COLS = "run_id, example_idx, score, latency, cost, tokens_in, tokens_out, error"
 
@@ -142,27 +143,41 @@ def a6(fx):
     return jsonl.read_results(fx.spark, path).select("run_id", "example_idx", "score", "tokens_in", "error")
 
 
-@check(
-    "a8_read_runs",
-    """
+_RUNS_SQL = """
 select 'prog' as program, 'v_' || coalesce(run_id, 'none') as version, cast(1 + ascii(coalesce(run_id, 'none')) % 9 as bigint) as run_number,
   1 + example_idx % 2 as eval_number, example_idx, score, latency, cost, tokens_in, tokens_out, error
-from eval_results""",
-)
-def a8(fx):
-    root = scratch(fx.spark, "runs")
+from eval_results"""
+_RUN_COLS = "program version run_number eval_number example_idx score latency cost tokens_in tokens_out error".split()
+
+
+def _write_runs(fx, root: str, evals: tuple[int, ...]) -> None:
     rows = results.to_record(fx.eval_results)
     for r in rows.select("run_id").distinct().collect():  # one folder per run, as separate jobs would write them
         name = r.run_id or "none"
         run = f"{root}/prog/v_{name}/results/{1 + ord(name[0]) % 9:04d}/evals"
         mine = rows.filter(F.col("run_id").eqNullSafe(r.run_id)).drop("run_id")
-        for k in (0, 1):
+        for k in evals:
             mine.filter(F.col("example_idx") % 2 == k).write.json(f"{run}/{k + 1:04d}/results.jsonl")
-        mine.write.json(f"{run}/draft/results.jsonl")  # not a four-digit name: never listed
-    return results.read_runs(fx.spark, root).select(
-        "program", "version", "run_number", "eval_number", "example_idx", "score", "latency", "cost",
-        "tokens_in", "tokens_out", "error",
-    )
+        if 0 in evals:
+            mine.write.json(f"{run}/draft/results.jsonl")  # not a four-digit name: never read
+
+
+@check("a8_read_runs", _RUNS_SQL)
+def a8(fx):
+    root = scratch(fx.spark, "runs")
+    _write_runs(fx, root, (0, 1))
+    return results.read_runs(fx.spark, root).select(*_RUN_COLS)
+
+
+@check("a8_follow_runs_stream", _RUNS_SQL)
+def a8_stream(fx):
+    """Taken in twice, the second evaluation of every run written in between."""
+    root, out, state = (scratch(fx.spark, x) for x in ("runs", "taken", "state"))
+    for k in (0, 1):
+        _write_runs(fx, root, (k,))
+        rows = results.follow_runs(fx.spark, root)
+        sinks.append_sink(rows, out, state).awaitTermination()
+    return fx.spark.read.schema(rows.schema).parquet(out).select(*_RUN_COLS)
 
 
 @check(

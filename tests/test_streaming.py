@@ -150,3 +150,31 @@ def test_lost_without_input_and_back_out_of_order(spark, tmp_path):
     sinks.append_sink(out, str(tmp_path / "out"), str(tmp_path / "state"), rocks=True).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("worker_id", "event", "unix_timestamp(at) - unix_timestamp(timestamp'2024-01-01 00:00:00') as s").collect()
     assert sorted(map(tuple, rows)) == [("v", "lost", 30), ("w", "back", 100), ("w", "back", 400), ("w", "lost", 55), ("w", "lost", 160), ("w", "lost", 430)]
+
+
+def test_follow_runs_reads_each_file_once_and_only_under_the_root(spark, tmp_path):
+    """Odd names come back as they are; drafts, deeper copies and what was read before stay out."""
+    from tallyframe.sources import results
+
+    def put(folder, idx):
+        place = tmp_path / "ru ns" / folder
+        place.mkdir(parents=True, exist_ok=True)
+        (place / "results.jsonl").write_text(f'{{"example_idx": {idx}, "score": 1.0, "tokens": {{"input": 2, "output": 3}}}}\n')
+
+    def take():
+        rows = results.follow_runs(spark, str(tmp_path / "ru ns") + "/", max_files=1)
+        sinks.append_sink(rows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        got = spark.read.schema(rows.schema).parquet(str(tmp_path / "out"))
+        return sorted((r.program, r.version, r.run_number, r.eval_number, r.example_idx) for r in got.collect())
+
+    put("a b/v+1/results/0001/evals/0002", 1)
+    put("p%41/v/results/0003/evals/0001", 2)
+    put("p/v/results/draft/evals/0001", 3)
+    put("p/v/results/00012/evals/0001", 4)
+    put("deep/p/v/results/0001/evals/0001", 5)
+    want = [("a b", "v+1", 1, 2, 1), ("p%41", "v", 3, 1, 2)]
+    assert take() == want and take() == want
+    batch = results.read_runs(spark, str(tmp_path / "ru ns"))
+    assert sorted((r.program, r.version, r.run_number, r.eval_number, r.example_idx) for r in batch.collect()) == want
+    put("None/null/results/0009/evals/9999", 6)
+    assert take() == sorted([*want, ("None", "null", 9, 9999, 6)])
