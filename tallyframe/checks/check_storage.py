@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.checks.registry import check
 from tallyframe.operators import storage as so, traces as tr
+from tallyframe.plans.durable import scratch
+from tallyframe.sources import blobs
 
 NOW = "2001-08-02 00:00:00"
 _DROP = f"""m as (select *, snapshot_id not in (select snapshot_id from jobs where snapshot_id is not null) and created_at < timestamp '{NOW}' - interval 24 hour as gone from snapshots)"""
@@ -96,6 +98,31 @@ def h6(fx):
     return so.verify_digests(fx.blobs).select("blob_id", "computed_digest", "intact")
 
 
+@check(
+    "h6_verify_files",
+    """
+with b as (select doc_id // 32 as block, sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as digest,
+  cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as size_bytes from documents group by 1)
+select cast(block as bigint) as block, size_bytes, digest as computed_digest,
+  case when block % 5 = 2 then 'unrecorded' when block % 7 = 3 then 'changed' else 'intact' end as status from b
+union all select cast(block as bigint), null, null, 'missing' from b where block % 5 = 1""",
+)
+def h6_files(fx):
+    """Documents as one file per 32 ids; some records altered, dropped, or of files that are gone."""
+    root = scratch(fx.spark, "blobs")
+    docs = fx.documents.select((F.floor(F.col("doc_id") / 32)).alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "text").write.partitionBy("block").text(root)
+    block = lambda c: F.regexp_extract(c, r"block=(\d+)", 1).cast("bigint")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
+    digests = docs.groupBy("block").agg(F.sha2(F.concat(F.array_join(lines, "\n"), F.lit("\n")).cast("binary"), 256).alias("d"))
+    files = blobs.list_objects(fx.spark, root).withColumn("block", block("name"))
+    altered = F.when(F.col("block") % 7 == 3, F.reverse("d")).otherwise(F.col("d")).alias("recorded_digest")
+    records = files.join(digests, "block").filter("block % 5 <> 2").select("name", altered, "size_bytes")
+    gone = digests.filter("block % 5 = 1").select(F.concat(F.lit("gone/block="), "block").alias("name"), F.col("d").alias("recorded_digest"), F.lit(1).alias("size_bytes"))
+    out = so.verify_files(records.unionByName(gone), blobs.digest_objects(fx.spark, root))
+    return out.select(block("name").alias("block"), "size_bytes", "computed_digest", "status")
+
+
 def _fold(level: str, src: str, digits: int) -> str:
     return f"""{level} as (select left(prefix, {digits}) as prefix, left(prefix, {digits}) || ':' || sha256(string_agg(entry, ',' order by entry)) as entry
   from {src} group by left(prefix, {digits}))"""

@@ -103,6 +103,27 @@ def verify_digests(blobs: DataFrame, content: str = "content", recorded: str = "
     return blobs.withColumn("computed_digest", computed).withColumn("intact", F.col("computed_digest") == F.col(recorded))
 
 
+def verify_files(recorded: DataFrame, found: DataFrame, name: str = "name", digest: str = "recorded_digest") -> DataFrame:
+    """Recorded objects (``name, recorded_digest, size_bytes``) against ``blobs.digest_objects``, one row for each of both.
+
+    ``status``: ``intact``; ``changed`` (another digest, or another size where the file was not read); ``unread`` (not read, size
+    as recorded or not recorded); ``missing`` (no file, also with a NULL name); ``unrecorded`` (no record, or one without a digest). A name
+    recorded twice is judged twice. File scans pass over files of 0 bytes, so a record of no bytes without a file is ``unread``, not missing.
+    """
+    left = recorded.select(F.col(name).alias("__n"), F.col(digest).alias("recorded_digest"), F.col("size_bytes").alias("__size"))
+    both = left.join(found, F.col("__n") == F.col("name"), "full")
+    status = (
+        F.when(F.col("name").isNull(), F.when((F.col("__size") == 0) & F.col("__n").isNotNull(), "unread").otherwise("missing"))
+        .when(F.col("recorded_digest").isNull(), "unrecorded")
+        .when(F.col("computed_digest") == F.col("recorded_digest"), "intact")
+        .when(F.col("computed_digest").isNotNull() | (F.col("__size") != F.col("size_bytes")), "changed")
+        .otherwise("unread")
+    )
+    return both.select(
+        F.coalesce("name", "__n").alias("name"), "size_bytes", "modified_at", "recorded_digest", "computed_digest", status.alias("status")
+    )
+
+
 def dataset_digest(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """One SHA-256 for a whole table, whatever its row order or partitioning.
 
