@@ -151,6 +151,35 @@ def l4_outcomes(fx):
     return out.groupBy("accepted", "relative_path").agg(F.count(F.lit(1)).alias("writes"))
 
 
+# Too late is what the watermark had passed when the batch before began: the engine judges late rows one batch behind.
+_COUNTS_SQL = """
+with w as (select *, ascii(tiebreak) % 4 as batch, 'w' || cast(job_id % 1500 % 150 as varchar) as worker_id from artifacts),
+top as (select batch, max(created_at) as top from w group by batch),
+marked as (select w.*, created_at <= (select max(top) from top where top.batch <= w.batch - 2) - interval 60 day as late,
+  row_number() over (partition by job_id, attempt, relative_path, size_bytes, digest, created_at, tiebreak order by batch) as nth from w),
+fated as (select m.*, coalesce(late, false) as too_late, exists (select 1 from jobs j where j.id = m.job_id and j.attempt = m.attempt and j.worker_id = m.worker_id) as owns from marked m)
+select cast(batch as bigint) as batch_id, count(case when not too_late and nth = 1 and owns then 1 end) as accepted, count(case when not too_late and nth = 1 and not owns then 1 end) as stale,
+  count(case when too_late then 1 end) as too_late, count(case when not too_late and nth > 1 then 1 end) as repeated from fated group by batch"""
+
+
+@check("l4_write_counts_stream", _COUNTS_SQL)
+def l4_counts(fx):
+    """Four arrivals, each a mix of all dates, so that the watermark passes most of what comes later."""
+    writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))
+    folder, out = scratch(fx.spark, "arrivals"), scratch(fx.spark, "counted")
+    for i in range(4):
+        writes.filter(F.ascii("tiebreak") % 4 == i).repartition(4).write.mode("append").parquet(folder)
+    stream = fx.spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    keys = ["job_id", "attempt", "relative_path", "size_bytes", "digest", "created_at", "tiebreak"]
+    marks = {"accepted": F.col("accepted"), "stale": ~F.col("accepted")}
+    query, drops = sinks.counted_sink(
+        stream, out, scratch(fx.spark, "state"), lambda batch: live.write_outcomes(batch, fx.jobs), marks, "created_at", "60 days", keys
+    )
+    query.awaitTermination()
+    drops.wait()
+    return sinks.read_counts(fx.spark, out).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
 @check(
     "l5_pair_calls_stream", f"with {_CALLS} select scope, call_id, name, exception, round(latency_seconds, 6) as latency_seconds from c"
 )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tallyframe.operators.state import upsert_latest
 from tallyframe.sources import versions
@@ -96,6 +98,74 @@ def lookup_sink(
     return _trigger(writer, every).start()
 
 
+class DropCounts(StreamingQueryListener):
+    """Writes what a query's state operators dropped, one row per micro-batch; ``wait`` until the query's last row is written."""
+
+    def __init__(self, spark: SparkSession, name: str, path: str):
+        self.spark, self.name, self.path, self._run, self._done = spark, name, path, None, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self._run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name != self.name:
+            return
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        again = sum(o.customMetrics.get("numDroppedDuplicateRows", 0) for o in p.stateOperators)
+        row = self.spark.createDataFrame([(late, again)], "too_late bigint, repeated bigint").coalesce(1)
+        row.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self._run:
+            self._done.set()
+
+    def wait(self, seconds: float = 60.0) -> None:
+        """Progress reaches listeners after the query has gone on, so the last row may come after its end."""
+        if not self._done.wait(seconds):
+            raise TimeoutError(f"no end of query {self.name} within {seconds} s")
+        self.spark.streams.removeListener(self)
+
+
+def counted_sink(
+    stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame], marks: dict[str, Column],
+    ts: str, delay: str, keys: Sequence[str], every: str | None = None,
+) -> tuple[StreamingQuery, DropCounts]:
+    """``lookup_sink`` that takes each key once within ``delay`` and counts per micro-batch what becomes of the rows.
+
+    ``marks`` name conditions on the rows of ``step(batch)``; they are counted while the output is written, without a second
+    pass. Rows behind the watermark and repeated keys never reach ``step``: the state operator counts them and a listener writes
+    its numbers. State is one entry per key for ``delay``. After a failure a batch overwrites its own output and marks;
+    a driver lost between a batch and its progress report loses that batch's dropped counts, which ``read_counts`` shows as NULL.
+    """
+    spark, name = stream.sparkSession, f"counted-{uuid.uuid4().hex}"
+    drops = DropCounts(spark, name, f"{path}/dropped")
+    once = as_event_time(stream, ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        seen, out = Observation(), step(batch)
+        counts = [F.count(F.when(c, 1)).alias(m) for m, c in marks.items()]
+        out.observe(seen, *counts).write.mode("overwrite").parquet(f"{path}/out/{BATCH}={batch_id}")
+        row = spark.createDataFrame([tuple(seen.get[m] for m in marks)], ", ".join(f"`{m}` bigint" for m in marks)).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{path}/marks/{BATCH}={batch_id}")
+
+    spark.streams.addListener(drops)
+    writer = once.writeStream.queryName(name).outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start(), drops
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id``, the marks, ``too_late`` and ``repeated`` of a ``counted_sink``; batches without any of them are left out."""
+    marks = spark.read.parquet(f"{path}/marks")
+    both = marks.join(spark.read.parquet(f"{path}/dropped"), BATCH, "left")
+    told = [c for c in both.columns if c != BATCH]
+    return both.filter(F.greatest(*[F.coalesce(c, F.lit(1 if c == "too_late" else 0)) for c in told]) > 0)
+
+
 def versioned_sink(
     stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], keep: str = "last",
     name: str = "stream", every: str | None = None, buckets: int = 64,

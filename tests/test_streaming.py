@@ -178,3 +178,31 @@ def test_follow_runs_reads_each_file_once_and_only_under_the_root(spark, tmp_pat
     assert sorted((r.program, r.version, r.run_number, r.eval_number, r.example_idx) for r in batch.collect()) == want
     put("None/null/results/0009/evals/9999", 6)
     assert take() == sorted([*want, ("None", "null", 9, 9999, 6)])
+
+
+def test_counted_sink_tells_accepted_stale_late_and_repeated(spark, tmp_path):
+    """The watermark of the batch before last decides what is late; a repeat counts, also one with NULL key parts."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    batches = [[(1, "a", at(100)), (1, "a", at(100)), (None, "a", at(90))], [(2, "b", at(300))], [(None, "a", at(90)), (1, "b", at(85)), (3, "b", at(70))], [(4, "a", at(200)), (5, "a", at(290))]]
+    stream = _folder(spark, batches, "id long, w string, ts timestamp", str(tmp_path / "in"))
+    owners = lambda b: b.withColumn("accepted", F.col("w") == "a")
+    marks = {"accepted": F.col("accepted"), "stale": ~F.col("accepted")}
+    query, drops = sinks.counted_sink(stream, str(tmp_path / "c"), str(tmp_path / "state"), owners, marks, "ts", "20 seconds", ["id", "w", "ts"])
+    query.awaitTermination()
+    drops.wait()
+    got = sorted((r.batch_id, r.accepted, r.stale, r.too_late, r.repeated) for r in sinks.read_counts(spark, str(tmp_path / "c")).collect())
+    # Late thresholds: none, none, 80 (after batch 0), 280 (after batch 1).
+    assert got == [(0, 2, 0, 0, 1), (1, 0, 1, 0, 0), (2, 0, 1, 1, 1), (3, 1, 0, 1, 0)]
+    assert spark.read.parquet(str(tmp_path / "c" / "out")).count() == 5
+
+
+def test_versioned_sink_makes_a_version_per_batch_and_none_for_replays(spark, tmp_path):
+    from tallyframe.sources import versions
+
+    root = str(tmp_path / "table")
+    batches = [[("a", at, 1) for at in (1, 2)], [("a", 1, 3), ("b", 1, 4)]]
+    stream = _folder(spark, batches, "k string, at int, v int", str(tmp_path / "in"))
+    for state in ("s1", "s1", "s2"):  # the third start has lost its checkpoint: all batches come again
+        sinks.versioned_sink(stream, root, str(tmp_path / state), ["k"], ["at"], name="q").awaitTermination()
+    assert sorted(map(tuple, versions.read_version(spark, root).collect())) == [("a", 2, 1), ("b", 1, 4)]
+    assert versions.newest(spark, root).version == 1
