@@ -267,6 +267,7 @@ def running_progress(
             # milliseconds, so that squares keep their precision
             Running("__sq", "sum", (lat * 1000) * (lat * 1000)),
         ],
+        sparse=True,
     )
     totals = durable(results.groupBy(F.col(run).alias("__run")).agg(F.count(F.lit(1)).alias("total")), "totals")
     out = out.join(totals, F.col(run).eqNullSafe(F.col("__run"))).drop("__run")
@@ -337,7 +338,7 @@ def within_error_budget(
     """Rows of a run up to and including the one whose error exceeds the budget."""
     bad = F.when(F.col("error").isNotNull(), 1).otherwise(0)
     out = running(
-        results, [run], [F.col(seq)], int_chunk(seq, rows_per_chunk), [Running("errors_before", "sum", bad, before=True)]
+        results, [run], [F.col(seq)], int_chunk(seq, rows_per_chunk), [Running("errors_before", "sum", bad, before=True)], sparse=True
     )
     return out.filter(F.col("errors_before") <= max_errors)
 

@@ -100,6 +100,7 @@ def attempt_progress(best: DataFrame, example: str = "example_idx", predictor: s
             Running("__sum", "sum", F.col("best_score")),
             Running("perfect_so_far", "sum", F.col("achieved_perfect").cast("bigint")),
         ],
+        sparse=True,
     )
     return out.withColumn("avg_so_far", F.col("__sum") / F.col("done")).drop("__sum")
 

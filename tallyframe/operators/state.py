@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from tallyframe.plans.durable import durable
-from tallyframe.plans.ordered import int_chunk, row_numbers
+from tallyframe.plans.ordered import int_chunk, prior_totals, row_numbers
 
 
 def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -123,9 +123,10 @@ def allocate(
     local = narrow.withColumn("__p", F.row_number().over(inside))
     local = local.withColumn("__lift", F.max(F.col("__seed") + 1 - F.col("__p")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     chunks = local.groupBy(*scope, "__c").agg(F.count(F.lit(1)).alias("__n"), F.max("__lift").alias("__top"))
-    earlier = W.partitionBy(*scope).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
-    counted = chunks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    carried = counted.withColumn("__carry", F.max(F.col("__top") - F.col("__before")).over(earlier))
+    # Ids with holes can leave one row to a chunk, so the carries are bounded as in ``running(sparse=True)``.
+    counted = prior_totals(chunks, scope, "__c", {"__before": ("sum", "__n")}).fillna(0, ["__before"])
+    lifted = counted.withColumn("__over", F.col("__top") - F.col("__before"))
+    carried = prior_totals(lifted, scope, "__c", {"__carry": ("max", "__over")})
     out = local.join(carried.select(*scope, "__c", "__before", "__carry"), [*scope, "__c"])
     shift = F.greatest("__carry", F.col("__lift") - F.col("__before"))
     return out.select(*scope, order, (F.col("__before") + F.col("__p") + shift).cast("bigint").alias("run_number"))

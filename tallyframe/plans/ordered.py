@@ -24,7 +24,7 @@ GROUP = "__group"
 
 
 def int_chunk(col: str | Column, rows: int = ROWS_PER_CHUNK) -> Column:
-    """Chunks of at most ``rows`` rows for an integer order that is unique in its group."""
+    """Chunks of at most ``rows`` rows for an integer order that is unique in its group (with holes, use ``sparse``)."""
     return F.floor(F.col(col) / rows if isinstance(col, str) else col / rows).cast("bigint")
 
 
@@ -74,8 +74,13 @@ def running(
     order: Sequence[str | Column],
     chunk: Column,
     values: Sequence[Running],
+    sparse: bool = False,
 ) -> DataFrame:
-    """Add running values per key; equal to an unbounded-preceding window over ``keys``."""
+    """Add running values per key; equal to an unbounded-preceding window over ``keys``.
+
+    Set ``sparse`` where the chunk follows values that may have holes: a key may then have as many chunks as rows, and
+    what is carried from chunk to chunk is bounded by ``prior_totals``. Otherwise a key must have few chunks.
+    """
     keys, order = list(keys), list(order)
     slots = [f"__v{i}" for i in range(len(values))]
     # One struct as group key: its NULL parts compare equal, so the window and the join share
@@ -95,18 +100,19 @@ def running(
             for i, (s, v) in enumerate(zip(slots, values))
         ]
     )
-    earlier = (
-        W.partitionBy(*[f"{GROUP}.k{i}" for i in range(len(keys))])
-        .orderBy(f"{GROUP}.chunk")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    carry = totals.select(
-        GROUP,
-        *[
-            _fold("sum" if v.kind == "count" else v.kind, F.col(f"__t{i}")).over(earlier).alias(f"__c{i}")
-            for i, v in enumerate(values)
-        ],
-    )
+    folds = {f"__c{i}": ("sum" if v.kind == "count" else v.kind, f"__t{i}") for i, v in enumerate(values)}
+    if sparse:
+        flat = totals.select(
+            *[F.col(f"{GROUP}.k{i}").alias(f"__k{i}") for i in range(len(keys))], F.col(f"{GROUP}.chunk").alias("__at"),
+            *[t for _, t in folds.values()],
+        )
+        names = [f"__k{i}" for i in range(len(keys))]
+        told = prior_totals(flat, names, "__at", folds)
+        group = F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)], F.col("__at").alias("chunk"))
+        carry = told.select(group.alias(GROUP), *folds)
+    else:
+        earlier = _earlier([f"{GROUP}.k{i}" for i in range(len(keys))], f"{GROUP}.chunk")
+        carry = totals.select(GROUP, *[_fold(kind, F.col(t)).over(earlier).alias(c) for c, (kind, t) in folds.items()])
 
     inside = W.partitionBy(GROUP).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
@@ -127,6 +133,36 @@ def running(
     )
 
 
+def _earlier(keys: Sequence[str], chunk: str):
+    return W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+
+
+#: A window over the chunks of one key takes at most so many; a key with more is carried in two levels.
+CARRY_ROWS = 1 << 20
+
+
+def widest(rows: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has most of them."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
+def prior_totals(totals: DataFrame, keys: Sequence[str], chunk: str, folds: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add to a table of one row per (key, chunk) what a key's earlier chunks come to: ``{name: (kind, column)}``.
+
+    The rows are written and counted. While no key has over CARRY_ROWS of them, one window per key folds them; beyond, they
+    are cut into ranges of about CARRY_ROWS rows, so a key has at most rows / CARRY_ROWS ranges to carry in turn.
+    Both ways give the same rows; a sum before the first chunk is NULL in one and 0 in the other.
+    """
+    rows = durable(totals, "totals")
+    if widest(rows, keys) <= CARRY_ROWS:
+        earlier = _earlier(keys, chunk)
+        return rows.select(*rows.columns, *[_fold(kind, F.col(t)).over(earlier).alias(c) for c, (kind, t) in folds.items()])
+    ranged = range_chunks(rows, keys, [F.col(chunk)], -(-rows.count() // CARRY_ROWS))
+    steps = [Running(f"__p{i}", kind, F.col(t), before=True) for i, (kind, t) in enumerate(folds.values())]
+    told = running(ranged, keys, [F.col(chunk)], F.col(CHUNK), steps)
+    return told.select(*rows.columns, *[F.col(f"__p{i}").alias(c) for i, c in enumerate(folds)])
+
+
 def range_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], partitions: int | None = None
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Driver-held parameter tables (prices, grids, rules): small by construction, and checked."""
+"""Driver-held parameter tables (prices, grids, rules): broadcast while they are short."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ MAX_PARAM_ROWS = 10_000
 
 
 def param_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A parameter list as a broadcast relation; refuses lists that are really data."""
-    if len(rows) > MAX_PARAM_ROWS:
-        raise ValueError(f"{len(rows)} rows is data, not a parameter list; read it as a table")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A parameter list as a relation: broadcast up to MAX_PARAM_ROWS rows, beyond that joined as its size says."""
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= MAX_PARAM_ROWS else table

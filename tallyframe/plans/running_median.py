@@ -61,7 +61,7 @@ def running_median(
 ) -> DataFrame:
     """``(run, seq, name)``: median of all values up to and including each row; ``seq`` is unique per run."""
     spark = df.sparkSession
-    placed = running(df.select(run, seq, value), [run], [F.col(seq)], int_chunk(seq, rows_per_block), [Running("__pos", "count")])
+    placed = running(df.select(run, seq, value), [run], [F.col(seq)], int_chunk(seq, rows_per_block), [Running("__pos", "count")], True)
     placed = durable(placed.withColumn("__block", F.floor((F.col("__pos") - 1) / rows_per_block).cast("bigint")))
     last_block = placed.agg(F.max("__block")).first()[0] or 0
     own = placed.select(run, "__block", F.col("__pos"), F.col(seq), F.col(value).alias("__x"), F.lit(0).cast("bigint").alias("__below"))
@@ -133,7 +133,7 @@ def running_median_sketch(
     a row's own block is folded in as a running sketch. No value is sent to another block, so the cost stays
     linear for runs of any length.
     """
-    placed = running(df.select(run, seq, value), [run], [F.col(seq)], int_chunk(seq, rows_per_block), [Running("__pos", "count")])
+    placed = running(df.select(run, seq, value), [run], [F.col(seq)], int_chunk(seq, rows_per_block), [Running("__pos", "count")], True)
     placed = durable(placed.withColumn("__block", F.floor((F.col("__pos") - 1) / rows_per_block).cast("bigint")))
     x = F.col(value).cast("double")
     sketches = placed.groupBy(F.col(run).alias("__run"), F.col("__block").alias("__b")).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("__s"))

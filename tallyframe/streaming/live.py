@@ -162,7 +162,7 @@ def ingest_once(lines: DataFrame, delay: str, keys: Sequence[str] = ("job_id", "
 def sequence_gaps(rows: DataFrame, job: str = "job_id", seq: str = "seq", rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """``(job, after_seq, before_seq, missing)`` for every hole between neighbouring sequence numbers."""
     marks = rows.select(job, seq).distinct()
-    linked = running(marks, [job], [F.col(seq)], int_chunk(seq, rows_per_chunk), [Running("after_seq", "max", F.col(seq), before=True)])
+    linked = running(marks, [job], [F.col(seq)], int_chunk(seq, rows_per_chunk), [Running("after_seq", "max", F.col(seq), before=True)], True)
     return linked.filter(F.col(seq) - F.col("after_seq") > 1).select(
         job, "after_seq", F.col(seq).alias("before_seq"), (F.col(seq) - F.col("after_seq") - 1).alias("missing")
     )

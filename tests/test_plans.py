@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyframe.functions.exprs import digest_order
+from tallyframe.plans import ordered
 from tallyframe.plans.durable import scratch, shared_dir
 from tallyframe.plans.ordered import CHUNK, Running, first_n, hash_chunk, int_chunk, page_of, range_chunks, row_numbers, running
 from tallyframe.plans.params import MAX_PARAM_ROWS, param_table
@@ -126,9 +127,61 @@ def test_running_median(spark, block):
             assert got[(k, i)] == pytest.approx(statistics.median(xs[: i + 1]), abs=1e-12)
 
 
-def test_param_tables_refuse_data(spark):
-    with pytest.raises(ValueError):
-        param_table(spark, [("m", 1.0)] * (MAX_PARAM_ROWS + 1), "m string, p double")
+def test_long_param_tables_are_joined_by_their_size(spark):
+    for n, hinted in ((MAX_PARAM_ROWS, True), (MAX_PARAM_ROWS + 1, False)):
+        table = param_table(spark, [(f"m{i}", float(i)) for i in range(n)], "m string, p double")
+        assert table.count() == n and ("Hint broadcast" in table._jdf.queryExecution().logical().toString()) == hinted
+
+
+@pytest.fixture
+def short_carry(monkeypatch):
+    """Carries of at most 500 chunks to a window; what each window would have had to take is noted."""
+    seen, real = [], ordered.widest
+    monkeypatch.setattr(ordered, "CARRY_ROWS", 500)
+    monkeypatch.setattr(ordered, "widest", lambda rows, keys: seen.append(real(rows, keys)) or seen[-1])
+    return seen
+
+
+def test_sparse_numbers_are_carried_in_two_levels(spark, short_carry):
+    """Every row its own chunk, one key with most of them, a NULL key; also no key at all."""
+    far = F.col("id") * (1 << 19)
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 < 9, "cold").alias("k"), far.alias("seq"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") * 37) % 101).alias("v"),
+    )
+    for keys in (["k"], []):
+        w = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+        want = df.select(
+            "k", "seq", F.count(F.lit(1)).over(w).alias("count"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("sum"),
+            F.max("v").over(w).alias("max"), F.last("v", True).over(w).alias("last"),
+        )
+        values = [Running("count", "count"), *[Running(n, n, F.col("v")) for n in ("sum", "max", "last")]]
+        got = running(df, keys, [F.col("seq")], int_chunk("seq"), values, sparse=True)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert short_carry == [9600, 12_000]  # without the second level one window would have taken these
+
+
+def test_allocation_over_sparse_ids(spark, short_carry):
+    from tallyframe.operators.state import allocate
+
+    rnd = random.Random(3)
+    rows = [("a" if i % 9 else "b", i << 20, rnd.choice([None, 0, rnd.randrange(5000)])) for i in range(3000)]
+    got = {(r.s, r.id): r.run_number for r in allocate(spark.createDataFrame(rows, "s string, id bigint, seed_max bigint"), ["s"]).collect()}
+    last = {}
+    for s, i, seed in sorted(rows, key=lambda r: r[1]):
+        last[s] = max(last.get(s, 0), seed or 0) + 1
+        assert got[(s, i)] == last[s]
+    assert max(short_carry) > 500
+
+
+def test_operators_over_sparse_numbers(spark, short_carry):
+    from tallyframe.operators.scoring import within_error_budget
+    from tallyframe.streaming.live import sequence_gaps
+
+    df = spark.range(2000).select(F.lit("r").alias("run_id"), (F.col("id") * (1 << 20)).alias("seq"), F.when(F.col("id") % 100 == 99, "e").alias("error"))
+    assert within_error_budget(df, 3).count() == 400
+    gaps = sequence_gaps(df.withColumnRenamed("run_id", "job_id")).agg(F.count("*"), F.min("missing"), F.max("missing")).first()
+    assert tuple(gaps) == (1999, (1 << 20) - 1, (1 << 20) - 1)
 
 
 def test_scratch_uses_the_configured_folder(spark):
