@@ -45,9 +45,12 @@ def positions(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def frequencies(df: DataFrame, terms: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(term, n) over all text, of the given terms; 0 where there is none. Counts are summed before the shuffle."""
+    """(term, n) over all text, of the given terms; 0 where there is none. Counts are summed before the shuffle.
+
+    Written and read back: joined by its size, it hands on no partitioning by term, in which the windows' commonest word would be one task.
+    """
     seen = positions(df, text, doc_id).select("term").join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+    return durable(terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")), "frequencies")
 
 
 def lookups(windows: DataFrame, frequency: DataFrame, count: int = LOOKUPS) -> DataFrame:
