@@ -51,24 +51,34 @@ def lease_intervals(
 ) -> DataFrame:
     """Batch twin of ``lease_sessions`` for workers with any number of beats.
 
-    Beats are joined into intervals inside each (worker, time chunk) first. What is left, one row
-    per partial interval, is linked across chunks with running values instead of one window per worker.
+    Beats are joined into intervals inside each (worker, time chunk) first, what is left inside each day of chunks next. A
+    day's beats all come after those of earlier days, so only its first interval can continue an earlier one: one row per
+    (worker, day) carries how many intervals began before it. Beats without a time have no interval.
     """
-    beats = heartbeats.groupBy(worker, F.col(ts).cast("timestamp").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    beats = heartbeats.filter(F.col(ts).isNotNull()).groupBy(worker, F.col(ts).cast("timestamp").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
     inside = W.partitionBy(worker, "__c").orderBy("__t")
     apart = lambda a, b: F.coalesce((F.unix_micros(b) - F.unix_micros(a) > lease_seconds * 1_000_000).cast("int"), F.lit(1))
     tagged = beats.withColumn("__c", time_chunk("__t", chunk_seconds)).withColumn("__p", F.lag("__t").over(inside))
     tagged = tagged.withColumn("__i", F.sum(apart(F.col("__p"), F.col("__t"))).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    partial = durable(
-        tagged.groupBy(worker, "__c", "__i").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"), F.sum("__n").alias("__n"))
+    partial = tagged.groupBy(worker, "__c", "__i").agg(F.min("__t").alias("__from"), F.max("__t").alias("__to"), F.sum("__n").alias("__n"))
+    # A struct as key: its NULL worker joins like any other.
+    day = F.struct(F.col(worker).alias("w"), F.floor(F.col("__c") / 24).cast("bigint").alias("d")).alias("__day")
+    partial = partial.select(day, "__from", "__to", "__n").repartition("__day")  # never by the worker alone
+    row = W.partitionBy("__day").orderBy("__from")
+    began = F.when(F.lag("__to").over(row).isNull(), 0).otherwise(apart(F.lag("__to").over(row), F.col("__from")))
+    local = partial.withColumn("__b", began).withColumn("__l", F.sum("__b").over(row.rowsBetween(W.unboundedPreceding, 0)))
+    days = durable(
+        local.groupBy("__day", "__l").agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"), F.sum("__n").alias("__n")), "days"
     )
-    cut = F.floor(F.col("__c") / 24).cast("bigint")
-    linked = running(partial, [worker], [F.col("__from")], cut, [Running("__prev", "max", F.col("__to"), before=True)])
-    linked = linked.withColumn("__b", apart(F.col("__prev"), F.col("__from")))
-    numbered = running(linked, [worker], [F.col("__from")], cut, [Running("__g", "sum", F.col("__b"))])
+    ends = days.groupBy("__day").agg(F.min("__from").alias("__first"), F.max("__to").alias("__last"), F.max("__l").alias("__more"))
+    order = W.partitionBy("__day.w").orderBy("__day.d")
+    ends = ends.withColumn("__new", apart(F.lag("__last").over(order), F.col("__first")))
+    before = F.sum(F.col("__new") + F.col("__more")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("__more")
+    carried = ends.select("__day", before.alias("__before"))
     lease = F.expr(f"interval {int(lease_seconds)} seconds")
     return (
-        numbered.groupBy(worker, "__g")
+        days.join(carried, "__day")
+        .groupBy(F.col("__day.w").alias(worker), (F.col("__before") + F.col("__l")).alias("__g"))
         .agg(F.min("__from").alias("held_from"), (F.max("__to") + lease).alias("held_until"), F.sum("__n").alias("beats"))
         .drop("__g")
     )
