@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from tallyframe.plans.durable import durable
-from tallyframe.plans.ordered import int_chunk, prior_totals, row_numbers
+from tallyframe.plans.ordered import int_chunk, prior_totals, row_numbers, widest
 
 
 def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -112,8 +112,8 @@ def allocate(
 
     Scope columns are the parent's key, so never NULL. Closed form over the request order: position + running max of (seed + 1 - position). The
     maximum inside a chunk needs only positions inside the chunk; what earlier chunks add is one
-    carried count and one carried maximum. Only the narrow columns travel, and both uses share
-    one exchange.
+    carried count and one carried maximum. Only the narrow columns travel, once: numbered inside their chunks they
+    are written, and the chunks are counted once for both carries.
     """
     scope = list(scope)
     cut = int_chunk(order) if chunk is None else chunk
@@ -122,11 +122,13 @@ def allocate(
     inside = W.partitionBy(*scope, "__c").orderBy(order)
     local = narrow.withColumn("__p", F.row_number().over(inside))
     local = local.withColumn("__lift", F.max(F.col("__seed") + 1 - F.col("__p")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    chunks = local.groupBy(*scope, "__c").agg(F.count(F.lit(1)).alias("__n"), F.max("__lift").alias("__top"))
+    local = durable(local.drop("__seed"), "numbered")
+    chunks = durable(local.groupBy(*scope, "__c").agg(F.count(F.lit(1)).alias("__n"), F.max("__lift").alias("__top")), "totals")
+    most = widest(chunks, scope)
     # Ids with holes can leave one row to a chunk, so the carries are bounded as in ``running(sparse=True)``.
-    counted = prior_totals(chunks, scope, "__c", {"__before": ("sum", "__n")}).fillna(0, ["__before"])
+    counted = prior_totals(chunks, scope, "__c", {"__before": ("sum", "__n")}, most).fillna(0, ["__before"])
     lifted = counted.withColumn("__over", F.col("__top") - F.col("__before"))
-    carried = prior_totals(lifted, scope, "__c", {"__carry": ("max", "__over")})
+    carried = prior_totals(lifted, scope, "__c", {"__carry": ("max", "__over")}, most)
     out = local.join(carried.select(*scope, "__c", "__before", "__carry"), [*scope, "__c"])
     shift = F.greatest("__carry", F.col("__lift") - F.col("__before"))
     return out.select(*scope, order, (F.col("__before") + F.col("__p") + shift).cast("bigint").alias("run_number"))

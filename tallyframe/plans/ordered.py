@@ -146,15 +146,17 @@ def widest(rows: DataFrame, keys: Sequence[str]) -> int:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
 
 
-def prior_totals(totals: DataFrame, keys: Sequence[str], chunk: str, folds: dict[str, tuple[str, str]]) -> DataFrame:
+def prior_totals(
+    totals: DataFrame, keys: Sequence[str], chunk: str, folds: dict[str, tuple[str, str]], most: int | None = None
+) -> DataFrame:
     """Add to a table of one row per (key, chunk) what a key's earlier chunks come to: ``{name: (kind, column)}``.
 
-    The rows are written and counted. While no key has over CARRY_ROWS of them, one window per key folds them; beyond, they
+    The rows are written and counted, unless ``most`` says what ``widest`` found for them. While no key has over CARRY_ROWS of them, one window per key folds them; beyond, they
     are cut into ranges of about CARRY_ROWS rows, so a key has at most rows / CARRY_ROWS ranges to carry in turn.
     Both ways give the same rows; a sum before the first chunk is NULL in one and 0 in the other.
     """
-    rows = durable(totals, "totals")
-    if widest(rows, keys) <= CARRY_ROWS:
+    rows = totals if most is not None and most <= CARRY_ROWS else durable(totals, "totals")
+    if (widest(rows, keys) if most is None else most) <= CARRY_ROWS:
         earlier = _earlier(keys, chunk)
         return rows.select(*rows.columns, *[_fold(kind, F.col(t)).over(earlier).alias(c) for c, (kind, t) in folds.items()])
     ranged = range_chunks(rows, keys, [F.col(chunk)], -(-rows.count() // CARRY_ROWS))
