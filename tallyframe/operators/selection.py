@@ -196,14 +196,19 @@ def pool_sizes(routed: DataFrame) -> DataFrame:
     return routed.groupBy(F.coalesce("route", F.lit("unroutable")).alias("route")).agg(F.count(F.lit(1)).alias("size"))
 
 
-def _epoch_batches(pooled: DataFrame, size: int, seed: int, key: str) -> DataFrame:
+def _epoch_batches(pooled: DataFrame, size: int, seed: int, key: str, most: int | None = None) -> DataFrame:
     """Cut every (route, epoch) into batches in digest order; the incomplete tail is dropped.
 
     Expects ``route``, ``epoch``, ``pool``. Positions come from digest-prefix chunks, so one huge
-    pool is numbered by many tasks.
+    pool is numbered by many tasks. Where only the first ``most`` rows of a (route, epoch) are wanted, the tasks that read
+    the pool keep no more than those, and the pool is neither shuffled nor ranked whole.
     """
     tagged = pooled.withColumn("__digest", F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", key).cast("binary")))
-    numbered = row_numbers(tagged, ["route", "epoch"], [F.col("__digest"), F.col(key)], "__rn", hash_chunk(F.col("__digest")))
+    keys, order = ["route", "epoch"], [F.col("__digest"), F.col(key)]
+    if most is None:
+        numbered = row_numbers(tagged, keys, order, "__rn", hash_chunk(F.col("__digest")))
+    else:
+        numbered = first_n(tagged, keys, order, most, rank="__rn")
     batch = F.floor((F.col("__rn") - 1) / size).cast("bigint")
     whole = (F.col("pool") < size) | ((F.col("batch") + 1) * size <= F.col("pool"))
     return numbered.withColumn("batch", batch).filter(whole).drop("__digest", "__rn")
@@ -240,7 +245,7 @@ def iteration_batches(
         "route", "pool", per_epoch.cast("bigint").alias("__per"), own.alias("__own"), F.ceil(turns / per_epoch).cast("int").alias("__epochs")
     ).filter("__epochs > 0")
     spread = pools.join(sizes, "route").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
-    cut = _epoch_batches(spread, size, seed, key)
+    cut = _epoch_batches(spread, size, seed, key, size * iterations)  # no route has more turns
     turn_no, slots = F.col("epoch") * F.col("__per") + F.col("batch"), F.size("__own")
     iteration = F.floor(turn_no / slots) * n + F.get("__own", (turn_no % slots).cast("int"))
     out = cut.select(iteration.cast("bigint").alias("iteration"), "route", key).filter(F.col("iteration") < iterations)
@@ -268,7 +273,7 @@ def eval_schedule(
     per_epoch = F.greatest(F.floor(F.col("pool") / size), F.lit(1))
     spread = counted.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(trials) / per_epoch).cast("int") - 1)))
     trial = F.col("epoch") * per_epoch + F.col("batch") + 1
-    mini = _epoch_batches(spread, size, seed, key).select(trial.cast("bigint").alias("trial"), F.lit("minibatch").alias("kind"), key)
+    mini = _epoch_batches(spread, size, seed, key, size * trials).select(trial.cast("bigint").alias("trial"), F.lit("minibatch").alias("kind"), key)
     mini = mini.filter(F.col("trial") <= trials)
     if trials < every:
         return mini
