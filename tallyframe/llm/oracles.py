@@ -76,8 +76,10 @@ known as (select doc_id, min(quality) = 1 as clean from labels where doc_id is n
 tests as (select lang, rule, cutoff, count(*) filter (clean) as n, count(*) filter (clean and out) as k, count(*) filter (not clean and out) as caught
   from long join known using (doc_id) where not base_failed group by lang, rule, cutoff),
 tails as (select *, case when k > n * {risk!r} then 1 else list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) end as p from tests),
-safe as (select *, row_number() over (partition by lang, rule order by caught desc, cutoff desc) as r from tails
-  where n > 0 and caught > 0 and p <= {rules.DELTA!r} / (select greatest(count(*), 1) from tests)),
+chains as (select greatest(count(*), 1) as m from (select distinct lang, rule from tests) t),
+steps as (select *, max(case when n > 0 and p <= {rules.DELTA!r} / (select m from chains) then 0 else 1 end)
+  over (partition by lang, rule order by cutoff desc rows between unbounded preceding and current row) as failed from tails),
+safe as (select *, row_number() over (partition by lang, rule order by caught desc, cutoff desc) as r from steps where failed = 0 and caught > 0),
 broken as (select rid, string_agg(l.rule, ',' order by case l.rule {order} end) as rejected_by from long l join safe s on l.lang is not distinct from s.lang and l.rule = s.rule and l.cutoff = s.cutoff
   where s.r = 1 and out group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by

@@ -2,8 +2,9 @@
 
 Method: each rule rejects texts whose measure is at or above a cutoff. On labelled holdouts every (stratum,
 rule, cutoff) is tested with the exact binomial tail: if clean documents were rejected with
-probability ``risk`` or more, so few rejections would have had at most the p-value's chance. Cutoffs whose
-p-value passes Bonferroni's correction over all tests are safe, and among the safe ones the one that
+probability ``risk`` or more, so few rejections would have had at most the p-value's chance. The cutoffs of one rule in
+one stratum are tested in a fixed order, the one that rejects fewest first, up to the first that fails; so only the number of
+(stratum, rule) chains needs Bonferroni's correction, not that of all cutoffs. Among the cutoffs passed the one that
 rejects most bad documents is taken. Everything is DataFrame work; no Python runs on the executors.
 """
 
@@ -13,6 +14,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from tallyframe.plans.durable import durable
 
@@ -133,9 +135,16 @@ def tests_of(holdout: DataFrame, stratum: str, risk: float = RISK) -> DataFrame:
 
 
 def choose_cutoffs(tests: DataFrame, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the safe cutoff that catches most, the highest of equals; strata without one are absent."""
-    m = max(tests.count(), 1)
-    safe = tests.filter((F.col("n") > 0) & (F.col("caught") > 0) & (F.col("p_value") <= delta / m))
+    """(stratum, rule, cutoff): the safe cutoff that catches most, the highest of equals; chains without one are absent.
+
+    A cutoff is safe if it and all higher ones of its (stratum, rule) have a p-value of at most ``delta`` over the number of
+    chains: a wrong one is only reached through the first wrong one of its chain, so no more than one error a chain is
+    at stake. A chain has as many rows as its rule has cutoffs.
+    """
+    chains = max(tests.select("stratum", "rule").distinct().count(), 1)
+    down = W.partitionBy("stratum", "rule").orderBy(F.col("cutoff").desc()).rowsBetween(W.unboundedPreceding, 0)
+    failed = ((F.col("n") == 0) | (F.col("p_value") > delta / chains)).cast("int")
+    safe = tests.withColumn("failed", F.max(failed).over(down)).filter((F.col("failed") == 0) & (F.col("caught") > 0))
     return safe.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("caught", "cutoff")).alias("cutoff"))
 
 

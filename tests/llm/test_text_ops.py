@@ -259,6 +259,36 @@ def test_rules_keep_their_promise(spark):
     assert all(r.kept for r in got if r.doc_id % 100 == 0)
 
 
+def test_cutoffs_are_tested_in_order_up_to_the_first_failure(spark):
+    """Against plain Python: random chains, null stratum, ties in ``caught``, a chain without clean rows."""
+    rng = np.random.default_rng(5)
+    cases = [
+        (stratum, rule, cutoff, 0 if (stratum, rule) == ("b", "repeat_share") else 2000, 0, int(rng.integers(0, 4)), float(rng.choice([1e-6, 1e-4, 0.004, 0.5], p=[0.6, 0.2, 0.1, 0.1])))
+        for stratum in ("a", "b", None)
+        for rule, cuts in rules.GRID.items()
+        for cutoff in cuts
+    ]
+    want, limit = {}, rules.DELTA / (3 * len(rules.GRID))
+    for stratum, rule, cutoff, n, _, caught, p in sorted(cases, key=lambda c: (str(c[0]), c[1], -c[2])):
+        chain = want.setdefault((stratum, rule), {"open": True, "best": None})
+        chain["open"] = chain["open"] and n > 0 and p <= limit
+        if chain["open"] and caught and (chain["best"] is None or caught > chain["best"][0]):
+            chain["best"] = caught, cutoff
+    df = spark.createDataFrame(cases, "stratum string, rule string, cutoff double, n int, k int, caught int, p_value double")
+    got = {(r.stratum, r.rule): r.cutoff for r in rules.choose_cutoffs(df).collect()}
+    assert got == {key: chain["best"][1] for key, chain in want.items() if chain["best"]} and got
+    assert rules.choose_cutoffs(df.limit(0)).count() == 0
+
+
+def test_rules_need_no_more_labels_than_stated(spark):
+    """Of four strata the one with 1,495 clean rows, none rejected, gets a cutoff; 1,494 are one too few."""
+    p = rules.RISK / len(rules.GRID)
+    cases = [(s, r, c, n, 0, 5) for s, n in (("a", 1495), ("b", 1494), ("c", 10), ("d", 10)) for r, cuts in rules.GRID.items() for c in cuts]
+    df = spark.createDataFrame(cases, "stratum string, rule string, cutoff double, n int, k int, caught int")
+    got = rules.choose_cutoffs(df.withColumn("p_value", rules.binomial_tail(F.col("k"), F.col("n"), p))).collect()
+    assert {r.stratum for r in got} == {"a"} and len(got) == len(rules.GRID)
+
+
 def test_rules_on_awkward_rows(spark, odd, none, pairs):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, None), (None, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     got = rules.quality_rules(odd, labels)
