@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from tallyframe.plans import ordered
 from tallyframe.plans.durable import durable
-from tallyframe.plans.ordered import int_chunk, prior_totals, row_numbers, widest
+from tallyframe.plans.ordered import int_chunk, prior_totals, row_numbers
 
 
 def upsert_dim(existing: DataFrame | None, facts: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
@@ -124,7 +125,7 @@ def allocate(
     local = local.withColumn("__lift", F.max(F.col("__seed") + 1 - F.col("__p")).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     local = durable(local.drop("__seed"), "numbered")
     chunks = durable(local.groupBy(*scope, "__c").agg(F.count(F.lit(1)).alias("__n"), F.max("__lift").alias("__top")), "totals")
-    most = widest(chunks, scope)
+    most = ordered.widest(chunks, scope)
     # Ids with holes can leave one row to a chunk, so the carries are bounded as in ``running(sparse=True)``.
     counted = prior_totals(chunks, scope, "__c", {"__before": ("sum", "__n")}, most).fillna(0, ["__before"])
     lifted = counted.withColumn("__over", F.col("__top") - F.col("__before"))

@@ -152,7 +152,7 @@ def test_sparse_numbers_are_carried_in_two_levels(spark, short_carry):
     for keys in (["k"], []):
         w = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
         want = df.select(
-            "k", "seq", F.count(F.lit(1)).over(w).alias("count"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("sum"),
+            "k", "seq", "v", F.count(F.lit(1)).over(w).alias("count"), F.coalesce(F.sum("v").over(w), F.lit(0)).alias("sum"),
             F.max("v").over(w).alias("max"), F.last("v", True).over(w).alias("last"),
         )
         values = [Running("count", "count"), *[Running(n, n, F.col("v")) for n in ("sum", "max", "last")]]
