@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -104,60 +105,90 @@ def write_outcomes(writes: DataFrame, jobs: DataFrame, job: str = "job_id") -> D
     ).drop("__owner")
 
 
+def _filled(df: DataFrame, c: str) -> Column:
+    """Whole numbers with NULL as 0: pandas would turn a frame's numbers into floats beside one NULL."""
+    kind = df.schema[c].dataType
+    return F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c) if isinstance(kind, T.IntegralType) else F.col(c)
+
+
+def _with_held(state: GroupState, new: list[pd.DataFrame]) -> pd.DataFrame | None:
+    """New rows after those a bucket holds; None without any."""
+    frames = [pdf for pdf in new if len(pdf)]
+    if state.exists:
+        frames.insert(0, pa.ipc.open_stream(state.get[0]).read_pandas())
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
+def _hold(state: GroupState, rows: pd.DataFrame, wake_ms: int | None) -> None:
+    """Keep rows as one Arrow stream until the watermark reaches ``wake_ms``; without rows the state ends."""
+    if len(rows):
+        table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+        if wake_ms is not None:
+            state.setTimeoutTimestamp(max(wake_ms, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+
+
+def _same_as_before(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Whether each row has the key of the row before it."""
+    same = np.ones(len(rows), bool)
+    for k in keys:
+        values = rows[k].to_numpy()
+        same[1:] &= values[1:] == values[:-1]
+    same[:1] = False
+    return same
+
+
 def pair_call_stream(
-    events: DataFrame, max_seconds: int, delay: str, keys: Sequence[str] = ("scope", "call_id"), ts: str = "ts"
+    events: DataFrame, max_seconds: int, delay: str, keys: Sequence[str] = ("scope", "call_id"), ts: str = "ts", buckets: int = 512
 ) -> DataFrame:
-    """``usage.pair_calls`` on a stream of start and end events (``kind``, ``name``, ``exception``), with state per call.
+    """``usage.pair_calls`` on a stream of start and end events (``kind``, ``name``, ``exception``), with state per bucket of calls.
 
     Events wait until the watermark has passed them, so they are paired in event order whatever order they came in: a
     repeated start replaces the earlier one, a repeated end is ignored, an id may be used again. An open start is
-    dropped by a timer ``max_seconds`` after it began, so state ends with the calls. Events without a full key drop out.
+    dropped by a timer ``max_seconds`` after it began, so state ends with the calls. Events without a full key or a time drop out.
+
+    Calls are hashed into ``buckets``, and a bucket's events are paired in one pass over arrays, so the cost is that of the
+    events, not of a Python call per call id. A bucket's open events are read and written together: take more buckets where more
+    than some millions of events wait in one. Their number is part of the checkpoint.
     """
-    keys = list(keys)
-    timed = as_event_time(events, ts, delay).select(*keys, ts, F.unix_micros(ts).alias("__t"), "kind", "name", "exception")
-    key_fields = [timed.schema[k] for k in keys]
-    out = T.StructType(
-        [
-            *key_fields,
-            timed.schema["name"],
-            timed.schema["exception"],
-            T.StructField("__from", T.LongType()),
-            T.StructField("__to", T.LongType()),
-        ]
-    )
-    names, limit = out.names, max_seconds * 1_000_000
+    keys, at = list(keys), F.unix_micros(F.col(ts).cast("timestamp"))
+    whole = F.lit(True)
+    for c in (*keys, ts):
+        whole = whole & F.col(c).isNotNull()
+    # Rows that are not whole are not filtered here: they still move the watermark. Their time spreads them over the buckets.
+    bucket = F.pmod(F.xxhash64(*keys, F.when(~whole, at)), F.lit(buckets)).cast("int")
+    timed = as_event_time(
+        events.withColumns({"__bucket": bucket, "__whole": whole, "__t": F.coalesce(at, F.lit(0)), "__end": F.col("kind") != "start"}), ts, delay
+    ).select("__bucket", ts, "__whole", *[_filled(events, k) for k in keys], "__t", F.coalesce("__end", F.lit(True)).alias("__end"), "name", "exception")
+    fields = [*[events.schema[k] for k in keys], events.schema["name"], events.schema["exception"]]
+    out = T.StructType([*fields, T.StructField("__from", T.LongType()), T.StructField("__to", T.LongType())])
+    names, limit, held = out.names, max_seconds * 1_000_000, [*keys, "__t", "__end", "name", "exception"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if any(pd.isna(k) for k in key):  # not filtered before: such rows still move the watermark
+        rows = _with_held(state, [] if state.hasTimedOut else [pdf.loc[pdf["__whole"], held] for pdf in frames])
+        if rows is None:
             yield pd.DataFrame([], columns=names)
             return
-        waiting = json.loads(state.get[0]) if state.exists else []
-        if not state.hasTimedOut:
-            for pdf in frames:
-                waiting += [list(x) for x in zip(pdf["__t"].tolist(), (pdf["kind"] != "start").astype(int).tolist(), pdf["name"].tolist(), pdf["exception"].tolist())]
         passed = state.getCurrentWatermarkMs() * 1000
-        waiting.sort(key=lambda x: x[:2])  # at equal times a start comes before its end
-        pairs, opened, later = [], None, []
-        for event in waiting:
-            if event[0] > passed:
-                later.append(event)
-            elif event[1] == 0:
-                opened = event
-            else:
-                if opened and event[0] - opened[0] <= limit:
-                    pairs.append((*key, opened[2], event[3], opened[0], event[0]))
-                opened = None
-        keep = ([opened] if opened and opened[0] + limit > passed else []) + later
-        if keep:
-            state.update((json.dumps(keep),))
-            wake = keep[0][0] + (0 if later and keep[0] is later[0] else limit)
-            wake = min([wake, *[e[0] for e in later[:1]]])
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, passed // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(pairs, columns=names)
-
-    paired = timed.groupBy(*keys).applyInPandasWithState(step, out, "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+        rows = rows.sort_values([*keys, "__t", "__end"], kind="stable", ignore_index=True)  # at equal times a start comes before its end
+        t, end, done = rows["__t"].to_numpy(), rows["__end"].to_numpy(dtype=bool), rows["__t"].to_numpy() <= passed
+        same = _same_as_before(rows, keys)
+        # An event that the watermark has passed closes or replaces the open start right before it.
+        paired = np.flatnonzero(done & end & same & ~np.roll(end, 1) & (t - np.roll(t, 1) <= limit))
+        followed = np.append(same[1:] & done[1:], False)
+        opened = done & ~end & ~followed & (t + limit > passed)
+        keep = opened | ~done
+        wake = np.where(done, t + limit, t)[keep]
+        _hold(state, rows[keep], int(wake.min()) // 1000 + 1 if len(wake) else None)
+        pairs = rows.loc[paired, [*keys, "name", "exception"]].reset_index(drop=True)
+        pairs["name"] = rows["name"].to_numpy()[paired - 1]
+        yield pairs.assign(__from=t[paired - 1], __to=t[paired])
+
+    paired = timed.groupBy("__bucket").applyInPandasWithState(step, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return paired.select(
         *keys, "name", "exception", F.timestamp_micros("__from").alias("started_at"), F.timestamp_micros("__to").alias("ended_at"),
         ((F.col("__to") - F.col("__from")) / 1e6).alias("latency_seconds"),

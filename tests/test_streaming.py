@@ -206,3 +206,26 @@ def test_versioned_sink_makes_a_version_per_batch_and_none_for_replays(spark, tm
         sinks.versioned_sink(stream, root, str(tmp_path / state), ["k"], ["at"], name="q").awaitTermination()
     assert sorted(map(tuple, versions.read_version(spark, root).collect())) == [("a", 2, 1), ("b", 1, 4)]
     assert versions.newest(spark, root).version == 1
+
+
+def test_calls_of_a_bucket_keep_apart_over_batches_and_large_ids_stay_whole(spark):
+    """300 calls in 3 buckets, half of each call in a later file, with ids beyond a double and rows without a key beside them."""
+    schema = "scope string, call_id bigint, kind string, ts timestamp, name string, exception boolean"
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    base = 2**60
+    starts = [("s", base + i, "start", at(i), f"n{i}", False) for i in range(300)] + [("s", None, "start", at(5), "x", None), (None, 1, "end", at(7), None, None)]
+    ends = [("s", base + i, "end", at(i + 10 + i % 3), None, i % 2 == 0) for i in range(300)]
+    far = [("s", None, "end", at(10**6), "far", False)]
+    out, frames = scratch(spark, "out"), [spark.createDataFrame(x, schema) for x in (starts, ends, far)]
+    sinks.append_sink(live.pair_call_stream(files(spark, *frames), 11, "1 hour", buckets=3), out, scratch(spark, "cp")).awaitTermination()
+    got = sorted((r.call_id, r.name, r.exception, r.latency_seconds) for r in spark.read.parquet(out).collect())
+    assert got == [(base + i, f"n{i}", i % 2 == 0, 10.0 + i % 3) for i in range(300) if i % 3 < 2]
+
+
+def test_pairing_calls_a_bucket_once_a_batch_not_once_a_call(spark):
+    """The Python function runs per bucket: 2,000 calls in 4 buckets leave at most 4 entries of state, where each call was one."""
+    schema = "scope string, call_id bigint, kind string, ts timestamp, name string, exception boolean"
+    rows = spark.range(2000).selectExpr("'s' scope", "id call_id", "'start' kind", "timestamp'2001-01-01 00:00:00' ts", "'n' name", "false exception")
+    query = sinks.append_sink(live.pair_call_stream(files(spark, rows), 60, "1 hour", buckets=4), scratch(spark, "out"), scratch(spark, "cp"))
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
