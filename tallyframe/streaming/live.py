@@ -229,80 +229,88 @@ def gap_monitor(
     return fold_sink(lines, path, checkpoint, step, every)
 
 
-def _thinned(beats: list[int], lease: int) -> list[int]:
-    """Sorted beats without those that stand between two others no more than a lease apart: silences stay the same."""
-    kept: list[int] = []
-    for i, t in enumerate(beats):
-        if not kept or i + 1 == len(beats) or beats[i + 1] - kept[-1] > lease:
-            kept.append(t)
-    return kept
-
+def _needed(workers: np.ndarray, beats: np.ndarray, lease: int) -> np.ndarray:
+    """Which of the beats, sorted by worker and time, are the first or last of their worker in a lease-long slot: the silences stay the same."""
+    slots, new = beats // lease, np.ones(len(beats), bool)
+    new[1:] = (workers[1:] != workers[:-1]) | (slots[1:] != slots[:-1])
+    return new | np.append(new[1:], True)
 
-class _Liveness(StatefulProcessor):
-    """Per worker: the last beat told of, whether it counts as lost, and beats the watermark has not passed."""
 
-    def __init__(self, lease: int) -> None:
-        self.lease = lease
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.told = handle.getValueState("told", "last long, lost boolean")
-        self.waiting = handle.getListState("waiting", "at long")
+def _thinned(beats: list[int], lease: int) -> list[int]:
+    """Sorted beats of one worker without those that no silence begins or ends at."""
+    times = np.asarray(beats, "int64")
+    return times[_needed(np.zeros(len(times)), times, lease)].tolist() if len(times) else []
 
-    def handleInputRows(self, key, rows, timerValues):
-        beats = [x[0] for x in self.waiting.get()] + [t for pdf in rows if len(pdf) for t in pdf["beat"].tolist()]
-        yield self._events(key, beats, timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._events(key, [x[0] for x in self.waiting.get()], timerValues.getCurrentWatermarkInMs() * 1000)
-
-    def _events(self, key, beats: list[int], passed: int) -> pd.DataFrame:
-        beats = _thinned(sorted(set(beats)), self.lease)
-        last, lost = self.told.get() if self.told.exists() else (None, False)
-        events = []
-        while beats and beats[0] < passed:
-            t = beats.pop(0)
-            if last is not None and t - last > self.lease:
-                events += [] if lost else [("lost", last + self.lease)]
-                events.append(("back", t))
-            last, lost = (t if last is None else max(last, t)), False
-        if last is not None and not lost and last + self.lease < passed and not (beats and beats[0] <= last + self.lease):
-            events.append(("lost", last + self.lease))
-            lost = True
-        if last is not None:
-            self.told.update((last, lost))
-        self.waiting.put([(t,) for t in beats]) if beats else self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wake = ([] if last is None or lost else [last + self.lease]) + beats[:1]
-        if wake and key[0] is not None:
-            self.handle.registerTimer(min(wake) // 1000 + 1)
-        rows = [] if key[0] is None else events
-        return pd.DataFrame({"worker": pd.array([key[0]] * len(rows), "object"), "event": pd.array([e for e, _ in rows], "object"), "__at": pd.array([t for _, t in rows], "int64")})
 
-    def close(self) -> None:
-        pass
+#: What a row of a bucket's state says: a beat that waits, or the last beat told of, of a worker alive or lost.
+_WAITS, _ALIVE, _LOST = 0, 1, 2
 
 
-def liveness_events(heartbeats: DataFrame, lease_seconds: int, delay: str, worker: str = "worker_id", ts: str = "ts") -> DataFrame:
+def liveness_events(
+    heartbeats: DataFrame, lease_seconds: int, delay: str, worker: str = "worker_id", ts: str = "ts", buckets: int = 512
+) -> DataFrame:
     """worker, event, at: "lost" a lease after a worker's last beat, sent by a timer without any input, and "back" at its next.
 
     The events equal the silences of ``lease_intervals``, whatever order beats come in within ``delay``. State per worker is one
     beat, one flag and, for the stretch the watermark has not passed, about two beats a lease. Beats are thinned in the
-    reading tasks, so a worker with most of the beats is no hot key. Start it with ``sinks.append_sink(.., rocks=True)``.
+    reading tasks, so a worker with most of the beats is no hot key. Workers are hashed into ``buckets``, and a bucket is
+    told of in one pass over arrays: no Python call per worker. A bucket's state is read and written together; take more
+    buckets for more than some millions of workers. Their number is part of the checkpoint.
     """
     lease = lease_seconds * 1_000_000
 
     def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for name, own in pdf.groupby("worker", dropna=False)["beat"]:
-                kept = _thinned(sorted(set(own.tolist())), lease)
-                yield pd.DataFrame({"worker": pd.array([None if pd.isna(name) else name] * len(kept), "object"), "beat": kept})
+            rows = pdf.sort_values(["worker", "beat"])
+            yield rows[_needed(rows["worker"].to_numpy(), rows["beat"].to_numpy(), lease)] if len(rows) else rows
 
+    beat = F.unix_micros(F.col(ts).cast("timestamp"))
+    # Beats of no worker only move the watermark; their time spreads them over the buckets.
+    bucket = F.pmod(F.xxhash64(worker, F.when(F.col(worker).isNull(), beat)), F.lit(buckets)).cast("int")
     kind = heartbeats.schema[worker].dataType.simpleString()
-    beats = heartbeats.select(F.col(worker).alias("worker"), F.unix_micros(F.col(ts).cast("timestamp")).alias("beat")).filter("beat is not null")
-    timed = beats.mapInPandas(thin, f"worker {kind}, beat bigint").withColumn("__ts", F.timestamp_micros("beat")).withWatermark("__ts", delay)
-    events = timed.groupBy("worker").transformWithStateInPandas(_Liveness(lease), f"worker {kind}, event string, __at bigint", "Append", "EventTime")
+    beats = heartbeats.select(
+        bucket.alias("bucket"), F.col(worker).isNotNull().alias("known"), _filled(heartbeats, worker).alias("worker"), beat.alias("beat")
+    ).filter("beat is not null")
+    thinned = beats.mapInPandas(thin, f"bucket int, known boolean, worker {kind}, beat bigint")
+    timed = thinned.withColumn("__ts", F.timestamp_micros("beat")).withWatermark("__ts", delay)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = [] if state.hasTimedOut else [pdf.loc[pdf["known"], ["worker", "beat"]].assign(told=_WAITS) for pdf in frames]
+        rows = _with_held(state, new)
+        if rows is None:
+            yield pd.DataFrame([], columns=["worker", "event", "__at"])
+            return
+        passed = state.getCurrentWatermarkMs() * 1000
+        # Beats at or before what was told of are old news.
+        rows = rows.sort_values(["worker", "beat", "told"], ascending=[True, True, False], kind="stable")
+        by = rows.groupby("worker", sort=False)["told"]
+        rows = rows[(by.transform("max") == _WAITS) | (by.cummax() != _WAITS)].drop_duplicates(["worker", "beat"]).reset_index(drop=True)
+        waits = rows["told"].to_numpy() == _WAITS
+        rows = rows[~waits | _needed(rows["worker"].to_numpy(), rows["beat"].to_numpy(), lease)].reset_index(drop=True)
+        workers, t, told = rows["worker"].to_numpy(), rows["beat"].to_numpy(), rows["told"].to_numpy()
+        same = _same_as_before(rows, ["worker"])
+        done = (told != _WAITS) | (t < passed)
+        before, lost_before = np.roll(t, 1), np.roll(told, 1) == _LOST
+        back = done & same & (t - before > lease)
+        silent = back & ~lost_before
+        following = np.append(same[1:], False)
+        last = done & ~np.append(same[1:] & done[1:], False)
+        met = following & (np.roll(t, -1) - t <= lease)
+        lost = last & (told != _LOST) & (t + lease < passed) & ~met
+        told = np.where(lost | (last & (told == _LOST)), _LOST, np.where(last, _ALIVE, _WAITS))
+        keep = last | ~done
+        wake = np.where(done, t + lease, t)[keep & (told != _LOST)]
+        _hold(state, rows.assign(told=told)[keep], max(int(wake.min()) // 1000, 0) if len(wake) else None)
+        yield pd.DataFrame(
+            {
+                "worker": np.concatenate([workers[silent], workers[back], workers[lost]]),
+                "event": ["lost"] * int(silent.sum()) + ["back"] * int(back.sum()) + ["lost"] * int(lost.sum()),
+                "__at": np.concatenate([before[silent] + lease, t[back], t[lost] + lease]),
+            }
+        )
+
+    out = f"worker {kind}, event string, __at bigint"
+    events = timed.groupBy("bucket").applyInPandasWithState(step, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
     return events.select(F.col("worker").alias(worker), "event", F.timestamp_micros("__at").alias("at"))
 
 

@@ -229,3 +229,26 @@ def test_pairing_calls_a_bucket_once_a_batch_not_once_a_call(spark):
     query = sinks.append_sink(live.pair_call_stream(files(spark, rows), 60, "1 hour", buckets=4), scratch(spark, "out"), scratch(spark, "cp"))
     query.awaitTermination()
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4
+
+
+def test_liveness_in_few_buckets_equals_the_silences(spark, tmp_path):
+    """Workers of four batches in three buckets, ids beyond a double beside beats of no worker; state is per bucket."""
+    import random
+
+    r, base, lease = random.Random(1), 2**60, 30
+    beats = sorted({(base + r.randrange(40), r.randrange(2000)) for _ in range(1500)}, key=lambda x: r.random())
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    batches = [[(w, at(s)) for w, s in beats[i::3]] + [(None, at(7))] for i in range(3)] + [[(None, at(10**6))]]
+    stream = _folder(spark, batches, "worker_id bigint, ts timestamp", str(tmp_path / "in"))
+    query = sinks.append_sink(live.liveness_events(stream, lease, "1 hour", buckets=3), str(tmp_path / "out"), str(tmp_path / "state"), rocks=True)
+    query.awaitTermination()
+    want = []
+    for w in {w for w, _ in beats}:
+        times = sorted(s for x, s in beats if x == w)
+        for a, b in zip(times, [*times[1:], None]):
+            want += [(w, "lost", a + lease)] if b is None or b - a > lease else []
+            want += [(w, "back", b)] if b is not None and b - a > lease else []
+    rows = spark.read.parquet(str(tmp_path / "out")).selectExpr("worker_id", "event", "unix_timestamp(at) - unix_timestamp(timestamp'2001-01-01 00:00:00') as s")
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    # Three buckets and what beats without a worker leave, which is nothing.
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3
