@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.checks.check_logs import _LATEST, _STATUS, PHASE_SQL, PROGRESS_SQL
@@ -17,11 +19,17 @@ DELAY = "60 days"
 SENTINEL = "2100-01-01 00:00:00"
 
 
-def replay(df: DataFrame, ts: str = "ts", files: int = 4, per_trigger: int = 2, flush: bool = False) -> DataFrame:
-    """The table as a file stream in several micro-batches; ``flush`` ends it with a far-future row."""
+#: Rows of one replayed file at most, about: a task that writes or reads a file does not grow with the table.
+FILE_ROWS = 500_000
+
+
+def replay(df: DataFrame, ts: str = "ts", files: int = 4, flush: bool = False, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The table as a file stream in two micro-batches; ``flush`` ends it with a far-future row. ``files`` at least, in steps of ``files``."""
     spark = df.sparkSession
     folder = scratch(spark, "replay")
+    files *= max(1, math.ceil(df.count() / (files * file_rows)))
     df.repartitionByRange(files, ts).write.parquet(folder)
+    per_trigger = max(1, math.ceil(len(spark.read.schema(df.schema).parquet(folder).inputFiles()) / 2))
     if flush:
         last = [F.lit(SENTINEL).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
         spark.range(1).select(*last).write.mode("append").parquet(folder)

@@ -252,3 +252,13 @@ def test_liveness_in_few_buckets_equals_the_silences(spark, tmp_path):
     assert sorted(map(tuple, rows.collect())) == sorted(want)
     # Three buckets and what beats without a worker leave, which is nothing.
     assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3
+
+
+def test_replayed_files_grow_with_the_table_in_two_batches(spark):
+    from tallyframe.checks.check_streams import looked_up, replay
+
+    rows = spark.range(4000).selectExpr("id", "timestamp_seconds(978307200 + id * 60) ts")
+    for limit, files in ((500_000, 4), (300, 16)):
+        stream, sizes = replay(rows, file_rows=limit), []
+        out = looked_up(stream, lambda b: sizes.append(len(set(r[0] for r in b.selectExpr("input_file_name()").distinct().collect()))) or b)
+        assert out.selectExpr("count(distinct batch_id)", "count(distinct id)").first() == (2, 4000) and sum(sizes) == files
