@@ -15,6 +15,9 @@ DECIMALS = 6  # similarities are rounded, so ties are well defined
 # Covers the rounding of similarities (squared distance moves by 2 per unit) and float error.
 _SLACK = 2 * 2 * 10.0**-DECIMALS
 
+#: Queries that are held against all cells at once, and rows of a frame of visits.
+VISIT_ROWS = 2048
+
 
 def unit_rows(rows: pd.Series) -> np.ndarray:
     m = np.array(rows.tolist(), dtype=np.float64)
@@ -97,6 +100,22 @@ def knn_demos(
     return first_n(partial, ["query_id"], order, k, rank="rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _visits(frames, centres: np.ndarray, cells: np.ndarray, radius: np.ndarray, near_cell: np.ndarray, near_gap: np.ndarray, k: int):
+    """Every query with each cell it must visit, ``VISIT_ROWS`` rows a frame at most: a query may have as many as there are cells."""
+    for whole in frames:
+        for at in range(0, len(whole), VISIT_ROWS):
+            pdf = whole.iloc[at : at + VISIT_ROWS]
+            gap = _gap(unit_rows(pdf["v"]), centres)
+            # k + 1, because the query itself may be among the members
+            reach = gap[:, near_cell] + near_gap
+            bound = np.partition(reach, k, axis=1)[:, k] if reach.shape[1] > k else np.full(len(pdf), np.inf)
+            least = np.maximum(0.0, gap - radius - 1e-6)
+            rows, cols = np.nonzero(least**2 <= (bound**2 + _SLACK)[:, None])
+            for i in range(0, len(rows), VISIT_ROWS):
+                out = pdf.iloc[rows[i : i + VISIT_ROWS]].reset_index(drop=True)
+                yield out.assign(cell=cells[cols[i : i + VISIT_ROWS]].astype("int32"))
+
+
 def _prune(asks: DataFrame, points: DataFrame, k: int, cells: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     """Training rows with their cell, query rows with every cell they must visit, and cell sizes."""
     nonzero = points.filter(F.exists("v", lambda x: x != 0))
@@ -120,15 +139,7 @@ def _prune(asks: DataFrame, points: DataFrame, k: int, cells: int) -> tuple[Data
     near_gap = np.array([r["gap"] for r in nearest])
 
     def visit(frames):
-        for pdf in frames:
-            gap = _gap(unit_rows(pdf["v"]), centres[used])
-            # k + 1, because the query itself may be among the members
-            reach = gap[:, near_cell] + near_gap
-            bound = np.partition(reach, k, axis=1)[:, k] if reach.shape[1] > k else np.full(len(pdf), np.inf)
-            least = np.maximum(0.0, gap - radius - 1e-6)
-            rows, cols = np.nonzero(least**2 <= (bound**2 + _SLACK)[:, None])
-            out = pdf.iloc[rows].reset_index(drop=True)
-            yield out.assign(cell=used[cols].astype("int32"))
+        return _visits(frames, centres[used], used, radius, near_cell, near_gap, k)
 
     visits = asks.mapInPandas(visit, "id bigint, v array<double>, cell int")
     return placed.select("id", "v", "cell"), visits, {c: n for c, (n, _) in shape.items()}

@@ -186,3 +186,18 @@ def test_operators_over_sparse_numbers(spark, short_carry):
 
 def test_scratch_uses_the_configured_folder(spark):
     assert scratch(spark, "x").startswith(shared_dir(spark).rstrip("/"))
+
+
+def test_visits_come_in_bounded_frames():
+    import numpy as np
+    import pandas as pd
+
+    from tallyframe.operators import neighbors as nb
+
+    rng, cells = np.random.default_rng(0), 40
+    vecs, centres = rng.normal(size=(3000, 16)), nb.unit_rows(pd.Series(list(rng.normal(size=(cells, 16)))))
+    asks = pd.DataFrame({"id": range(3000), "v": list(vecs)})
+    near_cell = np.repeat(np.arange(cells), 3)
+    frames = list(nb._visits(iter([asks]), centres, np.arange(cells), np.full(cells, 2.0), near_cell, np.zeros(len(near_cell)), 2))
+    assert max(map(len, frames)) <= nb.VISIT_ROWS
+    assert len(set(zip(*[pd.concat(frames)[c] for c in ("id", "cell")]))) == 3000 * cells
