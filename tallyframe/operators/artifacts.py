@@ -75,10 +75,15 @@ def include(df: DataFrame, prefixes: Sequence[str], root_files: Sequence[str] =
 
 
 def parent_plan(jobs: DataFrame, arts: DataFrame, runner_dir: str = RUNNER_DIR) -> DataFrame:
-    """Files an eval needs from its parent: the parent's current attempt without the runner's own files."""
-    usable = _current(arts.filter(~F.startswith("relative_path", F.lit(runner_dir))), jobs)
+    """Files an eval needs from its parent: the parent's current attempt without the runner's own files.
+
+    Evals meet their parents' attempts first, so the wide artifact rows are shuffled once, and hashed against
+    the narrow side instead of sorted.
+    """
     evals = jobs.filter("type = 'eval'").select(F.col("id").alias("eval_id"), F.col("parent_job_id").alias("job_id"))
-    return usable.join(evals, "job_id")
+    now = jobs.select(F.col("id").alias("job_id"), "attempt").distinct()
+    needed = evals.join(now, "job_id")
+    return arts.filter(~F.startswith("relative_path", F.lit(runner_dir))).join(needed.hint("shuffle_hash"), ["job_id", "attempt"])
 
 
 def export_plan(jobs: DataFrame, arts: DataFrame, root: str, runner_dir: str = RUNNER_DIR) -> DataFrame:

@@ -201,3 +201,14 @@ def test_visits_come_in_bounded_frames():
     frames = list(nb._visits(iter([asks]), centres, np.arange(cells), np.full(cells, 2.0), near_cell, np.zeros(len(near_cell)), 2))
     assert max(map(len, frames)) <= nb.VISIT_ROWS
     assert len(set(zip(*[pd.concat(frames)[c] for c in ("id", "cell")]))) == 3000 * cells
+
+
+def test_parent_plan_shuffles_artifacts_once(spark):
+    from tallyframe.operators import artifacts as ar
+
+    # (1, 1) twice among the jobs: a parent's attempt counts once.
+    jobs = spark.createDataFrame([(1, 1, "compile", None), (1, 1, "compile", None), (2, 1, "eval", 1), (3, 1, "eval", 1)], "id long, attempt long, type string, parent_job_id long")
+    arts = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 1, "runner/x"), (2, 1, "b")], "job_id long, attempt long, relative_path string")
+    plan = ar.parent_plan(jobs, arts)
+    assert sorted((r.eval_id, r.job_id, r.attempt, r.relative_path) for r in plan.collect()) == [(2, 1, 1, "a"), (3, 1, 1, "a")]
+    assert "strategy=shuffle_hash" in plan._jdf.queryExecution().optimizedPlan().toString()
