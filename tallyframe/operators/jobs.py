@@ -60,9 +60,12 @@ def lineage(jobs: DataFrame) -> DataFrame:
         .groupBy(F.col("parent_job_id").alias("id"))
         .agg(F.count(F.lit(1)).alias("children"), F.max("id").alias("latest_child"))
     )
+    # Jobs without a parent have none to look for; by their NULL they would all meet in one task.
+    own = jobs.select("parent_job_id", "id", "type", "status")
+    kin = own.filter("parent_job_id is not null").join(parents, "parent_job_id", "left")
+    roots = own.filter("parent_job_id is null")
     return (
-        jobs.select("id", "type", "status", "parent_job_id")
-        .join(parents, "parent_job_id", "left")
+        kin.unionByName(roots, allowMissingColumns=True)
         .join(children, "id", "left")
         .withColumn("children", F.coalesce("children", F.lit(0)))
     )

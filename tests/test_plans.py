@@ -212,3 +212,13 @@ def test_parent_plan_shuffles_artifacts_once(spark):
     plan = ar.parent_plan(jobs, arts)
     assert sorted((r.eval_id, r.job_id, r.attempt, r.relative_path) for r in plan.collect()) == [(2, 1, 1, "a"), (3, 1, 1, "a")]
     assert "strategy=shuffle_hash" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lineage_keeps_jobs_without_parent_out_of_the_parent_join(spark):
+    from tallyframe.operators import jobs as jb
+
+    jobs = spark.createDataFrame([(1, "compile", "ok", None), (2, "eval", "ok", 1), (3, "eval", "bad", 9)], "id long, type string, status string, parent_job_id long")
+    out = jb.lineage(jobs)
+    got = sorted((r.id, r.parent_job_id, r.parent_type, r.parent_status, r.children, r.latest_child) for r in out.collect())
+    assert got == [(1, None, None, None, 1, 2), (2, 1, "compile", "ok", 0, None), (3, 9, None, None, 0, None)]
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
