@@ -13,8 +13,13 @@ from tallyframe.streaming import sinks
 _RESULT_COLS = "run_id, example_idx, score, latency, cost, tokens_in, tokens_out, error"
 
 
-def _write_lines(df, order: str, path: str, partitions: int = 4) -> str:
-    """Text files whose name order follows ``order`` (one file per range)."""
+#: Lines of one text file at most, about: a task that writes or reads a file does not grow with the table.
+FILE_LINES = 20_000
+
+
+def _write_lines(df, order: str, path: str, partitions: int = 4, file_lines: int = FILE_LINES) -> str:
+    """Text files whose name order follows ``order`` (one file per range), ``partitions`` at least."""
+    partitions = max(partitions, -(-df.count() // file_lines))
     df.repartitionByRange(partitions, order).sortWithinPartitions(order).select("value").write.text(path)
     return path
 

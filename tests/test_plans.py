@@ -222,3 +222,12 @@ def test_lineage_keeps_jobs_without_parent_out_of_the_parent_join(spark):
     got = sorted((r.id, r.parent_job_id, r.parent_type, r.parent_status, r.children, r.latest_child) for r in out.collect())
     assert got == [(1, None, None, None, 1, 2), (2, 1, "compile", "ok", 0, None), (3, 9, None, None, 0, None)]
     assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_files_grow_in_number(spark, tmp_path):
+    from tallyframe.checks.check_examples import _write_lines
+
+    rows = spark.range(1000).selectExpr("id", "cast(id as string) as value")
+    for limit, files in ((20_000, 4), (100, 10)):
+        path = _write_lines(rows, "id", str(tmp_path / str(limit)), file_lines=limit)
+        assert len(list((tmp_path / str(limit)).glob("part-*"))) == files and spark.read.text(path).count() == 1000
