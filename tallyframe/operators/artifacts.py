@@ -138,9 +138,17 @@ def audit_paths(df: DataFrame, roots: Sequence[str], path: str = "path", regular
 
 
 def artifact_stats(arts: DataFrame, by: Sequence[str] = ("job_id", "kind")) -> DataFrame:
-    """Files and bytes per group with subtotals; the finest groups are summed once."""
-    finest = arts.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
-    return finest.rollup(*by).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    """Files and bytes per group with subtotals; the finest groups are summed once.
+
+    Each level is summed from the one below, so a task holds the groups of one level at a time, not all levels of every group.
+    """
+    level = arts.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    out = level
+    for n in reversed(range(len(by))):
+        level = level.groupBy(*by[:n]).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        # A total of no rows at all is no group.
+        out = out.unionByName(level.filter("files is not null"), allowMissingColumns=True)
+    return out
 
 
 def diff_manifests(before: DataFrame, after: DataFrame, roots: Sequence[str], path: str = "path", digest: str = "digest") -> DataFrame:

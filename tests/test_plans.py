@@ -231,3 +231,15 @@ def test_lines_files_grow_in_number(spark, tmp_path):
     for limit, files in ((20_000, 4), (100, 10)):
         path = _write_lines(rows, "id", str(tmp_path / str(limit)), file_lines=limit)
         assert len(list((tmp_path / str(limit)).glob("part-*"))) == files and spark.read.text(path).count() == 1000
+
+
+def test_artifact_stats_without_expanding_the_groups(spark):
+    from tallyframe.operators import artifacts as ar
+
+    rows = [(1, "a", 5), (1, "b", 6), (None, "a", 7), (2, None, None)]
+    arts = spark.createDataFrame(rows, "job_id long, kind string, size_bytes long")
+    stats = ar.artifact_stats(arts)
+    want = [(1, "a", 1, 5), (1, "b", 1, 6), (1, None, 2, 11), (2, None, 1, None), (2, None, 1, None), (None, "a", 1, 7), (None, None, 1, 7), (None, None, 4, 18)]
+    assert sorted(map(str, map(tuple, stats.collect()))) == sorted(map(str, want))
+    assert ar.artifact_stats(arts.limit(0)).count() == 0
+    assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
