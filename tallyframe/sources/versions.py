@@ -12,16 +12,21 @@ One writer at a time per table (a stream query is one): a second one is noticed
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from tallyframe.plans.durable import durable
-
-BUCKET = "__bucket"
+BUCKET, TASK, NEW = "__bucket", "__task", "__new"
 #: A bucket that appends have spread over so many folders is written anew by the next batch that touches it.
 MAX_FOLDERS = 8
+#: Pieces that the keys of all buckets are cut into; the driver counts the rows of each, and tasks take whole ones.
+SLICES = 4096
+#: A piece with more rows a key than this is collapsed before its rows are shuffled, so a busy key is no hot task.
+COPIES = 4
+#: Rows of a task that writes, about.
+TASK_ROWS = 1 << 21
 _RECORD = (
     "version bigint, buckets int, schema string, writers map<string,bigint>, parts array<struct<bucket:int,folder:string>>"
 )
@@ -67,6 +72,9 @@ def apply_batch(
     NULL key parts are equal to each other. A ``batch_id`` not above the last one committed by the same ``writer`` is
     a replay and changes nothing. The first batch sets schema and ``buckets``; later ones are cast to that
     schema and must hold its columns, others are left out. An empty batch is a version too.
+
+    The batch is read more than once (its keys are counted first) and must give the same rows each time: persist what is
+    dear or comes from a stateful stream.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
@@ -81,38 +89,49 @@ def apply_batch(
     else:
         schema = batch.schema
     rest = [c for c in schema.names if c not in keys]
-    ranked = F.struct(*order, *[c for c in rest if c not in order])
+    ranked = [F.col(c) if c in rest else F.col(c).alias(f"__o{i}") for i, c in enumerate(dict.fromkeys(order))]
+    ranked += [F.col(c) for c in rest if c not in order]
     # The key's text form, so a bucket does not depend on how wide the batch's own integer type is.
-    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+    digest = F.xxhash64(*[_one_zero(schema[k]).cast("string") for k in keys])
+    bucket = F.pmod(digest, F.lit(buckets)).cast("int")
+    per = max(1, SLICES // buckets)
+    piece = (bucket * per + F.pmod(F.shiftrightunsigned(digest, 32), F.lit(per))).cast("int")
 
-    def one(rows: DataFrame) -> DataFrame:
-        pick = F.min_by if keep == "first" else F.max_by
-        return rows.groupBy(*keys).agg(pick(F.struct(*rest), ranked).alias("__r")).select(*keys, "__r.*")
+    def one(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        best = F.min(F.struct(NEW, *ranked)) if keep == "first" else F.max(F.struct(*ranked, NEW))
+        return rows.groupBy(*by, *keys).agg(best.alias("__r")).select(*by, *keys, *[f"__r.{c}" for c in (*rest, NEW)])
 
-    fresh = durable(one(batch).withColumn(BUCKET, bucket), "batch")
-    touched = {r[0] for r in fresh.select(BUCKET).distinct().collect()}
+    told = batch.groupBy(piece.alias("piece")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(digest, 0.3).alias("keys")).collect()
+    touched = {r.piece // per for r in told}
     parts = [(p.bucket, p.folder) for p in now.parts] if now else []
-    if now and touched:
-        old = _rows(spark, root, now, touched)
-        if keep == "last":
-            fresh, anew = one(old.unionByName(fresh.drop(BUCKET))).withColumn(BUCKET, bucket), touched
-        else:
-            folders = [b for b, _ in parts]
-            anew = {b for b in touched if folders.count(b) >= MAX_FOLDERS}
-            old_keys = old.select(*[F.col(k).alias(f"__{k}") for k in keys])
-            on = F.lit(True)
-            for k in keys:
-                on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-            fresh = fresh.join(old_keys, on, "left_anti")
-            if anew:
-                fresh = fresh.unionByName(_rows(spark, root, now, anew).withColumn(BUCKET, bucket))
-        parts = [p for p in parts if p[0] not in anew]
     folder = uuid.uuid4().hex
-    # Rebalanced: adaptive execution splits a bucket too large for one task.
-    fresh.select(*schema.names, BUCKET).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/data/{folder}")
-    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-    written = spark.read.schema(full).parquet(f"{root}/data/{folder}").select(BUCKET).distinct().collect()
-    parts += [(r[0], folder) for r in written]
+    if touched:
+        busy = [r.piece for r in told if r.n > max(COPIES * r["keys"], 1000)]
+        fresh = batch.withColumn(NEW, F.lit(1))
+        if busy:
+            fresh = fresh.filter(~piece.isin(busy)).unionByName(one(fresh.filter(piece.isin(busy))))
+        rows, total = fresh, sum(r.n for r in told)
+        folders = [b for b, _ in parts]
+        anew = {b for b in touched if keep == "last" or folders.count(b) >= MAX_FOLDERS}
+        if anew and now:
+            old = _rows(spark, root, now, anew)
+            rows, total = rows.unionByName(old.withColumn(NEW, F.lit(0))), total + old.count()
+        if touched - anew and now:  # of a bucket that is only added to, the keys are enough
+            old = _rows(spark, root, now, touched - anew).select(*keys, *[F.lit(None).cast(schema[c].dataType).alias(c) for c in rest])
+            rows, total = rows.unionByName(old.withColumn(NEW, F.lit(0))), total + old.count()
+        # Tasks take neighbouring pieces of the buckets, so rows are shuffled once and a bucket's files are few.
+        cells, small = buckets * per, min(spark.sparkContext.defaultParallelism, math.ceil(total / 20_000))
+        tasks = min(cells, math.ceil(max(math.ceil(total / TASK_ROWS), small) * buckets / len(touched)))
+        rows = rows.withColumn(TASK, F.floor(piece.cast("bigint") * tasks / cells).cast("int"))
+        unseen = F.raise_error(F.lit("the batch gave other keys when it was read again")).cast("int")
+        dealt = rows.repartitionById(tasks, TASK).withColumn(BUCKET, F.when(bucket.isin(*touched), bucket).otherwise(unseen))
+        out = one(dealt, [BUCKET, TASK])
+        if keep == "first":
+            out = out.filter((F.col(NEW) == 1) | F.col(BUCKET).isin(*anew))
+        out.select(*schema.names, BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{root}/data/{folder}")
+        full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        written = spark.read.schema(full).parquet(f"{root}/data/{folder}").select(BUCKET).distinct().collect()
+        parts = [p for p in parts if p[0] not in anew] + [(r[0], folder) for r in written]
     if batch_id is not None:
         writers[writer] = batch_id
     version = now.version + 1 if now else 0
@@ -125,5 +144,11 @@ def apply_batch(
     return True
 
 
+def _one_zero(field: T.StructField) -> Column:
+    """The column, with -0.0 as 0.0: grouping holds them equal."""
+    c = F.col(field.name)
+    return F.when(c == 0, F.lit(0).cast(field.dataType)).otherwise(c) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else c
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])

@@ -92,3 +92,52 @@ def test_empty_batches_ties_and_wider_types(spark):
         vs.read_version(spark, root, 9)
     with pytest.raises(ValueError):
         vs.read_version(spark, scratch(spark, "none"))
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_a_batch_is_shuffled_once_and_written_once(spark, monkeypatch, keep):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    root, plans, real = scratch(spark, "vt"), [], DataFrameWriter.parquet
+    vs.apply_batch(make(spark, ("a", 1, 5, "x"), ("b", 1, 5, "x")), root, ["k"], ["at"], keep=keep)
+
+    def noted(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    vs.apply_batch(make(spark, ("a", 1, 6, "y"), ("c", 1, 6, "y")), root, ["k"], ["at"], keep=keep)
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+    a = ("a", 1, 5, "x") if keep == "first" else ("a", 1, 6, "y")
+    assert rows(vs.read_version(spark, root)) == rows(make(spark, a, ("b", 1, 5, "x"), ("c", 1, 6, "y")))
+
+
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_busy_keys_and_tasks_of_few_rows_against_plain_python(spark, monkeypatch, keep):
+    """One key holds most rows (NULL another part of them), -0.0 is 0.0, buckets are spread over many tasks."""
+    monkeypatch.setattr(vs, "TASK_ROWS", 50)
+    root, want, pick = scratch(spark, "vt"), {}, min if keep == "first" else max
+    for i in range(3):
+        data = [("hot", 0.0 if j % 2 else -0.0, (j * 7919 + i) % 10_007, str(j)) for j in range(3000)]
+        data += [(None, 1.0, j % 900, f"n{i}") for j in range(1500)] + [(f"k{j}", float(j), i, "v") for j in range(i * 100, 400)]
+        seen = {}
+        for k, n, at, v in data:
+            seen[k, n] = pick(seen.get((k, n), (at, v)), (at, v))
+        for key, row in seen.items():
+            want[key] = want.get(key, row) if keep == "first" else max(want.get(key, row), row)
+        batch = spark.createDataFrame(data, "k string, n double, at int, v string")
+        assert vs.apply_batch(batch, root, ["k", "n"], ["at"], keep=keep, batch_id=i, buckets=8)
+    got = vs.read_version(spark, root).collect()
+    assert len(got) == len(want) and {(r.k, r.n): (r["at"], r.v) for r in got} == want
+
+
+def test_a_batch_with_other_keys_on_each_reading_is_refused(spark):
+    import random
+
+    root = scratch(spark, "vt")
+    vs.apply_batch(make(spark, ("a", 1, 1, "x")), root, ["k"], ["at"], buckets=4096)
+    drawn = F.udf(lambda _: str(random.getrandbits(60)), "string").asNondeterministic()
+    batch = spark.range(20).select(drawn("id").alias("k"), F.lit(1).alias("n"), F.lit(1).alias("at"), F.lit("v").alias("v"))
+    with pytest.raises(Exception, match="read again"):
+        vs.apply_batch(batch, root, ["k"], ["at"])
+    assert rows(vs.read_version(spark, root)) == rows(make(spark, ("a", 1, 1, "x")))
