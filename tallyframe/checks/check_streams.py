@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.checks.check_logs import _LATEST, _STATUS, PHASE_SQL, PROGRESS_SQL
 from tallyframe.checks.check_usage import _CALLS
@@ -36,6 +36,25 @@ def replay(df: DataFrame, ts: str = "ts", files: int = 4, flush: bool = False, f
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def arrivals(df: DataFrame, number: Column, n: int) -> DataFrame:
+    """The rows as a file stream whose micro-batch ``i`` holds the rows with ``number`` i, 0 to n - 1.
+
+    Every reading task writes its own rows of an arrival: nothing is shuffled, and files grow in number with the table, not in size.
+    A micro-batch is a fixed number of files, so arrivals that differ in it (a task had no row of one) are dealt out evenly instead.
+    """
+    spark = df.sparkSession
+    for deal in (lambda d: d, lambda d: d.repartition(4), lambda d: d.coalesce(1)):  # one task writes a file even without rows
+        folder, files = scratch(spark, "arrivals"), [0]
+        for i in range(n):
+            deal(df.filter(number == i)).write.mode("append").option("compression", "zstd").parquet(folder)
+            files.append(len(spark.read.schema(df.schema).parquet(folder).inputFiles()))
+            if files[-1] != (i + 1) * files[1]:
+                break
+        else:
+            break
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files[1]).parquet(folder)
+
+
 def appended(stream: DataFrame, rocks: bool = False) -> DataFrame:
     spark, out = stream.sparkSession, scratch(stream.sparkSession, "out")
     sinks.append_sink(stream, out, scratch(spark, "state"), rocks=rocks).awaitTermination()
@@ -174,10 +193,7 @@ select cast(batch as bigint) as batch_id, count(case when not too_late and nth =
 def l4_counts(fx):
     """Four arrivals, each a mix of all dates, so that the watermark passes most of what comes later."""
     writes = fx.artifacts.withColumn("worker_id", F.concat(F.lit("w"), (F.col("job_id") % 1500 % 150).cast("string")))
-    folder, out = scratch(fx.spark, "arrivals"), scratch(fx.spark, "counted")
-    for i in range(4):
-        writes.filter(F.ascii("tiebreak") % 4 == i).repartition(4).write.mode("append").parquet(folder)
-    stream = fx.spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    stream, out = arrivals(writes, F.ascii("tiebreak") % 4, 4), scratch(fx.spark, "counted")
     keys = ["job_id", "attempt", "relative_path", "size_bytes", "digest", "created_at", "tiebreak"]
     marks = {"accepted": F.col("accepted"), "stale": ~F.col("accepted")}
     query, drops = sinks.counted_sink(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.plans.durable import scratch
@@ -262,3 +263,37 @@ def test_replayed_files_grow_with_the_table_in_two_batches(spark):
         stream, sizes = replay(rows, file_rows=limit), []
         out = looked_up(stream, lambda b: sizes.append(len(set(r[0] for r in b.selectExpr("input_file_name()").distinct().collect()))) or b)
         assert out.selectExpr("count(distinct batch_id)", "count(distinct id)").first() == (2, 4000) and sum(sizes) == files
+
+
+def test_arrivals_are_written_without_a_shuffle(spark, sf_dir, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tallyframe.checks import check_streams as cs
+    from tallyframe.checks.views import Fixtures
+
+    plans, real = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        if "/arrivals-" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    assert cs.l4_counts(Fixtures(spark, sf_dir)).count() > 0
+    assert len(plans) == 4 and not any("Exchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("shape", ["even", "a task without rows of one", "an arrival of one row", "an arrival without rows"])
+def test_arrivals_are_one_micro_batch_each(spark, tmp_path, shape):
+    from tallyframe.checks.check_streams import arrivals
+
+    number = {
+        "even": "id % 3", "a task without rows of one": "case when id < 250 then id % 2 else id % 3 end",
+        "an arrival of one row": "case when id = 7 then 1 else id % 2 * 2 end", "an arrival without rows": "id % 2 * 2",
+    }[shape]
+    df = spark.range(0, 1000, 1, 4).selectExpr("id", f"cast({number} as int) as number")
+    seen = {}
+    writer = arrivals(df, F.col("number"), 3).writeStream.foreachBatch(lambda b, i: seen.update({i: sorted(map(tuple, b.collect()))}))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted(map(tuple, df.collect()))
+    assert seen == {i: [r for r in rows if r[1] == i] for i in range(3)}
