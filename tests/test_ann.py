@@ -74,3 +74,67 @@ def test_sketched_running_median(spark, k):
         low, high = sum(v < r.m for v in values), sum(v <= r.m for v in values)
         off.append(max(0, low - len(values) / 2 - 1, len(values) / 2 - high - 1) / len(values))
     assert np.quantile(off, 0.97) <= rank_error(k)
+
+
+def shuffled(plan):
+    """Rows that the exchanges under an executed adaptive plan wrote."""
+    leaves, total = plan.collectLeaves(), 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName().endswith("QueryStageExec"):
+            inner = leaf.plan()
+            if inner.getClass().getSimpleName() == "ShuffleExchangeExec":
+                total += inner.metrics().apply("shuffleRecordsWritten").value()
+            total += shuffled(inner)
+    return total
+
+
+def test_exact_form_shuffles_a_vector_once_a_block(spark):
+    """Far vectors rule no cell out: 1,200 vectors and 64 block pairs are some 10 copies a side, not one per pivot and block."""
+    vecs = np.random.default_rng(2).normal(size=(1200, 16))
+    df = frame(spark, vecs)
+    found = nb.knn_demos(df, df, 5, block_rows=16, skip_same_id=True)
+    plan = found._jdf.queryExecution().executedPlan()
+    got = plan.execute().count()
+    assert got == 6000
+    moved = shuffled(plan.executedPlan())
+    assert 0 < moved < 1200 * 100, moved
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(sim, -np.inf)
+    want = [(q, r + 1, int(t), sim[q, t]) for q in range(1200) for r, t in enumerate(np.lexsort((np.arange(1200), -sim[q]))[:5])]
+    assert [r[:3] for r in rows(found)] == [r[:3] for r in sorted(want)]
+
+
+@pytest.mark.parametrize("tile", [(256, 2048), (7, 11), (3, 2)])
+def test_tiles_agree_with_the_whole_block(tile, monkeypatch):
+    """Ties, copies, repeated ids on both sides and parts that only some queries look at."""
+    import pandas as pd
+
+    monkeypatch.setattr(nb, "TILE", tile)
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(90, 4)).round(1)
+    vecs[20:50], vecs[60:63] = vecs[0], 0
+    ids = rng.permutation(90) // 2
+    q = pd.DataFrame({"id": ids[:60], "v": list(vecs[:60].astype("float32")), "parts": rng.integers(0, 8, 60)})
+    t = pd.DataFrame({"id": ids[15:], "v": list(vecs[15:].astype("float32")), "part": rng.integers(0, 3, 75)})
+    sim = np.round(nb.unit_rows(q["v"]) @ nb.unit_rows(t["v"]).T, 6)
+    for k in (1, 4, 100):
+        for skip in (False, True):
+            for looks in (True, False):
+                want = {}
+                for i, a in enumerate(q.itertuples()):
+                    some = [(-sim[i, j], b.id) for j, b in enumerate(t.itertuples()) if (a.parts >> b.part & 1 or not looks) and not (skip and a.id == b.id)]
+                    want[a.id] = sorted(want.get(a.id, []) + sorted(some)[:k])[:k]
+                got = nb.best_in_block(q if looks else q.drop(columns="parts"), t, k, skip)
+                assert sorted(zip(got.query_id, -got.similarity, got.neighbor_id)) == sorted((i, *x) for i, some in want.items() for x in some)
+
+
+def test_pivots_share_a_cell_up_to_a_block():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 90, 500)
+    cell, part = nb._cells(rng.normal(size=(500, 6)), counts, 2000)
+    members, pivots = np.bincount(cell, counts), np.bincount(cell)
+    assert members.max() <= 2000 and pivots.max() <= nb.PARTS and len(pivots) < 30
+    assert len(set(zip(cell, part))) == 500 and part.max() < nb.PARTS
+    assert (np.bincount(nb._cells(np.zeros((300, 6)), np.ones(300, dtype=int), 10**6)[0]) <= nb.PARTS).all()
+    assert len(set(nb._cells(rng.normal(size=(9, 6)), np.full(9, 50), 0)[0])) == 9
